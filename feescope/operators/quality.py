@@ -21,7 +21,7 @@ DRIFT_TOLERANCE = 0.01
 # Dimension keys, and the fact columns that refer to them.
 KEYS = {"dim_provider": "npi", "dim_hcpcs": "hcpcs_cd", "dim_geography": "state_abrvtn"}
 
-_OBSERVED = "decimal(28,2)"
+_OBSERVED = "decimal(28,4)"
 
 
 class DataQualityError(AssertionError):
