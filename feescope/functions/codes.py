@@ -48,26 +48,28 @@ def ruca_bucket(ruca: Column) -> Column:
     )
 
 
-def credential_tokens(credentials: Column) -> Column:
-    """``M. D., Ph.D`` -> ``[MD, PHD]``: dots vanish, runs of single letters join."""
-    undotted = F.regexp_replace(F.upper(credentials), "[.]", "")
-    spaced = F.regexp_replace(undotted, "[^A-Z]+", " ")
-    joined = F.regexp_replace(spaced, r"\b([A-Z]) (?=[A-Z]\b)", "$1")
-    return F.split(F.trim(joined), " ")
+def credential_words(credentials: Column) -> Column:
+    """``M. D., Ph.D`` -> `` MD PHD ``: dots vanish, runs of single letters join.
 
+    Every word has a space on both sides, so a word is found by a plain pattern.
+    """
+    undotted = F.translate(F.upper(credentials), ".", "")
+    spaced = F.regexp_replace(F.concat(F.lit(" "), undotted, F.lit(" ")), "[^A-Z]+", " ")
+    return F.regexp_replace(spaced, r"\b([A-Z]) (?=[A-Z]\b)", "$1")
 
-def tier_of_tokens(tokens: Column) -> Column:
-    """The first tier, in order of precedence, that any token names."""
+
+def tier_of_words(words: Column) -> Column:
+    """The first tier, in order of precedence, that any word names."""
     matches = [
-        F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words.split()))), F.lit(tier))
-        for tier, words in TIER_TOKENS.items()
+        F.when(words.rlike(f" ({'|'.join(tokens.split())}) "), F.lit(tier))
+        for tier, tokens in TIER_TOKENS.items()
     ]
     return F.coalesce(*matches, F.lit(OTHER_TIER))
 
 
 def provider_tier(credentials: Column) -> Column:
     """One of five tiers, never NULL."""
-    return tier_of_tokens(credential_tokens(credentials))
+    return tier_of_words(credential_words(credentials))
 
 
 def is_shared_e_and_m(code: Column, codes: Sequence[str] = SHARED_E_AND_M) -> Column:

@@ -111,13 +111,16 @@ def run_checks(
 def foreign_key_checks(fact: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
     """Fact rows whose key is in no dimension, one line per dimension.
 
-    The fact is reduced to one row per key before the anti-join, so a hot key
-    is not a hot join partition. A missing key refers to nothing and passes.
+    The fact is reduced to one row per key before the join, so a hot key is not
+    a hot join partition. It is an outer join with a test for no match, because
+    Spark pushes an anti-join below the aggregation, back onto the raw rows. A
+    missing key refers to nothing and passes.
     """
 
     def orphans(name: str, key: str) -> DataFrame:
         used = fact.filter(c(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        lost = used.join(dims[name].select(key), key, "left_anti")
+        known = dims[name].select(key, F.lit(True).alias("known"))
+        lost = used.join(known, key, "left").filter(c("known").isNull())
         n = F.coalesce(F.sum("n"), F.lit(0))
         return _report(lost, _line(f"fk_{name}", n, n == 0, "= 0"))
 

@@ -17,7 +17,7 @@ from ..functions import (
     service_key,
     whole_number,
 )
-from ..functions.codes import credential_tokens, tier_of_tokens
+from ..functions.codes import credential_words, tier_of_words
 from ..schemas import RAW_COLUMNS, SILVER_CASTS, SILVER_SCHEMA
 
 c = F.col
@@ -107,9 +107,9 @@ def with_rurality(df: DataFrame) -> DataFrame:
 
 
 def with_tier(df: DataFrame) -> DataFrame:
-    # Tokens are a column of their own so that they are computed once per row.
-    tokens = df.withColumns({"_tokens": credential_tokens(c("Rndrng_Prvdr_Crdntls"))})
-    return tokens.withColumns({"Provider_Tier": tier_of_tokens(c("_tokens"))}).drop("_tokens")
+    # The words are a column of their own so that they are computed once per row.
+    words = df.withColumns({"_words": credential_words(c("Rndrng_Prvdr_Crdntls"))})
+    return words.withColumns({"Provider_Tier": tier_of_words(c("_words"))}).drop("_words")
 
 
 def with_lineage(

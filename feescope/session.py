@@ -12,6 +12,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Target size of rebalanced write partitions and of coalesced shuffles.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # HotSpot does not compile methods above 8000 bytes of bytecode; beyond that,
+    # expressions generated one by one are faster than one huge interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 

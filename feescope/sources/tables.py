@@ -89,7 +89,12 @@ def write_table(
     adaptive: small values share a task and a value with a large part of all
     rows is split into tasks of the advisory size. ``sort_by`` orders rows
     inside each file, which gives Parquet row groups narrow min/max ranges.
+
+    A path is cleared before it is written, so a frame that still reads from it
+    is refused.
     """
+    if _qualified(df.sparkSession, path) in _scanned_roots(df):
+        raise ValueError(f"{path} is read by the query that would replace it")
     laid_out = df.hint("rebalance", *partition_by) if partition_by else df
     if partition_by or sort_by:
         laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by)
@@ -99,6 +104,30 @@ def write_table(
     writer.parquet(path)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and without trailing slash, as scans report it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return filesystem.makeQualified(hadoop_path).toString()
+
+
+def _scanned_roots(df: DataFrame) -> set[str]:
+    """Root folders of the file scans of a plan.
+
+    ``DataFrame.inputFiles`` would list every file of every input one by one.
+    """
+    roots = set()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            relation = leaf.relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                paths = relation.location().rootPaths()
+                roots |= {paths.apply(n).toString() for n in range(paths.size())}
+    return roots
+
+
 def cluster_by(df: DataFrame, cols: Sequence[str], n_files: int | None = None) -> DataFrame:
     """Range-cluster rows on ``cols`` so that selective filters skip whole files.
 
