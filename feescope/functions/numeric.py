@@ -49,10 +49,10 @@ def weighted_sum(value: Column, weight: Column) -> Column:
     """Sum of ``value * weight`` added in decimal.
 
     A sum of doubles depends on the order in which tasks finish. Decimal
-    products make it associative: (22,10) x (12,0) is (35,10), whose sum keeps
-    all ten decimals in (38,10).
+    products make it associative: (22,10) x (15,0) is (38,10), exactly as wide as
+    a decimal can be, and its sum keeps all ten decimals.
     """
-    return F.sum(value.try_cast("decimal(22,10)") * weight.try_cast("decimal(12,0)"))
+    return F.sum(value.try_cast("decimal(22,10)") * weight.try_cast("decimal(15,0)"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

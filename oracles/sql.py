@@ -1,7 +1,7 @@
 """DuckDB queries that compute each registered result a second way.
 
-Money is integer cents and ratios are integer millionths here, divided half up
-in integer arithmetic, so no step shares a rounding path with the Spark code.
+Money is integer cents here and derived ratios are integer millionths, divided
+half up in integer arithmetic, so their rounding path differs from the Spark code.
 """
 
 from __future__ import annotations
@@ -29,6 +29,15 @@ def _ratio_of(num: str, den: str) -> str:
     return _ratio(_half_up(f"({num}) * 1000000", den))
 
 
+def _double_ratio(num: str, den: str) -> str:
+    """A ratio of two double columns: divided as doubles, rounded half up on the shortest text.
+
+    The columns are doubles by contract, so 152.39 / 160 is 0.9524374999999999,
+    which rounds down, and not the exact 0.9524375.
+    """
+    return f"(CASE WHEN {den} > 0 THEN CAST(CAST({num} / {den} AS VARCHAR) AS DECIMAL(12,6)) END)"
+
+
 def _cents(amount: str) -> str:
     return f"CAST(round({amount} * 100) AS HUGEINT)"
 
@@ -113,9 +122,9 @@ SELECT {', '.join(_RAW)},
   {_money(f'{_Z} * Tot_Srvcs')} AS Tot_Mdcr_Stdzd_Amt,
   {_money(f'({_P} - {_Z}) * Tot_Srvcs')} AS Geo_Premium,
   {_money(f'({_S} - {_P}) * Tot_Benes')} AS Patient_Exposure,
-  {_ratio_of(_S, _A)} AS Markup_Ratio,
-  {_ratio_of(_P, _A)} AS Mdcr_Pymt_Rate,
-  {_ratio_of(_P, _Z)} AS Geo_Adj_Factor,
+  {_double_ratio('Avg_Sbmtd_Chrg', 'Avg_Mdcr_Alowd_Amt')} AS Markup_Ratio,
+  {_double_ratio('Avg_Mdcr_Pymt_Amt', 'Avg_Mdcr_Alowd_Amt')} AS Mdcr_Pymt_Rate,
+  {_double_ratio('Avg_Mdcr_Pymt_Amt', 'Avg_Mdcr_Stdzd_Amt')} AS Geo_Adj_Factor,
   HCPCS_Drug_Ind = 'Y' AS Is_Drug,
   Place_Of_Srvc = 'F' AS Is_Facility,
   Rndrng_Prvdr_Mdcr_Prtcptg_Ind = 'Y' AS Is_Participating,

@@ -41,6 +41,12 @@ def test_derived_columns(silver_of):
     assert r.Source_Year == 2023 and r.Ingested_At is not None
 
 
+def test_ratios_divide_doubles(silver_of):
+    # 152.39 / 160 is 0.9524375 on paper and 0.9524374999999999 in doubles.
+    r = one(silver_of({"Avg_Mdcr_Pymt_Amt": "152.39", "Avg_Mdcr_Stdzd_Amt": "160.0"}))
+    assert r.Geo_Adj_Factor == D("0.952437")
+
+
 def test_unknown_inputs_give_unknown_outputs(silver_of):
     r = one(
         silver_of(
