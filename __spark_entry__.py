@@ -355,7 +355,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         "npi", "specialty", "state_abrvtn", "cum_share_providers", "cum_share_drug"
     ),
     # sorts, top-k, reshapes
-    "t01_top_codes": lambda t: marts.top_codes(t.fact, k=50),
+    "t01_top_codes": lambda t: marts.top_codes_of(t.dim_hcpcs),
     "t02_tornado": lambda t: serving.tornado(serving.geo_by_state(t.geo)),
     "t03_top_non_par": lambda t: serving.top_non_par(t.non_par),
     "t04_top_drug_codes": lambda t: serving.top_drug_codes(t.dim_hcpcs),

@@ -37,22 +37,34 @@ def _in_contract_order(df: DataFrame, name: str) -> DataFrame:
 
 def top_codes(fact: DataFrame, k: int = 50) -> DataFrame:
     """The ``k`` codes with the most services; equal volumes go by code."""
-    volume = fact.groupBy("hcpcs_cd").agg(F.sum("Tot_Srvcs").alias("total_services"))
+    return _busiest(fact.groupBy("hcpcs_cd").agg(F.sum("Tot_Srvcs").alias("total_services")), k)
+
+
+def top_codes_of(dim_hcpcs: DataFrame, k: int = 50) -> DataFrame:
+    """``top_codes`` read from the procedure dimension, which holds the same volumes."""
+    return _busiest(dim_hcpcs.select("hcpcs_cd", c("national_services").alias("total_services")), k)
+
+
+def _busiest(volume: DataFrame, k: int) -> DataFrame:
     return volume.orderBy(c("total_services").desc_nulls_last(), "hcpcs_cd").limit(k)
 
 
-def basket_rows(fact: DataFrame, k: int = 50) -> DataFrame:
-    """Fact rows whose code is in the top-``k`` basket (semi-join)."""
-    basket = top_codes(fact, k).select("hcpcs_cd")
+def basket_rows(fact: DataFrame, k: int = 50, dim_hcpcs: DataFrame | None = None) -> DataFrame:
+    """Fact rows whose code is in the top-``k`` basket (semi-join).
+
+    With ``dim_hcpcs`` the basket costs no extra pass over the fact.
+    """
+    ranked = top_codes(fact, k) if dim_hcpcs is None else top_codes_of(dim_hcpcs, k)
+    basket = ranked.select("hcpcs_cd")
     if k <= _MAX_HINTED_BASKET:
         basket = F.broadcast(basket)
     return fact.join(basket, "hcpcs_cd", "left_semi")
 
 
-def geo_arbitrage(fact: DataFrame, k: int = 50) -> DataFrame:
+def geo_arbitrage(fact: DataFrame, k: int = 50, dim_hcpcs: DataFrame | None = None) -> DataFrame:
     """Premium over the standardised amount per (state, rurality), basket codes only."""
     # Filtered after the basket is ranked: volume counts rows of every kind.
-    known = basket_rows(fact, k).filter(c("Avg_Mdcr_Stdzd_Amt").isNotNull())
+    known = basket_rows(fact, k, dim_hcpcs).filter(c("Avg_Mdcr_Stdzd_Amt").isNotNull())
     premium, benes = sum_money(c("Geo_Premium")), F.sum("Tot_Benes")
     mart = known.groupBy("state_abrvtn", "ruca_bucket").agg(
         premium.alias("total_geo_premium"),

@@ -15,8 +15,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import dims, fact as facts, marts, quality, silver as silvers
-from ..schemas import CLUSTERING, PARTITIONS, SILVER
-from ..sources import read_bronze, read_table, register_gold, sample, table_path, write_table
+from ..schemas import CLUSTERING, PARTITIONS, RANGE_CLUSTERED, SILVER
+from ..sources import (
+    cluster_by,
+    read_bronze,
+    read_table,
+    register_gold,
+    sample,
+    table_path,
+    write_table,
+)
 
 FACT = "fact_provider_service"
 
@@ -51,6 +59,8 @@ class Pipeline:
 
     def _save(self, df: DataFrame, name: str) -> None:
         layer = "silver" if name == SILVER else "gold"
+        if name in RANGE_CLUSTERED:
+            df = cluster_by(df, CLUSTERING[name])
         write_table(
             df,
             table_path(self.root, layer, name),
@@ -79,7 +89,7 @@ class Pipeline:
     def build_marts(self) -> None:
         s = self.settings
         fact, codes = self.table(FACT), self.table("dim_hcpcs")
-        self._save(marts.geo_arbitrage(fact, s.basket_size), "gold_hero_geo_arbitrage")
+        self._save(marts.geo_arbitrage(fact, s.basket_size, codes), "gold_hero_geo_arbitrage")
         self._save(marts.non_par_premium(fact), "gold_hero_non_par_premium")
         self._save(
             marts.jcode_concentration(fact, s.dependent_share), "gold_hero_jcode_concentration"

@@ -257,6 +257,9 @@ CLUSTERING = {
     "gold_hero_credentials_markup": ["hcpcs_cd"],
     "gold_hero_site_neutral": ["site_ratio"],
 }
+# Unpartitioned tables that grow with the data get files with disjoint key ranges.
+# The others have a row per code at most; one sorted file serves them.
+RANGE_CLUSTERED = ["dim_provider"]
 
 
 def schema_of(layer: str, name: str) -> StructType | None:

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..schemas import GOLD_SCHEMAS, schema_of
+from ..schemas import GOLD_SCHEMAS, PARTITIONS, schema_of
 
 # Tables whose emptiness means that the gold layer is not built yet.
 GOLD_PROBE = [
@@ -46,6 +46,11 @@ def read_table(spark: SparkSession, root: str, layer: str, name: str) -> DataFra
     extra = set(stored.columns) - set(contract.fieldNames())
     if missing or extra:
         raise ContractError(f"{path}: missing {sorted(missing)}, unexpected {sorted(extra)}")
+    # The type of a partition column is inferred from folder names, so not compared.
+    declared = {f.name: f.dataType for f in contract if f.name not in PARTITIONS.get(name, ())}
+    wrong = [n for n, kind in declared.items() if stored.schema[n].dataType != kind]
+    if wrong:
+        raise ContractError(f"{path}: other types than declared for {sorted(wrong)}")
     return spark.read.schema(contract).parquet(path).select(*contract.fieldNames())
 
 

@@ -109,6 +109,10 @@ def test_load_gold_falls_back_only_if_the_path_is_missing(spark, geo, tmp_path):
     write_table(geo.drop("total_stdzd").withColumn("odd", F.lit(1)), table_path(root, "gold", name))
     with pytest.raises(ContractError, match="total_stdzd.*odd"):
         load_gold(spark, root, name)
+    retyped = geo.withColumn("total_services", F.lit("many"))
+    write_table(retyped, table_path(root, "gold", name))
+    with pytest.raises(ContractError, match="types.*total_services"):
+        load_gold(spark, root, name)
 
 
 def test_gold_status(spark, geo, tmp_path):
