@@ -392,6 +392,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "x03_dedup_service_key": lambda t: silvers.dedup_on_service_key(t.silver).select(
         "service_sk", *KEY
     ),
+    "x06_duplicate_probes": lambda t: quality.duplicate_probes(t.silver, t.jcode),
 }
 
 

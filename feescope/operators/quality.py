@@ -76,17 +76,27 @@ def row_count_check(df: DataFrame, name: str, band: tuple[int, int]) -> DataFram
     return _report(df, _line(name, n, (n > low) & (n < high), f"> {low} and < {high}"))
 
 
-def unique_check(df: DataFrame, name: str, key: str) -> DataFrame:
-    """No key value twice; all NULL keys count as one value.
+def unique_check(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """No key twice; NULL counts as a value. ``observed`` is the number of surplus rows.
 
     Rows are counted per key first, which combines map-side, so a key with many
     copies is as cheap as any other.
     """
-    copies = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    copies = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     surplus = F.coalesce(F.sum(c("n") - 1), F.lit(0))
     return _report(copies, _line(name, surplus, surplus == 0, "= 0"))
 
 
+def duplicate_probes(silver: DataFrame, jcode_mart: DataFrame) -> DataFrame:
+    """Duplicates that are allowed but worth knowing; not part of the gate.
+
+    Repeated service keys are kept by default, and a provider with two specialties
+    or states has two points on the Lorenz curve and two rows in the explorer.
+    """
+    services = unique_check(silver, "service_sk_unique", "service_sk")
+    return services.unionByName(unique_check(jcode_mart, "jcode_npi_unique", "npi"))
+
+
 def run_checks(
     silver: DataFrame,
     fact: DataFrame,

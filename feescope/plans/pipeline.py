@@ -57,7 +57,7 @@ class Pipeline:
         layer = "silver" if name == SILVER else "gold"
         return read_table(self.spark, self.root, layer, name)
 
-    def _save(self, df: DataFrame, name: str) -> None:
+    def _save(self, df: DataFrame, name: str, rebalance: bool = True) -> None:
         layer = "silver" if name == SILVER else "gold"
         if name in RANGE_CLUSTERED:
             df = cluster_by(df, CLUSTERING[name])
@@ -66,6 +66,7 @@ class Pipeline:
             table_path(self.root, layer, name),
             partition_by=PARTITIONS.get(name, ()),
             sort_by=CLUSTERING.get(name, ()),
+            rebalance=rebalance,
         )
 
     def build_silver(self, bronze: DataFrame) -> None:
@@ -84,7 +85,8 @@ class Pipeline:
             self._save(build(self.table(SILVER)), name)
 
     def build_fact(self) -> None:
-        self._save(facts.build_fact(self.table(SILVER)), FACT)
+        # A projection of silver, which has the same partitions: no shuffle.
+        self._save(facts.build_fact(self.table(SILVER)), FACT, rebalance=False)
 
     def build_marts(self) -> None:
         s = self.settings

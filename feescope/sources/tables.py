@@ -86,21 +86,24 @@ def write_table(
     path: str,
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
+    rebalance: bool = True,
 ) -> None:
     """Replace the table at ``path``, data and schema.
 
-    Before a partitioned write, ``rebalance`` brings the rows of a partition
-    value together, so that a task does not open a file for every value. It is
+    Before a partitioned write, a rebalance brings the rows of a partition value
+    together, so that a task does not open a file for every value. It is
     adaptive: small values share a task and a value with a large part of all
-    rows is split into tasks of the advisory size. ``sort_by`` orders rows
-    inside each file, which gives Parquet row groups narrow min/max ranges.
+    rows is split into tasks of the advisory size. Turn it off for rows that come
+    straight from a table with the same partitions: they are together already.
+    ``sort_by`` orders rows inside each file, which gives Parquet row groups
+    narrow min/max ranges.
 
     A path is cleared before it is written, so a frame that still reads from it
     is refused.
     """
     if _qualified(df.sparkSession, path) in _scanned_roots(df):
         raise ValueError(f"{path} is read by the query that would replace it")
-    laid_out = df.hint("rebalance", *partition_by) if partition_by else df
+    laid_out = df.hint("rebalance", *partition_by) if partition_by and rebalance else df
     if partition_by or sort_by:
         laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by)
     writer = laid_out.write.mode("overwrite")

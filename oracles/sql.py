@@ -646,6 +646,9 @@ SELECT * FROM (SELECT * FROM by_state ORDER BY geo_premium_per_bene ASC NULLS LA
         for name, relation in (("dim_hcpcs", "dim_hcpcs"), ("gold_hero_site_neutral", "site"))
     ),
     "d16_fk_integrity": _FK,
+    "x06_duplicate_probes": _unique("service_sk_unique", "silver", "service_sk")
+    + " UNION ALL "
+    + _unique("jcode_npi_unique", "jcode", "npi"),
     "x03_dedup_service_key": "SELECT service_sk, Rndrng_NPI, HCPCS_Cd, Place_Of_Srvc FROM silver",
 }
 

@@ -127,6 +127,13 @@ def test_lorenz_never_gathers_rows_in_one_partition(lake):
     assert len(sorts) == 1
 
 
+def test_fact_keeps_the_partitions_of_silver_without_a_shuffle(spark, lake):
+    from feescope.operators.fact import build_fact
+
+    assert "Exchange" not in initial_plan(build_fact(silver(lake)))
+    assert len(fact(lake).inputFiles()) <= len(silver(lake).inputFiles())
+
+
 def test_gini_needs_no_sort(lake):
     plan = plan_of(lorenz.gini(lake.table("gold_hero_jcode_concentration")))
     assert "Sort" not in plan and "Window" not in plan

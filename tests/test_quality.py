@@ -88,6 +88,18 @@ def test_null_keys_count_as_one_value(spark):
     assert failed(q.unique_check(one.union(one.filter("k IS NULL")), "u", "k")) == {"u"}
 
 
+def test_duplicate_probes_report_surplus_rows(silver_of, gold_rows):
+    silver = silver_of({}, {}, {}, {"HCPCS_Cd": "A"})
+    mart = gold_rows(
+        "gold_hero_jcode_concentration",
+        {"npi": "1", "state_abrvtn": "AX"},
+        {"npi": "1", "state_abrvtn": "BX"},
+        {"npi": "2"},
+    )
+    rows = {r.check_name: (r.passed, int(r.observed)) for r in q.duplicate_probes(silver, mart).collect()}
+    assert rows == {"service_sk_unique": (False, 2), "jcode_npi_unique": (False, 1)}
+
+
 def test_orphans(layers):
     _, fact, tables = layers
     assert failed(q.foreign_key_checks(fact, tables)) == set()
