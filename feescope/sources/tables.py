@@ -154,30 +154,28 @@ def cluster_by(df: DataFrame, cols: Sequence[str], n_files: int | None = None) -
 
 
 def register_gold(spark: SparkSession, root: str, db: str = "default") -> list[str]:
-    """Point one catalog table at each gold path, replacing earlier entries."""
+    """Point one catalog table at each gold path, replacing earlier entries.
+
+    Columns and partitions are those of the declared contract and layout, so
+    nothing is inferred from the files.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
     registered = []
     for name, contract in GOLD_SCHEMAS.items():
         path = table_path(root, "gold", name)
         table = f"`{db}`.`{name}`"
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        partitions = _partition_columns(spark, path)
+        quoted = "'" + path.replace("\\", r"\\").replace("'", r"\'") + "'"
+        partitions = PARTITIONS.get(name, [])
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contract.fields)
         layout = f" PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
-        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{layout} LOCATION '{path}'")
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{layout} LOCATION {quoted}")
         if partitions:
             spark.sql(f"MSCK REPAIR TABLE {table}")
         registered.append(f"{db}.{name}")
     return registered
 
 
-def _partition_columns(spark: SparkSession, path: str) -> list[str]:
-    """Partition columns of a stored table: those that its files do not hold."""
-    stored = spark.read.parquet(path)
-    in_files = set(spark.read.option("recursiveFileLookup", True).parquet(path).columns)
-    return [c for c in stored.columns if c not in in_files]
-
-
 @contextmanager
 def cached(df: DataFrame, columns: Sequence[str] = ()) -> Iterator[DataFrame]:
     """Keep a frame for several queries and release it afterwards.
