@@ -40,6 +40,15 @@ from feescope.sources import (  # noqa: E402
 from oracles.fixture import raw_records, write_json_arrays  # noqa: E402
 from oracles.sql import oracle_queries  # noqa: E402
 
+try:  # the training-data operators are optional
+    from feescope.llm import queries as llm_queries  # noqa: E402
+
+    import corpus_pipeline  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("feescope.llm", "feescope.llm.queries", "corpus_pipeline"):
+        raise
+    llm_queries = corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 KEY = ["Rndrng_NPI", "HCPCS_Cd", "Place_Of_Srvc"]
 FIXTURE_ROWS = (1000, 12_000_000)
@@ -407,9 +416,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: build(Tables(spark, sf_dir))
 
-    return {key: bind(build) for key, build in _QUERIES.items()}
+    found = {key: bind(build) for key, build in _QUERIES.items()}
+    if llm_queries:
+        found |= {**llm_queries.queries(), "pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per key; a sample has no defined rows, so it has none."""
-    return oracle_queries()
+    found = oracle_queries()
+    if llm_queries:
+        found |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
