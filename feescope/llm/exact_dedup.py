@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from feescope.llm.common import attach_totals, stored, strings
 
@@ -161,7 +162,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    schema = docs.schema.add("_sha", "string").add("_points", "long").add("_maybe", "boolean")
+    schema = StructType(docs.schema.fields[:]).add("_sha", "string").add("_points", "long").add("_maybe", "boolean")
     rows = docs.select(*columns).mapInArrow(probe, schema)
     best = (
         _flagged(slim, shared.value)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feescope.llm import exact_dedup
+from feescope.llm import exact_dedup, simhash
 from feescope.llm.common import table
 
 
@@ -14,9 +14,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
 
