@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feescope.llm import exact_dedup, mixing, packing, sharding, simhash
+from feescope.llm import exact_dedup, mixing, packing, sharding, simhash, token_store
 from feescope.llm.common import table
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_store.token_digests(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_ids": op1_token_ids,
         "op2_sharding": op2_sharding,
         "op4_mixing": op4_mixing,
         "op6_packing": op6_packing,
