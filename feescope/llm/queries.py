@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feescope.llm import exact_dedup, mixing, packing, sharding, simhash, token_store
+from feescope.llm import exact_dedup, mixing, packing, sharding, simhash, token_store, toxicity
 from feescope.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
