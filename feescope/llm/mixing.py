@@ -6,7 +6,7 @@ sources are split among the output shards by a binary tree whose nodes draw from
 hypergeometric law, and each shard takes its own run of the source's permuted blocks. Inside a shard,
 documents are ordered by a hash.
 
-Positions in the streams are two-level prefix sums: hashed sub-ranges of at most about
+Positions in the streams are two-level prefix sums: over hashed sub-ranges of about
 ``ROWS_PER_BUCKET`` rows, so a source with a third of all rows is many tasks' work. The driver sees
 one row per source, like the list of weights itself.
 
@@ -27,7 +27,9 @@ from feescope.llm.common import lookup, running_base, stored
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 16_384
-ROWS_PER_BUCKET = 50_000
+#: Rows per sub-range at least; more in very large corpora, so that sub-ranges stay about a million.
+ROWS_PER_BUCKET = 2_048
+_BUCKETS = 1 << 20
 _PLAN = "src string, source_size long, target double, quota long, n_blocks long, step long, shift long, upto array<long>, n_buckets int"
 
 
@@ -71,6 +73,7 @@ def _plan(found: list, weights: Sequence[float], share: float, most: float, n_sh
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
     quota = [min(int(most * s), round(g)) for s, g in zip(sizes, goal)]
     blocks = np.array([-(-q // BLOCK_WORDS) for q in quota], np.int64)
+    per_bucket = max(ROWS_PER_BUCKET, sum(r["n_docs"] for r in found) // _BUCKETS)
     rng = np.random.default_rng(seed)
     counts = split_quotas(blocks, n_shards, rng) if len(blocks) else np.zeros((n_shards, 0), np.int64)
     upto = np.cumsum(counts, axis=0).T.tolist()
@@ -78,7 +81,7 @@ def _plan(found: list, weights: Sequence[float], share: float, most: float, n_sh
     for i, r in enumerate(found):
         n = max(1, int(blocks[i]))
         step = next(s for s in range(int(n * 0.618) + 1, 2 * n + 2) if np.gcd(s, n) == 1)
-        buckets = max(1, -(-r["n_docs"] // ROWS_PER_BUCKET))
+        buckets = max(1, -(-r["n_docs"] // per_bucket))
         rows.append((r["src"], sizes[i], goal[i], quota[i], n, step, int(rng.integers(n)), upto[i], buckets))
     return rows
 
