@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feescope.llm import exact_dedup, mixing, packing, sharding, simhash, token_store, toxicity
+from feescope.llm import exact_dedup, html_extract, mixing, packing, sharding, simhash, token_store, toxicity
 from feescope.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_texts(pages, html_extract.train(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
