@@ -4,9 +4,10 @@ Documents are range-partitioned and sorted by doc_id, encoded where they lie and
 their place in the file's token stream, so that reading one document or only the metadata touches
 few pages. The first token of every document follows from one total per file.
 
-Encoding goes word by word through a bounded cache: the byte-level pre-tokeniser always cuts before
-a space that follows a character other than white space, so the ids of a text are the ids of its
-words with their space, in turn. What the cache lacks is encoded by the library, many words at a time.
+Encoding goes word by word through a bounded cache: the byte-level pre-tokeniser always cuts between
+a character and the single white space after it, and between a letter or digit and punctuation other
+than an apostrophe, so the ids of a text are the ids of such pieces in turn. What the cache lacks is
+encoded by the library, many words at a time; texts with runs of white space go to it whole.
 
 Defined results: null text counts as empty and has the end id only; null doc_ids come first; rows
 equal in doc_id are ordered by a hash of their text; an empty table gives an empty file set.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feescope.llm.common import running_base, scratch
 
 END_ID = 0
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 400_000
 _SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Row groups and pages small enough to read single documents; the writer adds page indexes by itself.
 LAYOUT = {
@@ -34,12 +35,14 @@ LAYOUT = {
     "parquet.page.size": str(128 << 10),
     "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true",
-    "compression": "zstd",
+    "compression": "snappy",
 }
-#: A space after white space: the text is then cut by the slower, exact rule.
-_RUN = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S) ")
+#: Two white-space characters in a row: such texts go to the library as they are.
+_RUN = re.compile(r"\s\s")
 _BLANK = re.compile(r"\s")
+#: Characters that never join the letter or digit before them.
+_TAILS = ".,;:!?#$%&*|)"
+_ENDS = frozenset(_TAILS)
 
 
 class Encoder:
@@ -50,45 +53,76 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._opens = np.zeros(self._tokenizer.get_vocab_size() + 1, bool)  # ids that start with a space
-        for token, i in self._tokenizer.get_vocab().items():
-            self._opens[i] = token.startswith("Ġ")
+        vocabulary = self._tokenizer.get_vocab()
+        self._space = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space
+        self._line = np.zeros(len(self._space), bool)
+        for token, i in vocabulary.items():
+            self._space[i] = token.startswith("Ġ")
+            self._line[i] = token.startswith("Ċ")
         self._cache: dict[str, bytes] = {}
         self._cache_words = cache_words
+        self._tails: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("i", e.ids).tobytes() for e in found]
 
+    def _learn_all(self, words: list[str], together: str, opens: np.ndarray) -> None:
+        """Encode ``words`` as one text; each starts at an id that ``opens``."""
+        ids = np.frombuffer(self._library([together])[0], np.int32)
+        starts = np.flatnonzero(opens[ids])
+        if len(starts) == len(words):
+            raw, cuts = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+            self._cache.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        else:
+            self._learn_each(words)
+
+    def _learn_each(self, words: list[str]) -> None:
+        self._cache.update(zip(words, self._library([w if w[:1] == "\n" else " " + w for w in words])))
+
     def _learn(self, words: set[str]) -> None:
-        """Cache the ids of " " + word."""
-        if len(self._cache) + len(words) > self._cache_words:
-            self._cache.clear()
-        plain = [w for w in words if w and not _BLANK.search(w)]
-        if plain:
-            # One pass over all of them; each starts at an id that opens with a space.
-            ids = np.frombuffer(self._library([" " + " ".join(plain)])[0], np.int32)
-            starts = np.flatnonzero(self._opens[ids])
-            if len(starts) == len(plain):
-                raw, cuts = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-                self._cache.update(zip(plain, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-            else:
-                self._cache.update(zip(plain, self._library([" " + w for w in plain])))
-        other = [w for w in words if not w or _BLANK.search(w)]
+        """Cache the ids of each word with its space, or with the line break it begins with."""
+        cache = self._cache
+        ended = [(w, w.rstrip(_TAILS)) for w in words if w[-1:] in _ENDS]
+        parts = [(w, s, w[len(s) :]) for w, s in ended if s and s[-1] < "\u0250" and s[-1].isalnum()]
+        wanted = words.difference([w for w, _, _ in parts])
+        wanted.update([s for _, s, _ in parts if s not in cache])
+        spaced = [w for w in wanted if w and w[0] != "\n"]
+        lines = [w for w in wanted if len(w) > 1 and w[0] == "\n"]
+        other = [w for w in wanted if len(w) < 2 and w in ("", "\n")]
+        if len(" ".join(spaced).split()) != len(spaced):
+            other += [w for w in spaced if _BLANK.search(w)]
+            spaced = [w for w in spaced if not _BLANK.search(w)]
+        if len("".join(lines).split()) != len(lines):
+            other += [w for w in lines if _BLANK.search(w, 1)]
+            lines = [w for w in lines if not _BLANK.search(w, 1)]
+        if spaced:
+            self._learn_all(spaced, " " + " ".join(spaced), self._space)
+        if lines:
+            self._learn_all(lines, "".join(lines), self._line)
         if other:
-            self._cache.update(zip(other, self._library([" " + w for w in other])))
+            self._learn_each(other)
+        tails = list({tail for _, _, tail in parts}.difference(self._tails))
+        if len(self._tails) > 50_000:
+            self._tails.clear()
+            tails = list({tail for _, _, tail in parts})
+        if tails:
+            self._tails.update(zip(tails, self._library(tails)))
+        cache.update([(word, cache[stem] + self._tails[tail]) for word, stem, tail in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
+        # Without runs of white space, a break before every space and line feed is one of the pre-tokeniser's.
+        split = [[t] if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        firsts = self._library([w[0] for w in split])
         rests = [w[1:] for w in split]
-        missing = set().union(*rests).difference(self._cache)
-        if len(self._cache) + len(missing) > self._cache_words:
-            self._cache.clear()
+        cache = self._cache
+        missing = set().union(*rests).difference(cache)
+        if len(cache) + len(missing) > self._cache_words:
+            cache.clear()
             missing = set().union(*rests)
         self._learn(missing)
-        firsts = self._library([w[0] for w in split])
-        cache = self._cache
-        return [first + b"".join([cache[w] for w in rest]) for first, rest in zip(firsts, rests)]
+        get = cache.__getitem__
+        return [first + b"".join(map(get, rest)) for first, rest in zip(firsts, rests)]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one per Python worker, kept between tasks
@@ -142,7 +176,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(_SCHEMA).parquet(path)
     sizes = rows.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n"))
     bases = running_base(sizes, [], ["part"], "n", "base").select("part", "base")
-    return rows.join(bases, "part").select(
+    # One row per file: far below any broadcast limit, and the ids themselves never shuffle.
+    return rows.join(F.broadcast(bases), "part").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "tokens"
     )
 
