@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feescope.llm import exact_dedup, html_extract, mixing, packing, sharding, simhash, token_store, toxicity
+from feescope.llm import ann, exact_dedup, html_extract, mixing, packing, sharding, simhash, token_store, toxicity
 from feescope.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "places")
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
         "op2_sharding": op2_sharding,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_mixing": op4_mixing,
         "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
