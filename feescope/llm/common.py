@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -90,3 +91,53 @@ def running_base(totals: DataFrame, by: list[str], order: list[str], value: str,
     """
     window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0)))
+
+
+_SEGMENT = 1 << 16
+
+
+def field_bits(n_keys: int, max_bits: int) -> int:
+    """A power of two of about 16 to 32 bits a key, at most ``max_bits``."""
+    return min(max_bits, max(_SEGMENT, 1 << (16 * n_keys).bit_length()))
+
+
+def _field_cells(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(bits - 1)
+    keys = keys.view(np.uint64)
+    turned = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (keys & mask).astype(np.int64), ((turned >> np.uint64(20)) & mask).astype(np.int64)
+
+
+def in_field(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit key may be in the Bloom field; never False for one that is."""
+    one, two = _field_cells(np.ascontiguousarray(keys, np.int64), len(field) * 8)
+    return ((field[one >> 3] >> (one & 7)) & (field[two >> 3] >> (two & 7)) & 1).astype(bool)
+
+
+def bloom_field(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bloom field of a column of well-mixed longs, built by segment in Spark; ``bits`` bits in all."""
+
+    def spread(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.unique(np.concatenate(_field_cells(np.ascontiguousarray(batch.column(0), np.int64), bits)))
+            cuts = np.flatnonzero(np.diff(cells // _SEGMENT)) + 1
+            starts, ends = np.r_[0, cuts], np.r_[cuts, len(cells)]
+            parts = [(cells[a:b] % _SEGMENT).astype("<u2").tobytes() for a, b in zip(starts, ends)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((cells[starts] // _SEGMENT).astype(np.int32)), pa.array(parts, pa.binary())], ["segment", "cells"]
+            )
+
+    def merge(pdf):
+        met = np.zeros(_SEGMENT, bool)
+        for cells in pdf["cells"]:
+            met[np.frombuffer(cells, "<u2")] = True
+        return pdf.iloc[:1][["segment"]].assign(field=[np.packbits(met, bitorder="little").tobytes()])
+
+    parts = keys.mapInArrow(spread, "segment int, cells binary")
+    field = np.zeros(bits // 8, np.uint8)
+    for row in parts.groupBy("segment").applyInPandas(merge, "segment int, field binary").toLocalIterator():
+        start = row.segment * (_SEGMENT // 8)
+        field[start : start + _SEGMENT // 8] = np.frombuffer(row.field, np.uint8)
+    return field

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feescope.llm import ann, exact_dedup, html_extract, mixing, packing, sharding, simhash, token_store, toxicity
+from feescope.llm import ann, exact_dedup, html_extract, mixing, packing, sharding, simhash, suffix_dedup, token_store, toxicity
 from feescope.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "places")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("row")
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_mixing": op4_mixing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_toxicity": op8_toxicity,
