@@ -17,9 +17,11 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from feescope.llm.common import lookup, running_base, stored
@@ -151,3 +153,51 @@ def mix(
         F.aggregate("places", F.lit(0).cast("long"), lambda s, c: s + c["words"]).alias("taken"),
         "places",
     )
+
+
+_WORD = re.compile(rb"[^ \t-\r]+")
+
+
+def _first_words(text: str, n: int) -> str:
+    """``text`` up to the end of its ``n``-th word."""
+    raw = text.encode()
+    for i, match in enumerate(_WORD.finditer(raw), 1):
+        if i == n:
+            return raw[: match.end()].decode()
+    return text
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a row per copy, the last of a quota cut to the words taken.
+
+    ``n_chars``, where it is a column, is the length of the text as it then is.
+    """
+    columns = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    turn = Window.partitionBy("_id", "_hash").orderBy("_hash")  # rows equal in both, if any
+    plan = (
+        mix(docs, **options)
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), "places")
+        .withColumn("_n", F.row_number().over(turn))
+    )
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text)})
+    rows = rows.withColumn("_n", F.row_number().over(turn))
+    keys = [rows["_id"].eqNullSafe(plan["_id"]), rows["_hash"] == plan["_hash"], rows["_n"] == plan["_n"]]
+    copies = rows.join(plan.select("_id", "_hash", "_n", "_size", F.explode("places").alias("_place")), keys)
+    taken = copies.select(*[rows[c] for c in columns], F.when(F.col("_place.words") < F.col("_size"), F.col("_place.words")).alias("_cut"))
+    at = columns.index("text")
+
+    def cut(batches):
+        for batch in batches:
+            limits = batch.column(len(columns)).to_pylist()
+            out = batch.columns[: len(columns)]
+            if any(n is not None for n in limits):
+                texts = [t if n is None else _first_words(t, n) for t, n in zip(out[at].to_pylist(), limits)]
+                out[at] = pa.array(texts, out[at].type)
+                if "n_chars" in columns:
+                    i = columns.index("n_chars")
+                    sizes = [c if n is None else len(t) for c, n, t in zip(out[i].to_pylist(), limits, texts)]
+                    out[i] = pa.array(sizes, out[i].type)
+            yield pa.RecordBatch.from_arrays(out, columns)
+
+    return taken.mapInArrow(cut, docs.schema)

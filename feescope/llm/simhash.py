@@ -16,14 +16,16 @@ fingerprint; the component of rows without any doc_id is null; an empty table gi
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from feescope.llm.common import attach_totals, lookup, stored, strings
+from feescope.llm.common import attach_totals, bloom_field, field_bits, in_field, lookup, stored, strings
 from feescope.llm.components import connected_components
 
 _SEED = 42
@@ -202,12 +204,15 @@ def spanning_links(words: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
     order = np.lexsort([gray_rank(words[:, lane]) for lane in reversed(range(words.shape[1]))])
     links = []
-    for left, right in near_pairs(words[order], limit):
+    ordered = words[order]
+    for left, right in near_pairs(ordered, limit):
         label = parent
         while (label[label] != label).any():
             label = label[label]
         open_ = label[left] != label[right]
-        for i, j in zip(left[open_].tolist(), right[open_].tolist()):
+        left, right = left[open_], right[open_]
+        nearest = np.argsort(_distance(ordered[left], ordered[right]), kind="stable")  # closest pairs first
+        for i, j in zip(left[nearest].tolist(), right[nearest].tolist()):
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -277,3 +282,154 @@ def simhash_components(docs: DataFrame, words: int = 3, limit: int = 2) -> DataF
     ).select("bits", "component_id")
     found = lookup(prints, ["bits"], named, ["doc_id"])
     return found.select("doc_id", F.lower(F.hex("bits")).alias("fingerprint"), "component_id")
+
+
+# --- filtering by similarity ---------------------------------------------------
+
+#: Chance that a pair exactly at the similarity asked for meets in some node of the index.
+RECALL = 0.98
+_SLACK = 3.0
+
+
+def _angle(similarity: float) -> float:
+    """Share of bits in which texts of that Jaccard similarity differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similarity_masks(n_nodes: int, similarity: float, lanes: int) -> list[np.ndarray]:
+    """Random masks: about n/4 different values each, enough of them for ``RECALL`` at ``similarity``."""
+    bits = max(14, round(math.log2(max(2, n_nodes))) - 2)
+    met = (1 - _angle(similarity)) ** bits
+    return random_masks(lanes, bits, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
+
+
+def _row_key(doc_id: int | None, text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(text + b"\0" + str(doc_id).encode())
+
+
+def _row_keys(ids: pa.Array, texts: list[bytes]) -> list[bytes]:
+    return [_row_key(i, t) for i, t in zip(ids.to_pylist(), texts)]
+
+
+def _low(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)[:, 0].copy()
+
+
+def _key_hashes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_low(batch.column(0).to_pylist()))], ["h"])
+
+
+def _keyed_prints(words: int, lanes: int):
+    prints = _fingerprinted(words, lanes)
+
+    def run(batches):
+        for batch in batches:
+            keys = pa.array(_row_keys(batch.column(0), strings(batch.column(1))), pa.binary())
+            bits = [b.column(1) for b in prints([batch])]
+            joined = pa.concat_arrays(bits) if bits else pa.array([], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, joined], ["doc_id", "key", "bits"])
+
+    return run
+
+
+def _shingle_sets(words: int):
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in strings(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.asarray(v.values) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``links`` (a, b) whose first documents share shingles of Jaccard ``similarity`` or more, exactly."""
+    met = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(nodes.join(met, "node").select("node", F.col("first.key").alias("key")), "met")
+    shared = docs.sparkSession.sparkContext.broadcast(
+        bloom_field(wanted.select("key").mapInArrow(_key_hashes, "h long"), field_bits(wanted.count(), 1 << 30))
+    )
+
+    def probe(batches):
+        for batch in batches:
+            keys = _row_keys(batch.column(0), strings(batch.column(1)))
+            if keys:
+                part = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(1)], ["key", "text"])
+                yield part.filter(pa.array(in_field(shared.value, _low(keys))))
+
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = given.mapInArrow(probe, "key binary, text string").dropDuplicates(["key"])
+    grams = stored(
+        wanted.join(texts, "key").select("node", "text").mapInArrow(_shingle_sets(words), "node long, grams array<long>"), "grams"
+    )
+    first = lookup(links, ["a"], grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), ["b"])
+    both = lookup(first, ["b"], grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), ["a"])
+    return both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 2) -> DataFrame:
+    """``docs`` with one document, that of the smallest doc_id, of each group of near-duplicates.
+
+    Candidates differ in at most the share of bits expected at ``similarity`` plus ``_SLACK`` standard
+    deviations; every link taken is checked on the texts. Documents with equal fingerprints are one group.
+    The others of a group go, all other rows stay as they are and are not shuffled. Rows equal in doc_id and
+    text are one row.
+    """
+    columns = docs.columns
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = stored(given.mapInArrow(_keyed_prints(words, lanes), "doc_id long, key binary, bits binary"), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    nodes = stored(
+        prints.groupBy("bits").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64("bits")),
+        "nodes",
+    )
+    n_bits, share = 64 * lanes, _angle(similarity)
+    limit = int(n_bits * share + _SLACK * math.sqrt(n_bits * share * (1 - share)))
+    links = stored(near_links(nodes, similarity_masks(nodes.count(), similarity, lanes), limit).distinct(), "links")
+    roots = connected_components(similar_links(given, nodes, links, words, similarity))
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ruled = attach_totals(
+        placed,
+        ["root"],
+        [F.min("first").alias("f"), F.sum("n").alias("n_rows")],
+        [F.min("f").alias("best"), F.sum("n_rows").alias("n_rows")],
+        ["node"],
+    ).filter("n_rows > 1")
+    grouped = stored(
+        lookup(prints, ["bits"], ruled.select("bits", F.col("best.key").alias("best")), ["key"])
+        .filter("best is not null")
+        .select("key", (F.col("key") == F.col("best")).alias("stays"))
+        .distinct(),
+        "groups",
+    )
+    shared = docs.sparkSession.sparkContext.broadcast(
+        bloom_field(grouped.select("key").mapInArrow(_key_hashes, "h long"), field_bits(grouped.count(), 1 << 30))
+    )
+    at_id, at_text = columns.index("doc_id"), columns.index("text")
+
+    def probe(batches):
+        for batch in batches:
+            keys = _row_keys(batch.column(at_id), strings(batch.column(at_text)))
+            hit = in_field(shared.value, _low(keys)) if keys else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(keys, pa.binary()), pa.array(hit)], [*batch.schema.names, "_key", "_hit"]
+            )
+
+    rows = docs.mapInArrow(probe, StructType(docs.schema.fields[:]).add("_key", "binary").add("_hit", "boolean"))
+    found = rows.filter("_hit").join(grouped.select(F.col("key").alias("_key"), "stays"), "_key", "left")
+    alone = found.filter("stays is null").select(*columns)
+    kept = found.filter("stays").dropDuplicates(["_key"]).select(*columns)
+    return rows.filter("not _hit").select(*columns).unionByName(alone).unionByName(kept)
