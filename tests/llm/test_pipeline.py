@@ -1,0 +1,85 @@
+import random
+
+import corpus_pipeline
+from feescope.llm import mixing, simhash
+from feescope.llm.common import stored
+
+
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def near_corpus():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows, origin = [], {}
+    for i in range(120):
+        words = [word() for _ in range(rng.randint(150, 400))]
+        rows.append((1000 * i, " ".join(words)))
+        for c in range(rng.choice([0, 0, 1, 3])):
+            other = list(words)
+            for _ in range(2):
+                other[rng.randrange(len(other))] = word()
+            rows.append((1000 * i + c + 1, " ".join(other)))
+    return rows
+
+
+def test_near_copies_go_and_others_stay(docs):
+    rows = near_corpus() + [(7, None), (8, ""), (9, "one two"), (10, "one three"), (None, "alone in the world of words")]
+    given = docs(rows)
+    kept = simhash.keep_one_of_each(given)
+    assert kept.columns == given.columns
+    ids = {r.doc_id for r in kept.collect()}
+    text = dict(rows)
+    for i in sorted(k for k, _ in rows if k is not None and k >= 1000 or k == 0):
+        base = i // 1000 * 1000
+        like = len(shingles(text[i]) & shingles(text[base])) / len(shingles(text[i]) | shingles(text[base]))
+        assert (i in ids) == (i == base), (i, like)
+    assert {9, 10, None} <= ids and len(ids & {7, 8}) == 1
+
+
+def test_a_large_group_of_near_copies(docs):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i in range(400) for k in [rng.randrange(300)]]
+    rows += [(1000 + i, f"other text number {i} with its own words {i * 7}") for i in range(200)]
+    ids = {r.doc_id for r in simhash.keep_one_of_each(docs(rows)).collect()}
+    assert ids == {0, *range(1000, 1200)}
+
+
+def test_repeated_rows_and_empty_table(docs):
+    given = docs([(1, "a b c d e f g")] * 4 + [(2, "x y z")] * 3 + [(3, "q")])
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(given).collect()) == [1, 2, 3]
+    assert simhash.keep_one_of_each(docs([])).count() == 0
+
+
+def test_mixed_documents_hold_the_words_taken(docs):
+    rng = random.Random(3)
+    rows = [(i, " \n".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 60))), f"s{i % 4}") for i in range(300)]
+    rows += [(500, "a b", "s1"), (500, "a b", "s1"), (None, None, None)]
+    given = docs(rows)
+    taken = {}
+    for r in mixing.mix(given).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    mixed = mixing.mixed_documents(given)
+    assert mixed.columns == given.columns
+    words, texts = {}, dict((r[0], r[1]) for r in rows)
+    for r in mixed.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+        assert texts[r.doc_id].startswith(r.text)
+    assert words == {k: v for k, v in taken.items() if v}
+
+
+def test_stages_chain(spark, docs):
+    """Every stage but the last keeps the columns; run() over the small table ends in bins."""
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
+    sf_dir = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = given
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stored(stage(spark, at, sf_dir), name)
+        assert at.columns == given.columns and at.count() > 0
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sum(r.size for r in packed) == sum(len(r.text.split()) for r in at.collect())
