@@ -275,23 +275,22 @@ def _marks(candidates: DataFrame, length: int, wide: int) -> DataFrame:
             F.count(F.lit(1)).alias("times"), F.max("place").alias("place"), F.max("size").alias("size"), F.max("body").alias("body")
         ),
         "stretches",
+        compression="zstd",
     )
     whole = kinds.filter("times > 1").select(
         "anchor", "stretch", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).cast(_RANGES).alias("ranges")
     )
     varied = kinds.filter("body is not null").select("anchor", "stretch", "place", "body")
-    counted = attach_totals(
-        varied.select("anchor", "stretch"), ["anchor"], [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("kinds")], ["stretch"]
-    ).filter("kinds > 1")
-    rows = varied.join(counted, ["anchor", "stretch"])
+    many = varied.groupBy("anchor").count().filter(F.col("count") > wide).select("anchor")
+    # Each of these anchors stands for more than ``wide`` rows, so the list is a tiny part of them.
     narrow = (
-        rows.filter(F.col("kinds") <= wide).select("anchor", "stretch", "place", "body")
+        varied.join(F.broadcast(many), "anchor", "left_anti")
         .repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(_scan(length), f"anchor long, stretch long, ranges {_RANGES}")
     )
-    each = rows.filter(F.col("kinds") > wide).select("anchor", "stretch", "place", "body").mapInArrow(
+    each = varied.join(F.broadcast(many), "anchor", "left_semi").mapInArrow(
         _each_string(length), "anchor long, stretch long, s int, string binary"
-    )
+    )
     common_ = (
         attach_totals(each, ["anchor", "string"], [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")], ["stretch"])
         .filter("n > 1")
