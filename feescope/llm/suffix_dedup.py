@@ -326,26 +326,47 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide:
     # Parts of one stretch's ranges from two of the three ways are separate rows of marks; join them all.
     both = marks.groupBy("anchor", "stretch").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     placed = lookup(seen, ["anchor", "stretch"], both, ["key", "at"]).filter("ranges is not null")
-    return placed.groupBy("key").agg(
+    gathered = placed.groupBy("key").agg(
         F.flatten(F.collect_list(F.expr("transform(ranges, r -> struct(at + r.s as s, at + r.e as e))"))).alias("spans")
     )
+    return gathered.mapInArrow(_merge_spans, "key binary, spans array<struct<s: long, e: long>>")
+
+
+def merge_ranges(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (owner, start, end) of ranges that overlap or touch, for all owners at once."""
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    shift = owner * (int(end.max()) + 2) if len(end) else owner  # keeps owners apart in one running maximum
+    reach = np.maximum.accumulate(end + shift)
+    first = np.flatnonzero(np.r_[True, (start + shift)[1:] > reach[:-1]]) if len(end) else np.zeros(0, np.int64)
+    last = np.r_[first[1:] - 1, len(end) - 1] if len(end) else first
+    return owner[first], start[first], (reach - shift)[last]
+
+
+def _merge_spans(batches):
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten()
+        sizes = np.diff(np.asarray(lists.offsets))
+        owner, start, end = merge_ranges(
+            np.repeat(np.arange(len(sizes)), sizes), np.asarray(flat.field("s")), np.asarray(flat.field("e"))
+        )
+        upto = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sizes)))].astype(np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["s", "e"]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["key", "spans"])
 
 
 # --- removal ------------------------------------------------------------------
 
 
-def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """``text`` without the bytes of ``spans``, and the number of maximal removed runs."""
-    kept, runs, end = [], 0, 0
-    upto = -1
-    for s, e in sorted(spans):
-        if s > upto:  # a new run
-            runs += 1
-            kept.append(text[max(end, 0) : s])
-        upto = max(upto, e)
-        end = upto
+def without(text: bytes, spans: list[dict]) -> bytes:
+    """``text`` without the bytes of merged, ordered ``spans``."""
+    kept, end = [], 0
+    for span in spans:
+        kept.append(text[end : span["s"]])
+        end = span["e"]
     kept.append(text[end:])
-    return b"".join(kept), runs
+    return b"".join(kept)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -373,8 +394,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
             spans_ = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
             rows = []
             for text, own in zip(texts, spans_):
-                kept, runs = without(text, [(x["s"], x["e"]) for x in own]) if own else (text, 0)
-                rows.append((len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+                kept = without(text, own) if own else text
+                rows.append((len(text), len(text) - len(kept), len(own or ()), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
