@@ -26,6 +26,7 @@ from feescope.plans.pipeline import Pipeline, Settings  # noqa: E402
 from feescope.schemas import ALL_TIERS, GOLD_SCHEMAS, KNOWN_TIERS, SILVER  # noqa: E402
 from feescope.session import shared_dir  # noqa: E402
 from feescope.sources import (  # noqa: E402
+    CORRUPT,
     cached,
     cluster_by,
     gold_status,
@@ -51,7 +52,7 @@ except ModuleNotFoundError as missing:
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 KEY = ["Rndrng_NPI", "HCPCS_Cd", "Place_Of_Srvc"]
-FIXTURE_ROWS = (1000, 12_000_000)
+FIXTURE_ROWS = (1000, None)
 FIXTURE_STATES = (1, 65)
 
 
@@ -150,6 +151,24 @@ def _read_json_arrays(t: Tables) -> DataFrame:
     return silvers.trim_to_null(read_bronze(t.spark, path, "json"))
 
 
+def _read_json_lines(t: Tables) -> DataFrame:
+    path = t.scratch()
+    t.raw.write.json(path)
+    return silvers.trim_to_null(read_bronze(t.spark, path, "json"))
+
+
+def _corrupt_count(t: Tables) -> DataFrame:
+    """Every record of a provider whose number ends in 7 is cut short in the file."""
+    path = t.scratch()
+    text = F.to_json(F.struct(*t.raw.columns))
+    cut = F.when(F.col("Rndrng_NPI").endswith("7"), F.substring(text, 1, 40)).otherwise(text)
+    t.raw.select(cut.alias("value")).write.text(path)
+    back = read_bronze(t.spark, path, "json", keep_corrupt=True)
+    return back.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(CORRUPT).isNotNull()).alias("n_corrupt")
+    )
+
+
 def _read_csv(t: Tables) -> DataFrame:
     path = t.scratch()
     t.raw.write.option("header", True).option("escape", '"').csv(path)
@@ -169,21 +188,21 @@ def _loaded_gold(t: Tables) -> DataFrame:
 
 
 def _registered(t: Tables) -> DataFrame:
+    """Row counts through the catalog, in a database of its own that goes again."""
     job = t.pipeline()
-    register_gold(t.spark, job.root)
-    counts = [
-        t.spark.table(f"default.{name}")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(F.lit(name).alias("table_name"), "n_rows")
-        for name in GOLD_SCHEMAS
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    db = f"feescope_{uuid.uuid4().hex}"
+    try:
+        register_gold(t.spark, job.root, db)
+        counts = [(name, t.spark.table(f"{db}.{name}").count()) for name in GOLD_SCHEMAS]
+    finally:
+        t.spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+    return t.spark.createDataFrame(counts, "table_name string, n_rows long")
 
 
 def _cached_fact(t: Tables) -> DataFrame:
     root = t.scratch()
     path = table_path(root, "gold", "gold_hero_geo_arbitrage")
-    with cached(t.fact) as fact:
+    with cached(t.fact, marts.GEO_COLUMNS) as fact:
         write_table(marts.geo_arbitrage(fact), path, partition_by=["state_abrvtn"])
     return read_table(t.spark, root, "gold", "gold_hero_geo_arbitrage")
 
@@ -237,7 +256,9 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # sources
     "s01_read_bronze": _read_json_arrays,
     "s01_read_bronze_csv": _read_csv,
-    "s02_sample": lambda t: sample(t.raw),
+    "s01_read_bronze_lines": _read_json_lines,
+    "s01_corrupt_count": _corrupt_count,
+    "s02_sample": lambda t: sample(t.raw).agg(F.count(F.lit(1)).alias("n_rows")),
     "s03_read_table": lambda t: _stored(
         t, "silver", SILVER, t.silver, partition_by=["Rndrng_Prvdr_State_Abrvtn"]
     ).drop("Ingested_At"),
@@ -423,7 +444,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL per key; a sample has no defined rows, so it has none."""
+    """DuckDB SQL per key."""
     found = oracle_queries()
     if llm_queries:
         found |= llm_queries.oracle_sql()

@@ -42,7 +42,11 @@ def money_total(avg: Column, n: Column) -> Column:
 
 
 def sum_money(value: Column) -> Column:
-    return to_money(F.sum(value))
+    """Sum in cents; one beyond ``decimal(18,2)`` fails the query rather than become NULL."""
+    total = F.sum(value)
+    money = to_money(total)
+    overflow = F.raise_error(F.lit("money total beyond decimal(18,2)")).cast(MONEY)
+    return F.when(total.isNotNull() & money.isNull(), overflow).otherwise(money)
 
 
 def weighted_sum(value: Column, weight: Column) -> Column:

@@ -35,14 +35,19 @@ def first_known(value: Column) -> Column:
 def _assemble(
     silver: DataFrame, source_key: str, key: str, profile: dict[str, str], totals: dict[str, Column]
 ) -> DataFrame:
-    numbers = silver.groupBy(c(source_key).alias(key)).agg(
+    # Rows without a key form a group of their own. Both sides are grouped and joined by the same two
+    # non-null columns, so the join finds them partitioned already.
+    keyed = silver.withColumns(
+        {"_key": F.coalesce(c(source_key), F.lit("")), "_known": c(source_key).isNotNull()}
+    )
+    numbers = keyed.groupBy("_key", "_known").agg(
         *[total.alias(name) for name, total in totals.items()]
     )
-    described = silver.groupBy(c(source_key).alias("_key")).agg(
+    described = keyed.groupBy("_key", "_known").agg(
         *[first_known(c(source)).alias(name) for name, source in profile.items()]
     )
-    # Null-safe, because rows without a key form a group of their own.
-    return numbers.join(described, c(key).eqNullSafe(c("_key"))).drop("_key")
+    joined = numbers.join(described, ["_key", "_known"])
+    return joined.withColumn(key, F.when(c("_known"), c("_key"))).drop("_key", "_known")
 
 
 def build_dim_provider(silver: DataFrame) -> DataFrame:

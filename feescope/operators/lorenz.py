@@ -41,16 +41,20 @@ def bucket_offsets(placed: DataFrame, value: str) -> DataFrame:
     The windows here see one row per stretch, i.e. at most as many rows as the
     range exchange has partitions, whatever the size of the data.
     """
-    per_value = placed.groupBy(_BUCKET, value).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("t")
-    )
-    stretch = per_value.groupBy(_BUCKET).agg(
-        F.sum("n").alias("n"),
-        F.sum("t").alias("t"),
+    ends = placed.groupBy(_BUCKET).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(value).alias("t"),
         F.min(value).alias("lo"),
         F.max(value).alias("hi"),
-        F.min_by("t", value).alias("t_lo"),
     )
+    # Sum of the peers of each stretch's smallest value, against the same few rows.
+    lowest = (
+        placed.join(F.broadcast(ends.select(_BUCKET, "lo")), _BUCKET)
+        .filter(c(value) == c("lo"))
+        .groupBy(_BUCKET)
+        .agg(F.sum(value).alias("t_lo"))
+    )
+    stretch = ends.join(lowest, _BUCKET, "left")
     in_order = Window.orderBy(_BUCKET)
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     everywhere = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -87,9 +91,12 @@ def running_totals(
     order = [value, *tie_breakers]
     placed = bucketed(df, order, n_buckets)
     offsets = bucket_offsets(placed, value)
+    # By number, not by hash: every stretch is a task of its own.
+    n = placed._jdf.queryExecution().toRdd().getNumPartitions()
+    apart = placed.repartitionById(max(1, n), c(_BUCKET))
     rows = Window.partitionBy(_BUCKET).orderBy(*order)
     peers = Window.partitionBy(_BUCKET).orderBy(value)
-    local = placed.withColumn("_rn", F.row_number().over(rows)).withColumn(
+    local = apart.withColumn("_rn", F.row_number().over(rows)).withColumn(
         "_run", F.sum(value).over(peers)
     )
     total = placed.agg(F.sum(value)).schema[0].dataType

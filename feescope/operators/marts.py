@@ -24,10 +24,6 @@ from .lorenz import lorenz
 
 c = F.col
 
-# Above this many codes the basket is joined without a broadcast hint.
-_MAX_HINTED_BASKET = 100_000
-
-
 def _in_contract_order(df: DataFrame, name: str) -> DataFrame:
     return df.select(*GOLD_SCHEMAS[name].fieldNames())
 
@@ -52,13 +48,26 @@ def _busiest(volume: DataFrame, k: int) -> DataFrame:
 def basket_rows(fact: DataFrame, k: int = 50, dim_hcpcs: DataFrame | None = None) -> DataFrame:
     """Fact rows whose code is in the top-``k`` basket (semi-join).
 
-    With ``dim_hcpcs`` the basket costs no extra pass over the fact.
+    With ``dim_hcpcs`` the basket costs no extra pass over the fact. There is no join hint: adaptive
+    execution knows the size of the limited basket when it picks the join.
     """
     ranked = top_codes(fact, k) if dim_hcpcs is None else top_codes_of(dim_hcpcs, k)
-    basket = ranked.select("hcpcs_cd")
-    if k <= _MAX_HINTED_BASKET:
-        basket = F.broadcast(basket)
-    return fact.join(basket, "hcpcs_cd", "left_semi")
+    return fact.join(ranked.select("hcpcs_cd"), "hcpcs_cd", "left_semi")
+
+
+#: The fact columns that the mart reads, for a cache.
+GEO_COLUMNS = [
+    "hcpcs_cd",
+    "state_abrvtn",
+    "ruca_bucket",
+    "Tot_Srvcs",
+    "Tot_Benes",
+    "Avg_Mdcr_Stdzd_Amt",
+    "Geo_Premium",
+    "Tot_Mdcr_Pymt_Amt",
+    "Tot_Mdcr_Stdzd_Amt",
+    "Geo_Adj_Factor",
+]
 
 
 def geo_arbitrage(fact: DataFrame, k: int = 50, dim_hcpcs: DataFrame | None = None) -> DataFrame:

@@ -11,9 +11,11 @@ from ..functions import weighted_sum
 
 c = F.col
 
-# Accepted row counts, both ends exclusive.
+# Accepted row counts, both ends exclusive; None leaves an end open.
 FACT_BAND = (100_000, 12_000_000)
 FACT_BAND_SAMPLE = (1, 10_000)
+#: The band for any number of release years.
+FACT_BAND_OPEN = (100_000, None)
 GEOGRAPHY_BAND = (40, 65)
 GEOGRAPHY_BAND_SAMPLE = (1, 65)
 DRIFT_TOLERANCE = 0.01
@@ -21,6 +23,8 @@ DRIFT_TOLERANCE = 0.01
 # Dimension keys, and the fact columns that refer to them.
 KEYS = {"dim_provider": "npi", "dim_hcpcs": "hcpcs_cd", "dim_geography": "state_abrvtn"}
 
+Band = tuple[int | None, int | None]
+
 _OBSERVED = "decimal(28,4)"
 
 
@@ -69,11 +73,17 @@ def silver_checks(silver: DataFrame, drift_tol: float = DRIFT_TOLERANCE) -> Data
     )
 
 
-def row_count_check(df: DataFrame, name: str, band: tuple[int, int]) -> DataFrame:
-    """Row count strictly inside ``band``."""
+def row_count_check(df: DataFrame, name: str, band: Band) -> DataFrame:
+    """Row count strictly inside ``band``; an end that is None is open."""
     n = F.count(F.lit(1))
+    return _report(df, _line(name, n, *_inside(n, band)))
+
+
+def _inside(n: Column, band: Band) -> tuple[Column, str]:
     low, high = band
-    return _report(df, _line(name, n, (n > low) & (n < high), f"> {low} and < {high}"))
+    ends = [(n > low, f"> {low}")] * (low is not None) + [(n < high, f"< {high}")] * (high is not None)
+    passed = reduce(lambda a, b: a & b, [test for test, _ in ends], F.lit(True))
+    return passed, " and ".join(text for _, text in ends) or "any"
 
 
 def unique_check(df: DataFrame, name: str, *keys: str) -> DataFrame:
@@ -101,8 +111,8 @@ def run_checks(
     silver: DataFrame,
     fact: DataFrame,
     dims: Mapping[str, DataFrame],
-    row_band: tuple[int, int] = FACT_BAND,
-    geo_band: tuple[int, int] = GEOGRAPHY_BAND,
+    row_band: Band = FACT_BAND_OPEN,
+    geo_band: Band = GEOGRAPHY_BAND,
     drift_tol: float = DRIFT_TOLERANCE,
 ) -> DataFrame:
     """All thirteen checks as ``(check_name, passed, observed, threshold)``."""
@@ -118,6 +128,22 @@ def run_checks(
     return reduce(DataFrame.unionByName, parts)
 
 
+def raw_checks(silver: DataFrame, raw: Mapping[str, int], exact: bool = True) -> DataFrame:
+    """Corrupt raw records, and raw records that are in neither silver nor another country.
+
+    ``raw`` holds ``n_raw``, ``n_corrupt`` and ``n_abroad`` as counted while silver was written.
+    Without ``exact`` (rows were merged on purpose) silver may only have fewer rows.
+    """
+    expected = raw["n_raw"] - raw["n_corrupt"] - raw["n_abroad"]
+    lost = F.lit(expected) - F.count(F.lit(1))
+    corrupt = F.lit(raw["n_corrupt"])
+    return _report(
+        silver,
+        _line("raw_corrupt_records", corrupt, corrupt == 0, "= 0"),
+        _line("raw_records_kept", lost, lost == 0 if exact else lost >= 0, "= 0" if exact else ">= 0"),
+    )
+
+
 def foreign_key_checks(fact: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
     """Fact rows whose key is in no dimension, one line per dimension.
 

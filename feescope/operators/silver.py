@@ -45,7 +45,11 @@ def apply_casts(df: DataFrame, casts: Mapping[str, str] = SILVER_CASTS) -> DataF
     )
 
 
-def keep_country(df: DataFrame, country: str = "US") -> DataFrame:
+#: Fixed value: the country whose records are kept.
+COUNTRY = "US"
+
+
+def keep_country(df: DataFrame, country: str = COUNTRY) -> DataFrame:
     """Rows of one country; an unknown country is dropped."""
     return df.filter(c("Rndrng_Prvdr_Cntry") == country)
 

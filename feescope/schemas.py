@@ -257,9 +257,11 @@ CLUSTERING = {
     "gold_hero_credentials_markup": ["hcpcs_cd"],
     "gold_hero_site_neutral": ["site_ratio"],
 }
-# Unpartitioned tables that grow with the data get files with disjoint key ranges.
-# The others have a row per code at most; one sorted file serves them.
-RANGE_CLUSTERED = ["dim_provider"]
+# Tables that queries filter and that grow with the data get files with disjoint key ranges, inside
+# each partition value where there are partitions. Silver is sorted inside its files only: a range
+# exchange samples its input first, and would parse all raw text twice. The others have a row per code
+# at most; one sorted file serves them.
+RANGE_CLUSTERED = ["fact_provider_service", "dim_provider"]
 
 
 def schema_of(layer: str, name: str) -> StructType | None:

@@ -16,6 +16,8 @@ _DEFAULTS = {
     # expressions generated one by one are faster than one huge interpreted method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files go when the frame they serve is no longer used.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -47,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or "cluster" in context.master:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="feescope-checkpoints-")
     context.setCheckpointDir(fallback)

@@ -1,36 +1,79 @@
-"""Raw input: 28 text columns, no inference."""
+"""Raw input: 28 text columns, no inference, nothing lost in silence."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..schemas import RAW_COLUMNS, RAW_SCHEMA
 
+CORRUPT = "_corrupt_record"
+
 
 def read_bronze(
     spark: SparkSession,
     path: str | list[str],
     fmt: str = "json",
-    multi_line: bool = True,
+    multi_line: bool = False,
+    keep_corrupt: bool = False,
 ) -> DataFrame:
     """Read raw records with the fixed all-text schema.
 
-    ``json`` expects files that each hold one array of records. Such a file
-    cannot be split, so it is one task: export to many files, or to one record
-    per line with ``multi_line=False``, which splits like any text. ``csv``
-    expects a header. Missing fields are NULL, extra fields are ignored.
+    ``json`` reads files of one array or of JSON lines as text, line by line, so they split like any
+    text; a line may hold one record or several, with the brackets and commas of an array around
+    them. ``multi_line`` is for pretty-printed files, whose records span lines: each file is then one
+    value in one task. ``csv`` expects the same header in every file and fails on another one;
+    ``multi_line`` there allows line breaks inside quotes. Missing fields are NULL, extra fields are
+    ignored.
+
+    A piece of JSON that is no record fails the query, or, with ``keep_corrupt``, becomes a row with
+    its text in ``_corrupt_record`` and NULL elsewhere, for ``Pipeline`` to count.
     """
-    reader = spark.read.schema(RAW_SCHEMA)
     if fmt == "json":
-        return reader.option("multiLine", multi_line).json(path)
+        pieces = spark.read.text(path, wholetext=multi_line)
+        return _records(_lines(pieces) if multi_line else pieces, keep_corrupt)
     if fmt == "csv":
-        text = spark.read.option("header", True).option("escape", '"').csv(path)
-        # Matched by header name, so the order of columns is free.
+        # Spark takes the columns of one file for all; checking every header needs all columns read.
+        text = (
+            spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+            .option("enforceSchema", False).option("columnPruning", False).csv(path)
+        )
         absent = {n: F.lit(None).cast("string") for n in RAW_COLUMNS if n not in text.columns}
-        return text.withColumns(absent).select(*RAW_COLUMNS)
+        rows = text.withColumns(absent).select(*RAW_COLUMNS)
+        return rows.withColumn(CORRUPT, F.lit(None).cast("string")) if keep_corrupt else rows
     raise ValueError(f"unknown raw format {fmt!r}; use 'json' or 'csv'")
 
 
+def _lines(files: DataFrame) -> DataFrame:
+    """A file that holds an array stays whole; any other is taken as JSON lines."""
+    value = F.col("value")
+    is_array = F.ltrim(F.regexp_replace(value, r"^\s+", "")).startswith("[")
+    return files.select(F.explode(F.when(is_array, F.array(value)).otherwise(F.split(value, "\n"))).alias("value"))
+
+
+def _records(pieces: DataFrame, keep_corrupt: bool) -> DataFrame:
+    """One row per record of each piece; what does not parse is one corrupt row."""
+    inner = F.regexp_replace(F.regexp_replace("value", r"^[\s,\[]+", ""), r"[\s,\]]+$", "")
+    bodies = pieces.select("value", inner.alias("_body")).filter(F.length("_body") > 0)
+    items = F.from_json(F.concat(F.lit("["), F.col("_body"), F.lit("]")), ArrayType(RAW_SCHEMA))
+    rows = bodies.select("value", F.explode_outer(items).alias("_record"))
+    bad = F.col("_record").isNull()
+
+    def column(name: str) -> Column:
+        return F.col("_record")[name].alias(name)
+
+    if keep_corrupt:
+        return rows.select(*map(column, RAW_COLUMNS), F.when(bad, F.col("value")).alias(CORRUPT))
+    message = F.concat(F.lit("malformed raw record: "), F.substring("value", 1, 200))
+    first, *others = RAW_COLUMNS
+    checked = F.when(bad, F.raise_error(message)).otherwise(F.col("_record")[first]).alias(first)
+    return rows.select(checked, *map(column, others))
+
+
 def sample(df: DataFrame, n: int = 1000) -> DataFrame:
-    """Any ``n`` rows, for a cheap dry run."""
-    return df.limit(n)
+    """Any ``n`` rows, for a cheap dry run.
+
+    Taken a few partitions at a time until there are enough, so that a dry run does not scan
+    everything; they pass through the driver, so keep ``n`` small.
+    """
+    return df.sparkSession.createDataFrame(df.take(n), df.schema)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,21 +36,81 @@ def read_table(spark: SparkSession, root: str, layer: str, name: str) -> DataFra
     Naming the schema also keeps partition values as declared: without it a
     state column of digits would come back as a number, and last.
     """
-    path = table_path(root, layer, name)
-    stored = spark.read.parquet(path)
+    path = table_path(current_root(spark, root), layer, name)
     contract = schema_of(layer, name)
     if contract is None:
-        return stored
-    missing = set(contract.fieldNames()) - set(stored.columns)
-    extra = set(stored.columns) - set(contract.fieldNames())
-    if missing or extra:
-        raise ContractError(f"{path}: missing {sorted(missing)}, unexpected {sorted(extra)}")
-    # The type of a partition column is inferred from folder names, so not compared.
-    declared = {f.name: f.dataType for f in contract if f.name not in PARTITIONS.get(name, ())}
-    wrong = [n for n, kind in declared.items() if stored.schema[n].dataType != kind]
-    if wrong:
-        raise ContractError(f"{path}: other types than declared for {sorted(wrong)}")
-    return spark.read.schema(contract).parquet(path).select(*contract.fieldNames())
+        return spark.read.parquet(path)
+    stored = spark.read.schema(contract).parquet(path)  # the only listing
+    one = _first_file(stored)
+    if one is not None:
+        physical = spark.read.parquet(one).schema
+        folders = {part.split("=")[0] for part in one.split("/") if "=" in part}
+        present = set(physical.fieldNames()) | (folders & set(PARTITIONS.get(name, ())))
+        missing = set(contract.fieldNames()) - present
+        extra = present - set(contract.fieldNames())
+        if missing or extra:
+            raise ContractError(f"{path}: missing {sorted(missing)}, unexpected {sorted(extra)}")
+        declared = {f.name: f.dataType for f in contract if f.name in physical.fieldNames()}
+        wrong = [n for n, kind in declared.items() if physical[n].dataType != kind]
+        if wrong:
+            raise ContractError(f"{path}: other types than declared for {sorted(wrong)}")
+    return stored.select(*contract.fieldNames())
+
+
+def _first_file(stored: DataFrame) -> str | None:
+    """One file of a table that was just listed; its footer stands for the table's columns."""
+    relation = stored._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation()
+    files = relation.location().allFiles()
+    return files.head().getPath().toString() if files.nonEmpty() else None
+
+
+# --- published runs ---------------------------------------------------------------
+
+
+def run_root(root: str, run: str) -> str:
+    return f"{root.rstrip('/')}/_runs/{run}"
+
+
+def current_root(spark: SparkSession, root: str) -> str:
+    """The folder of the published run, or ``root`` itself if it holds tables directly."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_current")
+    filesystem = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not filesystem.exists(pointer):
+        return root
+    stream = filesystem.open(pointer)
+    try:
+        return run_root(root, stream.readUTF())
+    finally:
+        stream.close()
+
+
+def publish_run(spark: SparkSession, root: str, run: str) -> None:
+    """Make ``run`` the one that reads see: a small file is replaced, no table is moved.
+
+    The runs before the last two are removed; readers of the previous one can finish.
+    """
+    base = root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(f"{base}/_runs")
+    filesystem = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = current_root(spark, root).rsplit("/", 1)[-1]
+    stream = filesystem.create(path(f"{base}/_current.tmp"), True)
+    stream.writeUTF(run)
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        folder.toUri(), spark._jsc.hadoopConfiguration()
+    )
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    renames = spark.sparkContext._gateway.new_array(options, 1)
+    renames[0] = options.OVERWRITE
+    context.rename(
+        filesystem.makeQualified(path(f"{base}/_current.tmp")),
+        filesystem.makeQualified(path(f"{base}/_current")),
+        renames,
+    )
+    for status in filesystem.listStatus(folder):
+        if status.getPath().getName() not in (run, before):
+            filesystem.delete(status.getPath(), True)
 
 
 def load_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -65,15 +124,12 @@ def load_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def gold_status(spark: SparkSession, root: str) -> DataFrame:
-    """``(table_name, is_empty)`` for the probed gold tables; reads a row of each at most."""
+    """``(table_name, is_empty)`` for the probed gold tables.
 
-    def probe(name: str) -> DataFrame:
-        first = load_gold(spark, root, name).select(F.lit(1)).limit(1)
-        return first.agg((F.count(F.lit(1)) == 0).alias("is_empty")).select(
-            F.lit(name).alias("table_name"), "is_empty"
-        )
-
-    return reduce(DataFrame.unionByName, map(probe, GOLD_PROBE))
+    Each is read file by file until a row turns up, so a full table costs one small task.
+    """
+    rows = [(name, load_gold(spark, root, name).isEmpty()) for name in GOLD_PROBE]
+    return spark.createDataFrame(rows, "table_name string, is_empty boolean")
 
 
 def gold_is_empty(spark: SparkSession, root: str) -> bool:
@@ -160,9 +216,9 @@ def register_gold(spark: SparkSession, root: str, db: str = "default") -> list[s
     nothing is inferred from the files.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
-    registered = []
+    registered, published = [], current_root(spark, root)
     for name, contract in GOLD_SCHEMAS.items():
-        path = table_path(root, "gold", name)
+        path = table_path(published, "gold", name)
         table = f"`{db}`.`{name}`"
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         quoted = "'" + path.replace("\\", r"\\").replace("'", r"\'") + "'"

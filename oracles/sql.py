@@ -445,7 +445,9 @@ def _unique(name: str, table: str, key: str) -> str:
     return _check(name, n, f"{n} = 0", "= 0", table)
 
 
-def _band(name: str, table: str, low: int, high: int) -> str:
+def _band(name: str, table: str, low: int, high: int | None) -> str:
+    if high is None:
+        return _check(name, "count(*)", f"count(*) > {low}", f"> {low}", table)
     inside = f"count(*) BETWEEN {low + 1} AND {high - 1}"
     return _check(name, "count(*)", inside, f"> {low} and < {high}", table)
 
@@ -460,7 +462,7 @@ _CHECKS = {
     "d05_benes_min_11": _none_where("benes_min_11", "Tot_Benes < 11"),
     "d06_ratios_nonneg": _none_where("ratios_nonneg", "Markup_Ratio < 0"),
     "d07_provider_tier_set": _none_where("provider_tier_set", "Provider_Tier IS NULL"),
-    "d08_fact_row_count_band": _band("fact_row_count_band", "fact", 1000, 12_000_000),
+    "d08_fact_row_count_band": _band("fact_row_count_band", "fact", 1000, None),
     "d09_dim_provider_unique": _unique("dim_provider_unique", "dim_provider", "npi"),
     "d10_dim_hcpcs_unique": _unique("dim_hcpcs_unique", "dim_hcpcs", "hcpcs_cd"),
     "d11_dim_geo_unique": _unique("dim_geo_unique", "dim_geography", "state_abrvtn"),
@@ -532,6 +534,9 @@ SELECT specialty, non_par_premium_pct, 'Non-Par (N)', exposure_par_N FROM top_pa
 _BODIES = {
     "s01_read_bronze": "SELECT * FROM trimmed",
     "s01_read_bronze_csv": "SELECT * FROM trimmed",
+    "s01_read_bronze_lines": "SELECT * FROM trimmed",
+    "s01_corrupt_count": "SELECT count(*) AS n_rows, count(*) FILTER (WHERE Rndrng_NPI LIKE '%7') AS n_corrupt FROM trimmed",
+    "s02_sample": "SELECT least(count(*), 1000) AS n_rows FROM trimmed",
     "s03_read_table": "SELECT * FROM silver",
     "s05_load_gold": "SELECT * FROM site",
     "s06_gold_status": " UNION ALL ".join(

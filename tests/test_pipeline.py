@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from feescope.operators import quality
@@ -23,7 +25,7 @@ def test_whole_job_from_files_and_rerun(spark, records, tmp_path):
     write_json_arrays(records, f"{tmp_path}/raw")
     root = f"{tmp_path}/lake"
     results = run_files(spark, f"{tmp_path}/raw", root, settings=SETTINGS)
-    assert len(results) == 16 and all(ok for _, ok in results)
+    assert len(results) == 18 and all(ok for _, ok in results)
     job = Pipeline(spark, root, SETTINGS)
     names = [SILVER, *GOLD_SCHEMAS]
 
@@ -56,6 +58,58 @@ def test_failed_check_stops_the_job(spark, records, tmp_path):
         Pipeline(spark, str(tmp_path), strict).run(records)
 
 
+def test_a_failed_run_leaves_the_old_tables(spark, records, tmp_path):
+    root = f"{tmp_path}/lake"
+    Pipeline(spark, root, SETTINGS).run(records)
+    job = Pipeline(spark, root, SETTINGS)
+    before = quality.content_hash(job.table("fact_provider_service")).first()
+    strict = Settings(row_band=(10**6, None), geo_band=(1, 65))
+    with pytest.raises(quality.DataQualityError, match="fact_row_count_band"):
+        Pipeline(spark, root, strict).run(records.limit(300))
+    with pytest.raises(Exception):  # dies in the first stage
+        Pipeline(spark, root, SETTINGS).run(records.withColumn("HCPCS_Cd", F.raise_error(F.lit("lost"))))
+    assert quality.content_hash(job.table("fact_provider_service")).first() == before
+    assert not gold_is_empty(spark, root)
+
+
+def test_corrupt_and_lost_records_fail_the_gate(spark, records, tmp_path):
+    records.limit(200).write.json(f"{tmp_path}/raw")
+    with open(f"{tmp_path}/raw/cut.json", "w") as extra:
+        extra.write('{"Rndrng_NPI": "1", "HCPC')
+    with pytest.raises(quality.DataQualityError, match="raw_corrupt_records"):
+        run_files(spark, f"{tmp_path}/raw", f"{tmp_path}/lake", settings=SETTINGS)
+    raw = {"n_raw": 10, "n_corrupt": 0, "n_abroad": 2}
+    kept = {r.check_name: r.passed for r in quality.raw_checks(spark.range(7), raw).collect()}
+    assert kept == {"raw_corrupt_records": True, "raw_records_kept": False}
+
+
+def test_pretty_printed_files(spark, records, tmp_path):
+    import json
+
+    rows = [r.asDict() for r in records.limit(150).collect()]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.json").write_text(json.dumps(rows, indent=1))
+    results = run_files(spark, f"{tmp_path}/raw", f"{tmp_path}/lake", settings=SETTINGS, multi_line=True)
+    assert dict(results)["raw_records_kept"]
+
+
+def test_a_state_over_several_files_is_clustered_by_code(spark, records, tmp_path):
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        job = Pipeline(spark, f"{tmp_path}/lake", replace(SETTINGS, geo_band=(0, 65)))
+        job.run(records.withColumn("Rndrng_Prvdr_State_Abrvtn", F.lit("AX")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    fact = job.table("fact_provider_service")
+    files = fact.groupBy(F.input_file_name()).agg(F.min("hcpcs_cd").alias("lo"), F.max("hcpcs_cd").alias("hi")).collect()
+    code = sorted(r.lo for r in files)[len(files) // 2]
+    assert len(files) >= 4 and sum(r.lo <= code <= r.hi for r in files) <= 2
+
+
 def test_sample_mode(spark, records, tmp_path):
     settings = Settings(
         sample_rows=1000,

@@ -34,7 +34,7 @@ def test_json_arrays(spark, tmp_path):
         )
     )
     (tmp_path / "b.json").write_text("[]")
-    df = read_bronze(spark, f"{tmp_path}/*.json")
+    df = read_bronze(spark, f"{tmp_path}/*.json", multi_line=True)
     assert df.columns == RAW_COLUMNS and {t for _, t in df.dtypes} == {"string"}
     rows = {r.Rndrng_NPI: r for r in df.collect()}
     assert rows["1234567890"].Tot_Benes == "12.5" and rows["1234567890"].HCPCS_Cd == "true"
@@ -47,9 +47,42 @@ def test_json_lines_and_array_writer(spark, raw, tmp_path):
     write_json_arrays(df, f"{tmp_path}/arrays")
     write_json_arrays(df.limit(0), f"{tmp_path}/none")
     want = sorted(map(tuple, df.collect()))
-    assert sorted(map(tuple, read_bronze(spark, f"{tmp_path}/lines", multi_line=False).collect())) == want
-    assert sorted(map(tuple, read_bronze(spark, f"{tmp_path}/arrays").collect())) == want
-    assert read_bronze(spark, f"{tmp_path}/none").count() == 0
+    for multi_line in (False, True):
+        for layout in ("lines", "arrays"):
+            back = read_bronze(spark, f"{tmp_path}/{layout}", multi_line=multi_line)
+            assert sorted(map(tuple, back.collect())) == want, (layout, multi_line)
+        assert read_bronze(spark, f"{tmp_path}/none", multi_line=multi_line).count() == 0
+
+
+def test_several_records_on_a_line(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"Rndrng_NPI": "1", "x": [1, 2]}, {"Rndrng_NPI": "2"},\n {"Rndrng_NPI": "]3"}]\n')
+    for multi_line in (False, True):
+        rows = read_bronze(spark, str(tmp_path), multi_line=multi_line).collect()
+        assert sorted(r.Rndrng_NPI for r in rows) == ["1", "2", "]3"]
+
+
+def test_malformed_records_are_counted_or_fail(spark, tmp_path):
+    good = [json.dumps({"Rndrng_NPI": str(i), "HCPCS_Cd": "99213"}) for i in range(5)]
+    (tmp_path / "cut.json").write_text("[" + ",\n".join(good)[:-20])
+    for multi_line, corrupt, kept in ((False, 1, 4), (True, 1, 0)):
+        rows = read_bronze(spark, str(tmp_path), multi_line=multi_line, keep_corrupt=True).collect()
+        bad = [r for r in rows if r._corrupt_record is not None]
+        assert len(bad) == corrupt and len(rows) - len(bad) == kept
+        with pytest.raises(Exception, match="malformed raw record"):
+            read_bronze(spark, str(tmp_path), multi_line=multi_line).collect()
+    (tmp_path / "cut.json").write_text('{\n "Rndrng_NPI": "1"\n}\n17\n')
+    assert read_bronze(spark, str(tmp_path), keep_corrupt=True).filter("_corrupt_record IS NOT NULL").count() >= 2
+
+
+def test_csv_headers_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Rndrng_NPI,HCPCS_Cd\n1,99213\n")
+    (tmp_path / "b.csv").write_text("HCPCS_Cd,Rndrng_NPI\n99214,2\n")
+    for columns in (RAW_COLUMNS, ["Rndrng_NPI"]):
+        with pytest.raises(Exception, match="header|Header"):
+            read_bronze(spark, str(tmp_path), "csv").select(*columns).collect()
+    (tmp_path / "b.csv").write_text('Rndrng_NPI,HCPCS_Cd\n2,"99\n214"\n')
+    rows = read_bronze(spark, str(tmp_path), "csv", multi_line=True).collect()
+    assert sorted((r.Rndrng_NPI, r.HCPCS_Cd) for r in rows) == [("1", "99213"), ("2", "99\n214")]
 
 
 def test_csv_is_matched_by_header(spark, tmp_path):
