@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from feescope.llm.common import lookup, running_base, stored
+from feescope.llm.common import lookup, running_base, stored, thin
 
 CURVES = 8
 DIMENSIONS = 6
@@ -168,7 +168,7 @@ def _best(scores: np.ndarray, entry: np.ndarray, least: np.ndarray, k: int) -> n
 
 def _trial_window(index: DataFrame, ranked: DataFrame, queries: DataFrame, width: int, n_curves: int, k: int, target: float) -> int:
     """The smallest window that finds ``target`` of the brute-force neighbours of a few queries."""
-    trial = queries.orderBy(F.xxhash64("entry"), "entry").limit(TRIAL_QUERIES).collect()
+    trial = thin(queries, queries.count(), TRIAL_QUERIES, "entry").orderBy(F.xxhash64("entry"), "entry").limit(TRIAL_QUERIES).collect()
     if not trial:
         return 0
     spark = index.sparkSession
@@ -214,7 +214,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, target: float = 0.95,
     index = stored(
         entries(usable, k).select("vector", "ids", "entry").mapInArrow(_packed, "ids array<long>, entry long, vector binary"), "entries"
     )
-    sample = index.orderBy(F.xxhash64("vector"), "entry").limit(SAMPLE).select("vector").collect()
+    sample = thin(index, index.count(), SAMPLE, "vector").orderBy(F.xxhash64("vector"), "entry").limit(SAMPLE).select("vector").collect()
     curves = Curves(_vectors([r.vector for r in sample], width) if sample else np.zeros((0, max(1, width))), max(1, width), n_curves, DIMENSIONS, seed)
     asked = usable.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct()
 

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from feescope.llm.common import thin
+
 MAX_PAGES = 400
 _SAMPLE_BYTES = 60_000
 
@@ -473,7 +475,7 @@ class Layouts:
 def train(pages: DataFrame, max_pages: int = MAX_PAGES, layouts: int = 800, seed: int = 11) -> Trees:
     """Trees from a bounded sample of ``pages`` and random layouts of their texts."""
     sample = (
-        pages.select("page_id", "html").filter(F.length("html").between(1, _SAMPLE_BYTES))
+        thin(pages, pages.count(), max_pages, "page_id", "url").select("page_id", "html").filter(F.length("html").between(1, _SAMPLE_BYTES))
         .orderBy(F.xxhash64("page_id"), "page_id", "html").limit(max_pages).collect()
     )
     texts = []

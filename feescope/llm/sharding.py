@@ -42,9 +42,15 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def _sample(rows: DataFrame, n: int) -> list[tuple]:
-    """``n`` keys drawn without replacement with chances in proportion to size, sorted."""
+    """``n`` keys drawn without replacement with chances in proportion to size, sorted.
+
+    Exponential arrival times at a rate of the row's size; the first ``n`` rows are drawn. About
+    ``2 * n`` rows arrive before the bound, so no task sends more than its share of those.
+    """
     uniform = (F.pmod(F.xxhash64(*_KEY, F.lit(1)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    drawn = rows.orderBy(-F.log(uniform) / F.col("size"), *_KEY).limit(n).select(*_KEY)
+    arrival = -F.log(uniform) / F.col("size")
+    whole = rows.agg(F.sum("size")).first()[0] or 1
+    drawn = rows.filter(arrival < 2 * n / whole).orderBy(arrival, *_KEY).limit(n).select(*_KEY)
     return sorted(tuple(r) for r in drawn.collect())
 
 
