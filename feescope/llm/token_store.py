@@ -16,6 +16,7 @@ equal in doc_id are ordered by a hash of their text; an empty table gives an emp
 from __future__ import annotations
 
 import array
+import gc
 import re
 import zlib
 
@@ -111,6 +112,16 @@ class Encoder:
         cache.update([(word, cache[stem] + self._tails[tail]) for word, stem, tail in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # The collector would walk the cache again and again, and nothing made here is cyclic.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         # Without runs of white space, a break before every space and line feed is one of the pre-tokeniser's.
         split = [[t] if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         firsts = self._library([w[0] for w in split])
@@ -140,8 +151,8 @@ def _encoded(path: str, end_id: int):
     def run(batches):
         encoder, part, start = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 400):
+                piece = batch.slice(at, 400)
                 ids = [x + end for x in encoder.encode([t or "" for t in piece.column(1).to_pylist()])]
                 counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 ends = np.cumsum(counts)
