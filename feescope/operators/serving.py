@@ -12,6 +12,7 @@ from ..schemas import KNOWN_TIERS
 
 c = F.col
 
+# Fixed value: the filter choice that keeps all rows.
 ANY = "(All)"
 
 
@@ -103,6 +104,7 @@ def top_non_par(mart: DataFrame, k: int = 12) -> DataFrame:
         "side",
         "exposure",
     )
+    # The two labels.
     label = F.when(c("side") == "exposure_par_Y", "Participating (Y)").otherwise("Non-Par (N)")
     return points.withColumn("side", label)
 
@@ -170,6 +172,7 @@ def site_scatter(mart: DataFrame) -> DataFrame:
 
 # --- Outlier explorer --------------------------------------------------------
 
+# The columns of the explorer, in order.
 _EXPLORER = [
     "npi",
     "display_name",

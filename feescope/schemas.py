@@ -37,13 +37,8 @@ _TYPES = {
 }
 
 
-def _struct(spec: str) -> StructType:
-    """Build a schema from lines of ``type: name name ...``."""
-    fields = []
-    for line in spec.strip().splitlines():
-        kind, names = line.split(":")
-        fields += [StructField(n, _TYPES[kind.strip()], True) for n in names.split()]
-    return StructType(fields)
+def _table(columns: dict[str, str]) -> StructType:
+    return StructType([StructField(name, _TYPES[kind], True) for name, kind in columns.items()])
 
 
 # The 28 raw columns, all text, in file order.
@@ -104,141 +99,192 @@ ALL_TIERS = [*KNOWN_TIERS, OTHER_TIER]
 RUCA_BUCKETS = ["Urban", "Large rural", "Small rural / isolated", "Unknown"]
 SHARED_E_AND_M = ["99213", "99214", "99203", "99204", "99212", "99215"]
 
+# The silver table, its name and derived columns.
 SILVER = "physician_by_provider_service"
 SILVER_SCHEMA = StructType(
     [StructField(c, _TYPES[SILVER_CASTS.get(c, "string")], True) for c in RAW_COLUMNS]
-    + _struct(
-        """
-        string: service_sk
-        money: Tot_Sbmtd_Chrg Tot_Mdcr_Alowd_Amt Tot_Mdcr_Pymt_Amt Tot_Mdcr_Stdzd_Amt
-        money: Geo_Premium Patient_Exposure
-        ratio: Markup_Ratio Mdcr_Pymt_Rate Geo_Adj_Factor
-        boolean: Is_Drug Is_Facility Is_Participating Is_Org
-        int: RUCA_Int
-        boolean: Is_Rural
-        string: RUCA_Bucket Provider_Tier
-        int: Source_Year
-        timestamp: Ingested_At
-        """
+    + _table(
+        {
+            "service_sk": "string",
+            "Tot_Sbmtd_Chrg": "money",
+            "Tot_Mdcr_Alowd_Amt": "money",
+            "Tot_Mdcr_Pymt_Amt": "money",
+            "Tot_Mdcr_Stdzd_Amt": "money",
+            "Geo_Premium": "money",
+            "Patient_Exposure": "money",
+            "Markup_Ratio": "ratio",
+            "Mdcr_Pymt_Rate": "ratio",
+            "Geo_Adj_Factor": "ratio",
+            "Is_Drug": "boolean",
+            "Is_Facility": "boolean",
+            "Is_Participating": "boolean",
+            "Is_Org": "boolean",
+            "RUCA_Int": "int",
+            "Is_Rural": "boolean",
+            "RUCA_Bucket": "string",
+            "Provider_Tier": "string",
+            "Source_Year": "int",
+            "Ingested_At": "timestamp",
+        }
     ).fields
 )
 
+# Names, order and types of the columns of every gold table.
 GOLD_SCHEMAS = {
-    "dim_provider": _struct(
-        """
-        string: npi last_org_name first_name credentials_raw provider_tier ent_cd
-        boolean: is_org
-        string: specialty participation
-        boolean: is_participating
-        string: city state_abrvtn state_fips zip5
-        int: ruca_int
-        string: ruca_bucket
-        boolean: is_rural
-        money: total_mdcr_pymt
-        long: total_services n_distinct_hcpcs
-        string: display_name
-        """
+    "dim_provider": _table(
+        {
+            "npi": "string",
+            "last_org_name": "string",
+            "first_name": "string",
+            "credentials_raw": "string",
+            "provider_tier": "string",
+            "ent_cd": "string",
+            "is_org": "boolean",
+            "specialty": "string",
+            "participation": "string",
+            "is_participating": "boolean",
+            "city": "string",
+            "state_abrvtn": "string",
+            "state_fips": "string",
+            "zip5": "string",
+            "ruca_int": "int",
+            "ruca_bucket": "string",
+            "is_rural": "boolean",
+            "total_mdcr_pymt": "money",
+            "total_services": "long",
+            "n_distinct_hcpcs": "long",
+            "display_name": "string",
+        }
     ),
-    "dim_hcpcs": _struct(
-        """
-        string: hcpcs_cd hcpcs_desc hcpcs_drug_ind
-        boolean: is_drug
-        long: national_services
-        money: national_mdcr_pymt
-        long: n_providers
-        string: hcpcs_family
-        """
+    "dim_hcpcs": _table(
+        {
+            "hcpcs_cd": "string",
+            "hcpcs_desc": "string",
+            "hcpcs_drug_ind": "string",
+            "is_drug": "boolean",
+            "national_services": "long",
+            "national_mdcr_pymt": "money",
+            "n_providers": "long",
+            "hcpcs_family": "string",
+        }
     ),
-    "dim_geography": _struct(
-        """
-        string: state_abrvtn state_fips
-        long: n_providers total_benes_proxy
-        money: total_mdcr_pymt
-        double: rural_share_of_rows
-        avg_ratio: avg_geo_adj_factor
-        """
+    "dim_geography": _table(
+        {
+            "state_abrvtn": "string",
+            "state_fips": "string",
+            "n_providers": "long",
+            "total_benes_proxy": "long",
+            "total_mdcr_pymt": "money",
+            "rural_share_of_rows": "double",
+            "avg_geo_adj_factor": "avg_ratio",
+        }
     ),
-    "fact_provider_service": _struct(
-        """
-        string: service_sk npi specialty provider_tier state_abrvtn
-        int: ruca_int
-        string: ruca_bucket
-        boolean: is_rural is_participating is_org
-        string: hcpcs_cd
-        boolean: is_drug
-        string: place_of_srvc
-        boolean: is_facility
-        int: Tot_Benes
-        long: Tot_Srvcs Tot_Bene_Day_Srvcs
-        double: Avg_Sbmtd_Chrg Avg_Mdcr_Alowd_Amt Avg_Mdcr_Pymt_Amt Avg_Mdcr_Stdzd_Amt
-        money: Tot_Sbmtd_Chrg Tot_Mdcr_Alowd_Amt Tot_Mdcr_Pymt_Amt Tot_Mdcr_Stdzd_Amt
-        ratio: Markup_Ratio Mdcr_Pymt_Rate Geo_Adj_Factor
-        money: Geo_Premium Patient_Exposure
-        """
+    "fact_provider_service": _table(
+        {
+            "service_sk": "string",
+            "npi": "string",
+            "specialty": "string",
+            "provider_tier": "string",
+            "state_abrvtn": "string",
+            "ruca_int": "int",
+            "ruca_bucket": "string",
+            "is_rural": "boolean",
+            "is_participating": "boolean",
+            "is_org": "boolean",
+            "hcpcs_cd": "string",
+            "is_drug": "boolean",
+            "place_of_srvc": "string",
+            "is_facility": "boolean",
+            "Tot_Benes": "int",
+            "Tot_Srvcs": "long",
+            "Tot_Bene_Day_Srvcs": "long",
+            "Avg_Sbmtd_Chrg": "double",
+            "Avg_Mdcr_Alowd_Amt": "double",
+            "Avg_Mdcr_Pymt_Amt": "double",
+            "Avg_Mdcr_Stdzd_Amt": "double",
+            "Tot_Sbmtd_Chrg": "money",
+            "Tot_Mdcr_Alowd_Amt": "money",
+            "Tot_Mdcr_Pymt_Amt": "money",
+            "Tot_Mdcr_Stdzd_Amt": "money",
+            "Markup_Ratio": "ratio",
+            "Mdcr_Pymt_Rate": "ratio",
+            "Geo_Adj_Factor": "ratio",
+            "Geo_Premium": "money",
+            "Patient_Exposure": "money",
+        }
     ),
-    "gold_hero_geo_arbitrage": _struct(
-        """
-        string: state_abrvtn ruca_bucket
-        money: total_geo_premium total_pymt total_stdzd
-        long: total_benes_proxy total_services
-        avg_ratio: avg_geo_adj_factor
-        money: geo_premium_per_bene
-        """
+    "gold_hero_geo_arbitrage": _table(
+        {
+            "state_abrvtn": "string",
+            "ruca_bucket": "string",
+            "total_geo_premium": "money",
+            "total_pymt": "money",
+            "total_stdzd": "money",
+            "total_benes_proxy": "long",
+            "total_services": "long",
+            "avg_geo_adj_factor": "avg_ratio",
+            "geo_premium_per_bene": "money",
+        }
     ),
-    "gold_hero_non_par_premium": _struct(
-        """
-        string: specialty
-        money: exposure_par_Y
-        long: n_providers_Y
-        money: total_mdcr_pymt_Y exposure_par_N
-        long: n_providers_N
-        money: total_mdcr_pymt_N
-        ratio: non_par_premium_pct
-        """
+    "gold_hero_non_par_premium": _table(
+        {
+            "specialty": "string",
+            "exposure_par_Y": "money",
+            "n_providers_Y": "long",
+            "total_mdcr_pymt_Y": "money",
+            "exposure_par_N": "money",
+            "n_providers_N": "long",
+            "total_mdcr_pymt_N": "money",
+            "non_par_premium_pct": "ratio",
+        }
     ),
-    "gold_hero_jcode_concentration": _struct(
-        """
-        string: npi specialty state_abrvtn
-        money: drug_mdcr_pymt
-        long: drug_services
-        money: total_mdcr_pymt
-        ratio: drug_share
-        boolean: is_drug_dependent
-        ratio: cum_share_providers cum_share_drug
-        """
+    "gold_hero_jcode_concentration": _table(
+        {
+            "npi": "string",
+            "specialty": "string",
+            "state_abrvtn": "string",
+            "drug_mdcr_pymt": "money",
+            "drug_services": "long",
+            "total_mdcr_pymt": "money",
+            "drug_share": "ratio",
+            "is_drug_dependent": "boolean",
+            "cum_share_providers": "ratio",
+            "cum_share_drug": "ratio",
+        }
     ),
-    "gold_hero_credentials_markup": _struct(
-        """
-        string: hcpcs_cd
-        boolean: is_shared_e_and_m
-        ratio: Physician_MD_DO_markup
-        money: Physician_MD_DO_pymt
-        long: Physician_MD_DO_svcs
-        ratio: Nurse_Practitioner_markup
-        money: Nurse_Practitioner_pymt
-        long: Nurse_Practitioner_svcs
-        ratio: Physician_Assistant_markup
-        money: Physician_Assistant_pymt
-        long: Physician_Assistant_svcs
-        ratio: Specialist_markup
-        money: Specialist_pymt
-        long: Specialist_svcs
-        string: hcpcs_desc
-        """
+    "gold_hero_credentials_markup": _table(
+        {
+            "hcpcs_cd": "string",
+            "is_shared_e_and_m": "boolean",
+            "Physician_MD_DO_markup": "ratio",
+            "Physician_MD_DO_pymt": "money",
+            "Physician_MD_DO_svcs": "long",
+            "Nurse_Practitioner_markup": "ratio",
+            "Nurse_Practitioner_pymt": "money",
+            "Nurse_Practitioner_svcs": "long",
+            "Physician_Assistant_markup": "ratio",
+            "Physician_Assistant_pymt": "money",
+            "Physician_Assistant_svcs": "long",
+            "Specialist_markup": "ratio",
+            "Specialist_pymt": "money",
+            "Specialist_svcs": "long",
+            "hcpcs_desc": "string",
+        }
     ),
-    "gold_hero_site_neutral": _struct(
-        """
-        string: hcpcs_cd
-        money: F_pymt
-        long: F_svcs
-        money: F_total O_pymt
-        long: O_svcs
-        money: O_total
-        ratio: site_ratio
-        money: site_neutral_savings
-        string: hcpcs_desc
-        boolean: is_drug
-        """
+    "gold_hero_site_neutral": _table(
+        {
+            "hcpcs_cd": "string",
+            "F_pymt": "money",
+            "F_svcs": "long",
+            "F_total": "money",
+            "O_pymt": "money",
+            "O_svcs": "long",
+            "O_total": "money",
+            "site_ratio": "ratio",
+            "site_neutral_savings": "money",
+            "hcpcs_desc": "string",
+            "is_drug": "boolean",
+        }
     ),
 }
 
