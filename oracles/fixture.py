@@ -1,7 +1,8 @@
 """Raw-schema input derived from the given tables.
 
 The one SQL text below defines the input for both engines: it is data, not an
-operator, and runs unchanged in Spark SQL and DuckDB.
+operator, and runs unchanged in Spark SQL and DuckDB. Names, cities, descriptions and
+specialties differ between the rows of one key, so that picks and grains are put to the test.
 """
 
 from __future__ import annotations
@@ -37,22 +38,22 @@ WITH g AS (
 ), t AS (SELECT q.*, CASE WHEN k % 37 = 5 THEN 0 ELSE CAST(floor(py * (90 + nk % 21) / 1e2) AS bigint) END AS sd FROM q)
 SELECT CAST(1000000000 + k AS varchar(20)) AS Rndrng_NPI,
   concat('  ', s_name) AS Rndrng_Prvdr_Last_Org_Name,
-  CASE WHEN k % 10 = 3 THEN '' ELSE concat('First', CAST(k % 7 AS varchar(5))) END AS Rndrng_Prvdr_First_Name,
+  CASE WHEN k % 10 = 3 THEN '' ELSE concat('First', CAST((k + n) % 7 AS varchar(5))) END AS Rndrng_Prvdr_First_Name,
   CAST(NULL AS varchar(5)) AS Rndrng_Prvdr_MI,
   CASE k % 9 WHEN 0 THEN 'M.D.' WHEN 1 THEN 'D.O.' WHEN 2 THEN 'N.P.' WHEN 3 THEN ' PA-C ' WHEN 4 THEN 'O.D., F.A.A.O.'
     WHEN 5 THEN 'M.D., F.A.C.S.' WHEN 6 THEN 'MD' WHEN 7 THEN '   ' ELSE 'Esq.' END AS Rndrng_Prvdr_Crdntls,
   CASE WHEN k % 10 = 3 THEN 'O' ELSE 'I' END AS Rndrng_Prvdr_Ent_Cd,
   concat(CAST(k AS varchar(10)), ' MAIN ST') AS Rndrng_Prvdr_St1, '' AS Rndrng_Prvdr_St2,
-  concat('City', CAST(k % 7 AS varchar(5))) AS Rndrng_Prvdr_City,
+  concat('City', CAST((k + n) % 7 AS varchar(5))) AS Rndrng_Prvdr_City,
   concat(chr(65 + nk), 'X') AS Rndrng_Prvdr_State_Abrvtn,
   lpad(CAST(nk + 1 AS varchar(5)), 2, '0') AS Rndrng_Prvdr_State_FIPS,
   lpad(CAST(10000 + k AS varchar(10)), 5, '0') AS Rndrng_Prvdr_Zip5,
   CASE WHEN k % 13 = 0 THEN '99' WHEN k % 13 = 12 THEN '' WHEN k % 13 = 11 THEN '4.1' ELSE CAST(k % 13 AS varchar(5)) END AS Rndrng_Prvdr_RUCA,
   'desc' AS Rndrng_Prvdr_RUCA_Desc,
   CASE WHEN nk = 24 THEN 'CA' ELSE 'US' END AS Rndrng_Prvdr_Cntry,
-  concat('Specialty ', CAST(k % 15 AS varchar(5))) AS Rndrng_Prvdr_Type,
+  concat('Specialty ', CAST((k + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END) % 15 AS varchar(5))) AS Rndrng_Prvdr_Type,
   CASE WHEN k % 29 = 28 THEN '' WHEN floor(k / 15e0) % 5 = 0 THEN 'N' ELSE 'Y' END AS Rndrng_Prvdr_Mdcr_Prtcptg_Ind,
-  hcpcs AS HCPCS_Cd, concat('Service ', hcpcs) AS HCPCS_Desc,
+  hcpcs AS HCPCS_Cd, concat('Service ', hcpcs, CASE WHEN n % 3 = 0 THEN ' revised' ELSE '' END) AS HCPCS_Desc,
   CASE WHEN hcpcs LIKE 'J%' THEN 'Y' ELSE 'N' END AS HCPCS_Drug_Ind, pos AS Place_Of_Srvc,
   CAST(10 + n * 3 AS varchar(20)) AS Tot_Benes,
   CASE WHEN (k + n) % 41 = 0 THEN 'N/A' WHEN k % 2 = 0 THEN concat(CAST(srvcs AS varchar(20)), '.7') ELSE CAST(srvcs AS varchar(20)) END AS Tot_Srvcs,

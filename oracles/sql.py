@@ -6,6 +6,8 @@ half up in integer arithmetic, so their rounding path differs from the Spark cod
 
 from __future__ import annotations
 
+from feescope.schemas import RAW_COLUMNS
+
 from .fixture import DUCKDB_RAW_SQL
 
 # --- integer arithmetic ------------------------------------------------------
@@ -59,15 +61,7 @@ def _big(expr: str) -> str:
 
 # --- silver ------------------------------------------------------------------
 
-_RAW = (
-    "Rndrng_NPI Rndrng_Prvdr_Last_Org_Name Rndrng_Prvdr_First_Name Rndrng_Prvdr_MI "
-    "Rndrng_Prvdr_Crdntls Rndrng_Prvdr_Ent_Cd Rndrng_Prvdr_St1 Rndrng_Prvdr_St2 "
-    "Rndrng_Prvdr_City Rndrng_Prvdr_State_Abrvtn Rndrng_Prvdr_State_FIPS Rndrng_Prvdr_Zip5 "
-    "Rndrng_Prvdr_RUCA Rndrng_Prvdr_RUCA_Desc Rndrng_Prvdr_Cntry Rndrng_Prvdr_Type "
-    "Rndrng_Prvdr_Mdcr_Prtcptg_Ind HCPCS_Cd HCPCS_Desc HCPCS_Drug_Ind Place_Of_Srvc "
-    "Tot_Benes Tot_Srvcs Tot_Bene_Day_Srvcs "
-    "Avg_Sbmtd_Chrg Avg_Mdcr_Alowd_Amt Avg_Mdcr_Pymt_Amt Avg_Mdcr_Stdzd_Amt"
-).split()
+_RAW = RAW_COLUMNS
 _WHOLE = {"Tot_Benes": "INTEGER", "Tot_Srvcs": "BIGINT", "Tot_Bene_Day_Srvcs": "BIGINT"}
 _TEXT = [n for n in _RAW if n not in _WHOLE and not n.startswith("Avg_")]
 
