@@ -133,9 +133,11 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, group_share: float = 0.01
         .withColumn("weight", F.sum("size").over(group))
         .withColumn("first", F.min("upto").over(group))
         .withColumn(
-            "place", F.when(F.col("weight") <= int(group_share * whole / n_shards), F.col("first")).otherwise(F.col("upto"))
+            "middle",  # of the group, or of the row; doubled, so that it is a whole number
+            F.when(F.col("weight") <= int(group_share * whole / n_shards), 2 * F.col("first") + F.col("weight"))
+            .otherwise(2 * F.col("upto") + F.col("size")),
         )
-        .withColumn("shard", F.expr(f"cast(place * {n_shards} div {max(1, whole)} as int)"))
+        .withColumn("shard", F.expr(f"cast(middle * {n_shards} div {2 * max(1, whole)} as int)"))
     )
     kept = stored(placed.select("doc_id", "size", "text_crc32", "shard", "seat"), "placed")
     first = {r["shard"]: r["seat"] for r in kept.groupBy("shard").agg(F.min("seat").alias("seat")).collect()}
