@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feescope.llm import exact_dedup, mixing, packing, simhash, toxicity
-from feescope.llm.common import scratch, table
+from feescope.llm.common import scratch, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from ``labels`` and drops what scores 0.5 or more."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of texts that are equal but for white space."""
+    small_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group linked by 0.8 or more of its five-word shingles."""
+    small_batches(spark)
     return simhash.keep_one_of_each(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy that the mix takes; sources weigh 3, 1, 2, repeating."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document with its bin."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -14,7 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 SALTS = 64
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: Arrow batches of fewer rows keep the memory of a worker and its executor small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -80,8 +80,8 @@ def majority(hashes: np.ndarray, owner: np.ndarray, n_docs: int, lanes: int) ->
 def _fingerprinted(words: int, lanes: int):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 hashes = [shingle_hashes(t, words) for t in strings(part.column(1))]
                 flat = np.array([h for one in hashes for h in one], np.uint64)
                 owner = np.repeat(np.arange(len(hashes)), [len(one) for one in hashes])
@@ -168,12 +168,17 @@ class _Level:
         return np.bitwise_count((query ^ low) & ~(low ^ high)).sum(axis=-1, dtype=np.int32) <= limit
 
 
-def near_pairs(words: np.ndarray, limit: int, chunk: int = 256):
+#: Pairs of a query and a row, or a group, that are looked at together.
+_TOGETHER = 1 << 18
+
+
+def near_pairs(words: np.ndarray, limit: int):
     """Yield arrays (i, j), i > j, of rows within ``limit`` bits; rows must be in Gray order."""
     leaves = _Level(words, words)
     tops = _Level(leaves.low, leaves.high)
     n, n_leaves = len(words), len(leaves.low)
     fan = np.arange(_FAN)
+    chunk = max(1, min(256, _TOGETHER // max(1, n)))
     for at in range(0, n, chunk):
         queries = np.arange(at, min(n, at + chunk))
         upto = np.arange((queries[-1] // _FAN) // _FAN + 1)
@@ -336,8 +341,10 @@ def _keyed_prints(words: int, lanes: int):
 def _shingle_sets(words: int):
     def run(batches):
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in strings(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
     return run
 
