@@ -291,7 +291,7 @@ def simhash_components(docs: DataFrame, words: int = 3, limit: int = 2) -> DataF
 
 # --- filtering by similarity ---------------------------------------------------
 
-#: Chance that a pair exactly at the similarity asked for meets in some node of the index.
+#: Chance that a pair exactly at the similarity asked for is within the limit and meets in some node of the index.
 RECALL = 0.98
 _SLACK = 3.0
 
@@ -301,11 +301,32 @@ def _angle(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _limit(similarity: float, lanes: int) -> int:
+    """Bits in which texts of that similarity differ, plus ``_SLACK`` standard deviations."""
+    n_bits, share = 64 * lanes, _angle(similarity)
+    return int(n_bits * share + _SLACK * math.sqrt(n_bits * share * (1 - share)))
+
+
+def chance_met(n_masks: int, bits: int, similarity: float, lanes: int) -> float:
+    """Chance that a pair is within the limit and agrees on a mask: the mean over its number of differing bits."""
+    n_bits, share = 64 * lanes, _angle(similarity)
+    total = 0.0
+    for d in range(_limit(similarity, lanes) + 1):
+        met = math.comb(n_bits - d, bits) / math.comb(n_bits, bits)
+        total += math.comb(n_bits, d) * share**d * (1 - share) ** (n_bits - d) * (1 - (1 - met) ** n_masks)
+    return total
+
+
 def similarity_masks(n_nodes: int, similarity: float, lanes: int) -> list[np.ndarray]:
     """Random masks: about n/4 different values each, enough of them for ``RECALL`` at ``similarity``."""
     bits = max(14, round(math.log2(max(2, n_nodes))) - 2)
-    met = (1 - _angle(similarity)) ** bits
-    return random_masks(lanes, bits, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
+    few, enough = 0, 1
+    while chance_met(enough, bits, similarity, lanes) < RECALL:
+        few, enough = enough, 2 * enough
+    while enough - few > 1:
+        middle = (few + enough) // 2
+        few, enough = (few, middle) if chance_met(middle, bits, similarity, lanes) >= RECALL else (middle, enough)
+    return random_masks(lanes, bits, enough)
 
 
 def _row_key(doc_id: int | None, text: bytes) -> bytes:
@@ -387,7 +408,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: in
     return both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 2) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near-duplicates.
 
     Candidates differ in at most the share of bits expected at ``similarity`` plus ``_SLACK`` standard
@@ -403,9 +424,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
         prints.groupBy("bits").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64("bits")),
         "nodes",
     )
-    n_bits, share = 64 * lanes, _angle(similarity)
-    limit = int(n_bits * share + _SLACK * math.sqrt(n_bits * share * (1 - share)))
-    links = stored(near_links(nodes, similarity_masks(nodes.count(), similarity, lanes), limit).distinct(), "links")
+    links = stored(near_links(nodes, similarity_masks(nodes.count(), similarity, lanes), _limit(similarity, lanes)).distinct(), "links")
     roots = connected_components(similar_links(given, nodes, links, words, similarity))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ruled = attach_totals(

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 import xxhash
@@ -72,3 +74,14 @@ def test_null_and_repeated_ids_and_empty_table(docs):
         ("3", "3"), ("5", "5"), ("5", "5"), ("None", "5"), ("None", "None"),
     ]
     assert simhash.simhash_components(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("n_nodes", [10**4, 10**6])
+def test_masks_hold_the_recall_for_pairs_of_any_distance(n_nodes):
+    """Simulated fingerprints of pairs exactly at 0.8, whose differing bits spread around the mean."""
+    lanes, share = 4, math.acos(1.6 / 1.8) / math.pi
+    masks = np.unpackbits(np.stack(simhash.similarity_masks(n_nodes, 0.8, lanes)).view(np.uint8), axis=1).astype(np.float32)
+    differ = (np.random.default_rng(5).random((20_000, 64 * lanes)) < share).astype(np.float32)
+    met = (differ @ masks.T == 0).any(1) & (differ.sum(1) <= simhash._limit(0.8, lanes))
+    assert met.mean() > 0.97
+    assert 0.98 <= simhash.chance_met(len(masks), int(masks[0].sum()), 0.8, lanes) < 0.985
