@@ -77,16 +77,19 @@ def majority(hashes: np.ndarray, owner: np.ndarray, n_docs: int, lanes: int) ->
     return np.packbits(2 * counts > total, axis=2, bitorder="little").view("<u8").reshape(n_docs, lanes)
 
 
+def _prints(hashes: list, lanes: int) -> list[bytes]:
+    flat = np.concatenate([np.asarray(one, np.uint64) for one in hashes])
+    owner = np.repeat(np.arange(len(hashes)), [len(one) for one in hashes])
+    prints = majority(flat, owner, len(hashes), lanes).astype(">u8")
+    return [prints[i].tobytes() for i in range(len(hashes))]
+
+
 def _fingerprinted(words: int, lanes: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                hashes = [shingle_hashes(t, words) for t in strings(part.column(1))]
-                flat = np.array([h for one in hashes for h in one], np.uint64)
-                owner = np.repeat(np.arange(len(hashes)), [len(one) for one in hashes])
-                prints = majority(flat, owner, len(hashes), lanes).astype(">u8")
-                rows = [prints[i].tobytes() for i in range(len(hashes))]
+                rows = _prints([shingle_hashes(t, words) for t in strings(part.column(1))], lanes)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["doc_id", "bits"])
 
     return run
@@ -346,15 +349,21 @@ def _key_hashes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(_low(batch.column(0).to_pylist()))], ["h"])
 
 
+def _distinct_shingles(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
 def _keyed_prints(words: int, lanes: int):
-    prints = _fingerprinted(words, lanes)
+    """Fingerprints of the distinct shingles: similarity is that of sets, however often each repeats."""
 
     def run(batches):
         for batch in batches:
-            keys = pa.array(_row_keys(batch.column(0), strings(batch.column(1))), pa.binary())
-            bits = [b.column(1) for b in prints([batch])]
-            joined = pa.concat_arrays(bits) if bits else pa.array([], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, joined], ["doc_id", "key", "bits"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = strings(part.column(1))
+                keys = pa.array(_row_keys(part.column(0), texts), pa.binary())
+                bits = pa.array(_prints([_distinct_shingles(t, words) for t in texts], lanes), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), keys, bits], ["doc_id", "key", "bits"])
 
     return run
 
@@ -364,7 +373,7 @@ def _shingle_sets(words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in strings(part.column(1))]
+                sets = [_distinct_shingles(t, words).view(np.int64) for t in strings(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
     return run

@@ -83,3 +83,15 @@ def test_stages_chain(spark, docs):
         assert at.columns == given.columns and at.count() > 0
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert sum(r.size for r in packed) == sum(len(r.text.split()) for r in at.collect())
+
+
+def test_repeats_of_a_shingle_do_not_part_equal_sets(docs):
+    """Texts of equal shingle sets, one with a line many times over."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(20):
+        line = " ".join(f"l{rng.randrange(10**6)}" for _ in range(10))
+        body = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+        rows += [(10 * i, f"{body} {line} {line}"), (10 * i + 1, f"{body} {' '.join([line] * 40)}")]
+        assert shingles(rows[-1][1]) == shingles(rows[-2][1])
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs(rows)).collect()} == {10 * i for i in range(20)}
