@@ -263,7 +263,7 @@ def _linked(limit: int):
 
 
 def near_links(nodes: DataFrame, masks: list[np.ndarray], limit: int) -> DataFrame:
-    """Links (a, b) between ``nodes`` (node long, bits binary, distinct) within ``limit`` bits."""
+    """Links (a, b) between ``nodes`` (node long, bits binary) within ``limit`` bits."""
     keyed = nodes.select("node", "bits").mapInArrow(_keyed(masks), "mask int, key long, node long, bits binary")
     dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInArrow(_linked(limit), "a long, b long")
@@ -354,7 +354,7 @@ def _distinct_shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def _keyed_prints(words: int, lanes: int):
-    """Fingerprints of the distinct shingles: similarity is that of sets, however often each repeats."""
+    """Digest and fingerprint of the distinct shingles: similarity is that of sets, however often each repeats."""
 
     def run(batches):
         for batch in batches:
@@ -362,8 +362,12 @@ def _keyed_prints(words: int, lanes: int):
                 part = batch.slice(at, 200)
                 texts = strings(part.column(1))
                 keys = pa.array(_row_keys(part.column(0), texts), pa.binary())
-                bits = pa.array(_prints([_distinct_shingles(t, words) for t in texts], lanes), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), keys, bits], ["doc_id", "key", "bits"])
+                sets = [_distinct_shingles(t, words) for t in texts]
+                digests = pa.array([xxhash.xxh3_128_digest(one.astype("<u8").tobytes()) for one in sets], pa.binary())
+                bits = pa.array(_prints(sets, lanes), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), keys, digests, bits], ["doc_id", "key", "digest", "bits"]
+                )
 
     return run
 
@@ -421,16 +425,18 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     """``docs`` with one document, that of the smallest doc_id, of each group of near-duplicates.
 
     Candidates differ in at most the share of bits expected at ``similarity`` plus ``_SLACK`` standard
-    deviations; every link taken is checked on the texts. Documents with equal fingerprints are one group.
+    deviations; every link taken is checked on the texts. Documents of one set of shingles are one node.
     The others of a group go, all other rows stay as they are and are not shuffled. Rows equal in doc_id and
     text are one row.
     """
     columns = docs.columns
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = stored(given.mapInArrow(_keyed_prints(words, lanes), "doc_id long, key binary, bits binary"), "fingerprints")
+    prints = stored(given.mapInArrow(_keyed_prints(words, lanes), "doc_id long, key binary, digest binary, bits binary"), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     nodes = stored(
-        prints.groupBy("bits").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64("bits")),
+        prints.groupBy("digest", "bits")
+        .agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+        .withColumn("node", F.xxhash64("digest")),
         "nodes",
     )
     links = stored(near_links(nodes, similarity_masks(nodes.count(), similarity, lanes), _limit(similarity, lanes)).distinct(), "links")
@@ -444,7 +450,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
         ["node"],
     ).filter("n_rows > 1")
     grouped = stored(
-        lookup(prints, ["bits"], ruled.select("bits", F.col("best.key").alias("best")), ["key"])
+        lookup(prints, ["digest"], ruled.select("digest", F.col("best.key").alias("best")), ["key"])
         .filter("best is not null")
         .select("key", (F.col("key") == F.col("best")).alias("stays"))
         .distinct(),

@@ -95,3 +95,10 @@ def test_repeats_of_a_shingle_do_not_part_equal_sets(docs):
         rows += [(10 * i, f"{body} {line} {line}"), (10 * i + 1, f"{body} {' '.join([line] * 40)}")]
         assert shingles(rows[-1][1]) == shingles(rows[-2][1])
     assert {r.doc_id for r in simhash.keep_one_of_each(docs(rows)).collect()} == {10 * i for i in range(20)}
+
+
+def test_filler_does_not_merge_different_texts(docs):
+    """One shingle makes up over half of each text."""
+    rng = random.Random(6)
+    rows = [(i, "la " * 300 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for i in range(30)]
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs(rows)).collect()} == set(range(30))
