@@ -3,7 +3,8 @@
 Distinct fingerprints are dealt to upper nodes by shared masked bit patterns. Inside a node they
 are sorted by Gray rank and grouped again; every group keeps the bits its members agree on, so a
 query whose accumulated differences on those bits exceed the limit skips the whole group. A node
-emits a spanning forest of its links, never all pairs.
+emits a spanning forest of its links, never all pairs. (The filter by similarity adds a second pass over pairs of
+unlike components, see ``similar_components``.)
 
 ``exact_masks`` loses no pair: with 64 bits in ``blocks`` equal blocks and at most r differing
 bits, some ``blocks - r`` blocks agree. With 8 blocks and r = 2 a node holds at most 2^16 distinct
@@ -139,7 +140,7 @@ def _keyed(masks: list[np.ndarray]):
                     key = _mixed(key, 1) ^ (words[:, lane] & mask[lane])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(words), i, np.int32)), pa.array(key.view(np.int64)), *batch.columns],
-                    ["mask", "key", "node", "bits"],
+                    ["mask", "key", *batch.schema.names],
                 )
 
     return run
@@ -228,40 +229,50 @@ def spanning_links(words: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return links
 
 
-def _linked(limit: int):
-    """Stream nodes in (mask, key) order; the last, maybe unfinished node waits for the next batch."""
+def _node_ends(mask: np.ndarray, key: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+    starts, ends = np.r_[0, edge], np.r_[edge, len(key)]
+    return list(zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()))
 
-    def links(mask, key, node, words):
-        edge = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-        starts, ends = np.r_[0, edge], np.r_[edge, len(key)]
-        found_a, found_b = [], []
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            for i, j in spanning_links(words[s:e], limit):
-                found_a.append(node[s + i])
-                found_b.append(node[s + j])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"]
-        )
+
+def _pairs_batch(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _streamed(links):
+    """Stream nodes in (mask, key) order to ``links``; the last, maybe unfinished node waits for the next batch."""
 
     def run(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.asarray(batch.column(i)) for i in range(3)] + [_words(batch.column(3))]
+            now = [_words(c) if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             cut = last[-1] + 1 if len(last) else 0
             if cut:
-                yield links(*[x[:cut] for x in now])
+                yield from links(*[x[:cut] for x in now])
             held = [x[cut:] for x in now]
         if held is not None:
-            yield links(*held)
+            yield from links(*held)
 
     return run
 
 
+def _linked(limit: int):
+    def links(mask, key, node, words):
+        found_a, found_b = [], []
+        for s, e in _node_ends(mask, key):
+            for i, j in spanning_links(words[s:e], limit):
+                found_a.append(node[s + i])
+                found_b.append(node[s + j])
+        yield _pairs_batch(found_a, found_b)
+
+    return _streamed(links)
+
+
 def near_links(nodes: DataFrame, masks: list[np.ndarray], limit: int) -> DataFrame:
     """Links (a, b) between ``nodes`` (node long, bits binary) within ``limit`` bits."""
     keyed = nodes.select("node", "bits").mapInArrow(_keyed(masks), "mask int, key long, node long, bits binary")
@@ -383,6 +394,63 @@ def _shingle_sets(words: int):
     return run
 
 
+#: Bits of a signature: each shingle sets one.
+_SIGNATURE = 512
+
+
+def _signatures(batches):
+    """Size and signature of every set of shingles."""
+    for batch in batches:
+        sizes, signs = [], []
+        for grams in batch.column(1):
+            grams = np.asarray(grams.values).view(np.uint64)
+            met = np.zeros(_SIGNATURE, np.uint8)
+            met[(_mixed(grams, 5) % np.uint64(_SIGNATURE)).astype(np.int64)] = 1
+            sizes.append(len(grams))
+            signs.append(np.packbits(met).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], ["node", "size", "sign"]
+        )
+
+
+def may_be_similar(size_x, sign_x, size_y, sign_y, least: float) -> np.ndarray:
+    """False only for pairs that are surely below ``least``: a bit set in one alone is a shingle the other lacks."""
+    alone_x = np.bitwise_count(sign_x & ~sign_y).sum(axis=-1, dtype=np.int64)
+    alone_y = np.bitwise_count(sign_y & ~sign_x).sum(axis=-1, dtype=np.int64)
+    both = np.minimum(size_x - alone_x, size_y - alone_y)
+    return both >= least * (size_x + size_y - both) - 1e-6
+
+
+def _open(masks: list[np.ndarray], limit: int, least: float):
+    """All pairs within ``limit`` of unlike ``label`` that may be similar, each in the first mask it meets in."""
+
+    def links(mask, key, node, words, label, size, sign):
+        for s, e in _node_ends(mask, key):
+            if (label[s:e] == label[s]).all():
+                continue
+            order = s + np.lexsort([gray_rank(words[s:e, lane]) for lane in reversed(range(words.shape[1]))])
+            for i, j in near_pairs(words[order], limit):
+                i, j = order[i], order[j]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                for earlier in masks[: mask[s]]:
+                    new = ((words[i] ^ words[j]) & earlier).any(axis=1)
+                    i, j = i[new], j[new]
+                maybe = may_be_similar(size[i], sign[i], size[j], sign[j], least)
+                if maybe.any():
+                    yield _pairs_batch(node[i[maybe]], node[j[maybe]])
+
+    return _streamed(links)
+
+
+def open_links(nodes: DataFrame, masks: list[np.ndarray], limit: int, least: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, bits, label, size, sign) that no known link joins, see ``_open``."""
+    given = nodes.select("node", "bits", "label", "size", "sign")
+    keyed = given.mapInArrow(_keyed(masks), "mask int, key long, node long, bits binary, label long, size long, sign binary")
+    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
+    return dealt.mapInArrow(_open(masks, limit, least), "a long, b long")
+
+
 def _similar(least: float):
     def run(batches):
         for batch in batches:
@@ -396,8 +464,8 @@ def _similar(least: float):
     return run
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``links`` (a, b) whose first documents share shingles of Jaccard ``similarity`` or more, exactly."""
+def shingles_of(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int) -> DataFrame:
+    """(node, grams): the set of shingles of every node in ``links`` (a, b)."""
     met = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stored(nodes.join(met, "node").select("node", F.col("first.key").alias("key")), "met")
     shared = docs.sparkSession.sparkContext.broadcast(
@@ -413,14 +481,41 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: in
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = given.mapInArrow(probe, "key binary, text string").dropDuplicates(["key"])
-    grams = stored(
+    return stored(
         wanted.join(texts, "key").select("node", "text").mapInArrow(_shingle_sets(words), "node long, grams array<long>"), "grams"
     )
+
+
+def similar_links(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """``links`` (a, b) whose sets in ``grams`` are of Jaccard ``similarity`` or more, exactly."""
     first = lookup(links, ["a"], grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), ["b"])
     both = lookup(first, ["b"], grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), ["a"])
     return both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
 
 
+def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, lanes: int) -> DataFrame:
+    """(node, root) of the components of checked links, without the roots themselves.
+
+    The first pass checks a spanning forest of the candidates of each mask. It joins most of a group with few links,
+    but a link that fails the check may have taken the place of one that holds. The second pass therefore takes
+    every candidate between components of checked links, so that no unchecked link stands for another.
+    """
+    masks, limit = similarity_masks(nodes.count(), similarity, lanes), _limit(similarity, lanes)
+    forest = stored(near_links(nodes, masks, limit).distinct(), "links")
+    grams = shingles_of(docs, nodes, forest, words)
+    checked = stored(connected_components(similar_links(forest, grams, similarity)).select("node", "root"), "checked")
+    signed = grams.mapInArrow(_signatures, "node long, size long, sign binary")  # a node without candidates is in no forest
+    labelled = (
+        signed.join(nodes.select("node", "bits"), "node").join(checked, "node", "left")
+        .withColumn("label", F.coalesce("root", "node"))
+    )
+    rest = stored(open_links(labelled, masks, limit, similarity), "open")
+    more = stored(similar_links(rest, grams, similarity), "more")
+    if more.isEmpty():
+        return checked
+    return connected_components(checked.toDF("a", "b").unionByName(more))
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near-duplicates.
 
@@ -439,8 +534,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
         .withColumn("node", F.xxhash64("digest")),
         "nodes",
     )
-    links = stored(near_links(nodes, similarity_masks(nodes.count(), similarity, lanes), _limit(similarity, lanes)).distinct(), "links")
-    roots = connected_components(similar_links(given, nodes, links, words, similarity))
+    roots = similar_components(given, nodes, words, similarity, lanes)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ruled = attach_totals(
         placed,

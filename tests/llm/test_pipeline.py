@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from feescope.llm import mixing, simhash
 from feescope.llm.common import stored
@@ -102,3 +105,40 @@ def test_filler_does_not_merge_different_texts(docs):
     rng = random.Random(6)
     rows = [(i, "la " * 300 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for i in range(30)]
     assert {r.doc_id for r in simhash.keep_one_of_each(docs(rows)).collect()} == set(range(30))
+
+
+def test_true_pairs_inside_a_template_group(docs):
+    """Texts of one template at 0.70, with sibling pairs at 0.82 or more among them, against brute force."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template, rows = [word() for _ in range(250)], []
+    for i in range(200):
+        own = [word() for _ in range(53)]
+        rows.append((i, " ".join(template + own)))
+        if i < 40:
+            rows.append((1000 + i, " ".join(template + own[:25] + [word() for _ in range(28)])))
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both = len(sets[i] & sets[j])
+            if i < j and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root[j] = min(root[j], root[i])
+    true = {j for j in sets if root[j] != j}
+    assert len(true) == 40
+    gone = set(sets) - {r.doc_id for r in simhash.keep_one_of_each(docs(rows)).collect()}
+    assert gone <= true and len(gone) >= 37
+
+
+def test_signatures_bar_no_similar_pair():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**62, n)) for n in (0, 1, 5, 100, 3000)]
+    sets += [np.unique(np.r_[x[: int(k * len(x))], rng.integers(0, 2**62, len(x) // 9)]) for x in sets for k in (0.8, 0.9, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+    (out,) = simhash._signatures([batch])
+    size, sign = np.asarray(out.column(1)), simhash._words(out.column(2))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert simhash.may_be_similar(size[[i]], sign[[i]], size[[j]], sign[[j]], 0.8)[0]
