@@ -33,6 +33,10 @@ _SAMPLE_BYTES = 60_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text of the page.
 SILENT = frozenset("script style head title template noscript iframe svg canvas object select option textarea button audio video".split())
+#: Their content is not read as markup.
+RAW = frozenset("script style title textarea noscript template iframe".split())
+#: What does not end an open head.
+IN_HEAD = RAW - {"textarea", "iframe"} | frozenset("base basefont bgsound link meta html head".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr".split()
@@ -68,6 +72,53 @@ _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|data-gold)\s*=\s*(?:\"([^\"]
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _raw_end(source: str, at: int, tag: str, attributes: str, inside: str = "") -> int:
+    """Where the content of a raw element that opens before ``at`` and its end tag are over."""
+    if attributes.endswith("/") and (tag == "iframe" or inside == "svg"):
+        return at
+    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+    return close.end() if close else len(source)
+
+
+def _silent_end(source: str, at: int, tag: str, stack: list[tuple[str, int]]) -> int:
+    """Where the silent element that opens before ``at`` is over; 0 if its parent ends, or another opens, before its end tag."""
+    around, inner, nested = {t for t, _ in stack} | {"html", "body"}, [], 0
+    if not re.compile(rf"</{tag}\b", re.I).search(source, at):
+        return 0
+    while match := _MARKUP.search(source, at):
+        at = match.end()
+        name = (match[2] or match[5] or "").lower()
+        attributes = match[3] or match[6] or ""
+        if not name:
+            continue
+        if (match[1] or match[4]) == "/":
+            if name == tag:
+                if not nested:
+                    return at
+                nested -= 1
+            elif name in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(name) :]
+            elif name in around:
+                return 0
+        elif name in RAW:
+            at = _raw_end(source, at, name, attributes, tag)
+        elif name == "body" or name == tag and tag not in ("object", "svg", "canvas"):
+            return 0
+        elif not attributes.endswith("/"):
+            if name == tag:
+                nested += 1
+            elif name not in VOID:
+                inner.append(name)
+    return 0
+
+
+def _ends_silent(silent: str, tag: str, closing: bool, stack: list[tuple[str, int]]) -> bool:
+    """Whether a tag ends a head, or another silent element that lacks its end tag."""
+    if silent == "head":
+        return tag in ("body", "html") if closing else tag not in IN_HEAD
+    return any(t == tag for t, _ in stack) if closing else tag == silent or tag in _TAG_GROUP
+
+
 class Page:
     """Block nodes in page order, and the text runs with the node each belongs to."""
 
@@ -102,6 +153,8 @@ class Page:
         while at < end:
             match = find(source, at)
             start = match.start() if match else end
+            if silent == "head" and source[at:start].strip():
+                silent = ""
             if start > at and not silent:
                 text = source[at:start]
                 self.runs.append((stack[-1][1], entities.unescape(text) if "&" in text else text, links > 0))
@@ -113,23 +166,24 @@ class Page:
                 continue
             tag, closing = tag.lower(), (match[1] or match[4]) == "/"
             attributes = match[3] or match[6] or ""
+            if tag in RAW:
+                if not closing:
+                    at = _raw_end(source, at, tag, attributes, silent)
+                continue
             if silent:
                 if closing and tag == silent:
                     silent = ""
-                continue
-            if tag in ("script", "style", "title", "textarea", "noscript", "template", "iframe"):
-                if not closing and not (attributes.endswith("/") and tag == "iframe"):
-                    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                    at = close.end() if close else end
-                continue
+                    continue
+                if not _ends_silent(silent, tag, closing, stack):
+                    continue
+                silent = ""
             if tag in SILENT:
                 if tag != "head" and not closing and not attributes.endswith("/"):
-                    silent = tag
+                    close = _silent_end(source, at, tag, stack)
+                    at, silent = (close, "") if close else (at, tag)
                 elif tag == "head" and not closing:
                     silent = "head"
                 continue
-            if tag == "body" and not closing:
-                silent = ""
             if tag in INLINE:
                 if closing:
                     for i in range(len(stack) - 1, 0, -1):

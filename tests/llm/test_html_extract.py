@@ -87,3 +87,38 @@ def test_trees_learn():
     y = ((data[:, 0] > 0.3) ^ (data[:, 1] < -0.2)).astype(float)
     trees = x.boost(data, y)
     assert ((trees(data) > 0) == y).mean() > 0.97
+
+
+def all_text(source):
+    page = x.Page(source)
+    return page.text([True] * len(page.parent))
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<html><head><meta charset=x><title>T</title><body><p>one two</p></body></html>", "one two"),
+        ("<head><title>T</title><link rel=x><p>one</p><p>two", "one two"),
+        ("<head><title>T</title>one <b>two</b>", "one two"),
+        ("<head><script>var a = '<body><p>no';</script><style>p {}</style>\n</head><body>one two", "one two"),
+        ("<head><svg><title>no</title></svg><div>one two</div>", "one two"),
+        ("<div><button>no</div><p>one two</p>", "one two"),
+        ("<div><button>no<p>one</p><p>two</p></div><button>no</button>", "one two"),
+        ("<ul><li><button>no<li>one<li>two</ul>", "one two"),
+        ("<div><button><div>no</div></button>one two</div>", "one two"),
+        ("<div><select><option>no<option>no</select>one two</div>", "one two"),
+        ("<div><select><option>no<option>no</div>one two", "one two"),
+        ("<div><svg><title/><g><text>no</text></g><svg></svg>no</svg>one two</div>", "one two"),
+        ("<div><svg><path d=x><text>no</text></div><p>one two", "one two"),
+        ("<video src=x><source src=y><p>one</p><audio>no<object>no</object></audio> two", "one two"),
+    ],
+)
+def test_silent_elements_without_end_tag(source, want):
+    assert all_text(source) == want
+
+
+def test_article_of_a_page_without_head_end_or_button_end(trees):
+    body = "".join(f"<p>{WORDS * 3}</p>" for _ in range(4))
+    want = " ".join([WORDS.strip()] * 12)
+    for head, first in (("<head><title>T</title>", ""), ("<head><title>T</title></head>", "<div class=share><button>NO</div>")):
+        assert x.extract([f"<html>{head}<body>{first}<article>{body}</article></body></html>"], trees) == [want]
