@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feescope.llm.common import stored, strings, thin
 
-MAX_ROWS = 8_000
-N_FEATURES = 256
+MAX_ROWS = 12_000
+N_FEATURES = 512
 _BUCKETS = 1 << 22
 _PREFIXES = (4, 5, 6, 7, 8)
 _LONGEST = 14
@@ -189,7 +189,7 @@ class Restorer:
 
     def restored(self, texts: list[bytes]) -> list[bytes]:
         """Only texts with a trace of disguise are decoded; one pass over all bytes finds them."""
-        raw, starts = _joined(texts)
+        raw, starts = _joined([_one_byte(t) for t in texts])
         letter = (raw >= 97) & (raw <= 122)
         symbol = _IS_SYMBOL[raw]
         mark = np.zeros(len(raw), bool)
@@ -205,8 +205,18 @@ class Restorer:
         return [self.restore(t) if h else t for t, h in zip(texts, hit)]
 
 
+_WIDE = [c.encode() for c in [*LEET, *_HIDES] if ord(c) >= 128]
+
+
+def _one_byte(text: bytes) -> bytes:
+    """``text`` with a symbol of one byte for each longer one."""
+    for symbol in _WIDE:
+        text = text.replace(symbol, b"$")
+    return text
+
+
 _IS_SYMBOL = np.zeros(256, bool)
-_IS_SYMBOL[[ord(c) for c in [*LEET, *_HIDES] if ord(c) < 128] + [0xC2, 0xE2]] = True
+_IS_SYMBOL[[ord(c) for c in [*LEET, *_HIDES] if ord(c) < 128]] = True
 _IS_APART = np.zeros(256, bool)
 _IS_APART[[ord(c) for c in " ._-*"]] = True
 

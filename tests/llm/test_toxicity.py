@@ -86,3 +86,15 @@ def test_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     flat = toxicity.train(docs([(1, "a")]), empty)
     assert toxicity.score(docs([(1, "a"), (2, None)]), flat).agg({"score": "max"}).first()[0] < 1e-9
+
+
+@pytest.mark.parametrize("noisy", ["c£own", "£oser", "c€own", "€oser", "c££own"])
+def test_symbols_of_several_bytes_mark_a_text(model, noisy):
+    restorer = toxicity.Restorer(model.grams)
+    text = f"the house {noisy} of the river".encode()
+    assert restorer.restored([b"plain", text, b""]) == [b"plain", restorer.restore(text), b""]
+    assert restorer.restore(text) != text
+
+
+def test_fitted_size():
+    assert (toxicity.MAX_ROWS, toxicity.N_FEATURES) == (12_000, 512)
