@@ -1,0 +1,119 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+from hypothesis import given, settings, strategies as st
+
+from feescope.llm import runs
+
+
+def brute_runs(words):
+    """Every maximal stretch of each period, smallest period only."""
+    n, found = len(words), []
+    for q in range(1, n // 4 + 1):
+        k = q
+        while k < n:
+            if words[k] != words[k - q]:
+                k += 1
+                continue
+            stop = k
+            while stop < n and words[stop] == words[stop - q]:
+                stop += 1
+            start, size = k - q, stop - k + q
+            part = words[start:stop]
+            smallest = next(p for p in range(1, q + 1) if all(part[j] == part[j - p] for j in range(p, size)))
+            if size >= max(6, 4 * q) and smallest == q:
+                found.append((start, size, q))
+            k = stop
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def brute_row(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    found = brute_runs(words)
+    dropped = {k for s, size, q in found for k in range(s + q, s + size)}
+    top = (None,) * 4
+    for s, size, q in found:
+        if top[0] is None or size * top[2] > top[1] * q:
+            top = (s, size, q, 1000 * size // q)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    lines = "".join(f"{s},{size},{q}\n" for s, size, q in found)
+    return (len(found), *top, sha(lines), sha(" ".join(w for k, w in enumerate(words) if k not in dropped)))
+
+
+FIELDS = ["n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60))
+def test_all_runs_of_short_texts(words):
+    assert sorted(runs.stretch_runs(np.array(words, np.int64)), key=lambda r: (r[0], r[2])) == brute_runs(words)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 4), min_size=1, max_size=7), st.integers(1, 6)), max_size=9))
+def test_documents_made_of_repeats(parts):
+    words = [w for part, n in parts for _ in range(n) for w in part]
+    ((n, found, _),) = runs._documents([None], [" ".join(map(str, words)).encode()], True, 6, 4)
+    assert n == len(words) and found == brute_runs(words)
+
+
+def test_stretches_hold_every_run():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        words = rng.integers(0, 3, 80)
+        held = runs.stretches(words, np.zeros(80, np.int64))
+        for s, size, _ in brute_runs(words.tolist()):
+            assert any(a <= s and s + size <= b for a, b in held)
+
+
+def test_squares_are_primitive_and_ascending():
+    words = [0, 1, 0, 1, 0, 1, 2, 2, 2, 0, 1, 0, 1]
+    found = list(runs.squares(words))
+    assert found == sorted(found) and {(3, 2), (4, 2), (5, 2), (7, 1), (8, 1), (12, 2)} == set(found)
+
+
+def corpus():
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "b", "é", "long-word", "x" * 50, "0"])
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 120)))) for i in range(150)]
+    rows += [(200 + i, ("\t".join(word() for _ in range(i + 1)) + "\n ") * rng.randint(3, 9)) for i in range(25)]
+    rows += [(300, None), (301, ""), (302, " \n"), (303, "a b " * 3), (304, "a b " * 3), (304, "a b " * 3), (304, "z")]
+    rows += [(305, "la " * 5), (306, "la " * 6), (307, " la" * 9), (308, "la la\x0bla\x0cla\x0dla\nla"), (None, "na " * 40)]
+    rows += [(310 + i, " ".join(str(k) for k in range(i))) for i in range(60)]
+    return rows
+
+
+def test_query_against_brute_force(docs):
+    rows = corpus()
+    found = runs.run_digests(docs(rows)).collect()
+    mine = sorted((r.doc_id is None, r.doc_id or 0, *[str(r[f]) for f in FIELDS]) for r in found)
+    want = sorted((i is None, i or 0, *map(str, brute_row(i, t))) for i, t in rows)
+    assert mine == want
+    assert any(r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0 and r.n_runs for r in found)
+
+
+def test_given_documents_against_brute_force(spark):
+    given_docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 4000")
+    mine = {r.doc_id: tuple(r[f] for f in FIELDS) for r in runs.run_digests(given_docs).collect()}
+    assert mine == {r.doc_id: brute_row(r.doc_id, r.text) for r in given_docs.collect()}
+
+
+def test_operator_keeps_texts_and_very_long_runs(docs):
+    rows = [(1, "x " + "tick tock " * 60_000 + "y"), (2, "plain words only")]
+    found = {r.doc_id: r for r in runs.find_runs(docs(rows)).collect()}
+    assert [tuple(r) for r in found[1].runs] == [(1, 120_000, 2)]
+    assert found[1].collapsed == "x tick tock y" and found[2].collapsed == "plain words only" and found[2].runs == []
+
+
+def test_empty_table(docs):
+    assert runs.run_digests(docs([])).count() == 0
