@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feescope.llm import ann, exact_dedup, html_extract, mixing, packing, runs, sharding, simhash, suffix_dedup, token_store, toxicity
+from feescope.llm import ann, exact_dedup, html_extract, mixing, packing, runs, sharding, simhash, suffix_dedup, token_store, toxicity, whitening
 from feescope.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_html_extraction": op10_html_extraction,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
