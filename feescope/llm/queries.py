@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feescope.llm import ann, exact_dedup, html_extract, mixing, packing, runs, sharding, simhash, suffix_dedup, token_store, toxicity, whitening
+from feescope.llm import ann, exact_dedup, html_extract, mixing, packing, runs, secret_scan, sharding, simhash, suffix_dedup, token_store, toxicity, whitening
 from feescope.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(pages, html_extract.train(pages))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_html_extraction": op10_html_extraction,
+        "op11_secret_scan": op11_secret_scan,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
