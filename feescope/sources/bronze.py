@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..schemas import RAW_COLUMNS, RAW_SCHEMA
 
 CORRUPT = "_corrupt_record"
 
 
+#: A text literal of JSON.
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: What stands between two records.
+_BETWEEN = r"(?<=\})[\s,\[\]]+(?=\{)"
+_LEVELS = 6
+_PARSED = StructType([*RAW_SCHEMA.fields, StructField(CORRUPT, StringType())])
+_ITEMS = ArrayType(_PARSED)
+#: How the names of all raw columns begin in a file.
+_STARTS = sorted({'"' + re.split("(?<=_)", name)[0] for name in RAW_COLUMNS})
+
+
 def read_bronze(
     spark: SparkSession,
     path: str | list[str],
@@ -20,18 +34,20 @@ def read_bronze(
     """Read raw records with the fixed all-text schema.
 
     ``json`` reads files of one array or of JSON lines as text, line by line, so they split like any
-    text; a line may hold one record or several, with the brackets and commas of an array around
-    them. ``multi_line`` is for pretty-printed files, whose records span lines: each file is then one
-    value in one task. ``csv`` expects the same header in every file and fails on another one;
-    ``multi_line`` there allows line breaks inside quotes. Missing fields are NULL, extra fields are
-    ignored.
+    text; a line may hold one record or several, with the brackets and commas of one or more arrays around
+    them. ``multi_line`` is for records that span lines and for whole arrays on one line: such files are split before
+    every opening brace instead, and so spread over tasks as well. ``csv`` expects the same header in
+    every file and fails on another one; ``multi_line`` there allows line breaks inside quotes. Missing fields are
+    NULL, extra fields are ignored.
 
     A piece of JSON that is no record fails the query, or, with ``keep_corrupt``, becomes a row with
-    its text in ``_corrupt_record`` and NULL elsewhere, for ``Pipeline`` to count.
+    its text in ``_corrupt_record`` and NULL elsewhere, for ``Pipeline`` to count. So does a record with objects nested
+    deeper than six levels. A line that does not parse as a whole is one corrupt row.
     """
     if fmt == "json":
-        pieces = spark.read.text(path, wholetext=multi_line)
-        return _records(_lines(pieces) if multi_line else pieces, keep_corrupt)
+        if multi_line:
+            return _checked(_spanning(spark, path), keep_corrupt)
+        return _checked(_records(spark.read.text(path)), keep_corrupt)
     if fmt == "csv":
         # Spark takes the columns of one file for all; checking every header needs all columns read.
         text = (
@@ -44,30 +60,129 @@ def read_bronze(
     raise ValueError(f"unknown raw format {fmt!r}; use 'json' or 'csv'")
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """A file that holds an array stays whole; any other is taken as JSON lines."""
-    value = F.col("value")
-    is_array = F.ltrim(F.regexp_replace(value, r"^\s+", "")).startswith("[")
-    return files.select(F.explode(F.when(is_array, F.array(value)).otherwise(F.split(value, "\n"))).alias("value"))
+def _one(text: Column) -> Column:
+    return F.from_json(text, _PARSED, {"columnNameOfCorruptRecord": CORRUPT})
+
+
+def _corrupt(text: Column) -> Column:
+    return F.struct(*[F.lit(None).cast("string").alias(n) for n in RAW_COLUMNS], text.alias(CORRUPT))
 
 
-def _records(pieces: DataFrame, keep_corrupt: bool) -> DataFrame:
-    """One row per record of each piece; what does not parse is one corrupt row."""
-    inner = F.regexp_replace(F.regexp_replace("value", r"^[\s,\[]+", ""), r"[\s,\]]+$", "")
-    bodies = pieces.select("value", inner.alias("_body")).filter(F.length("_body") > 0)
-    items = F.from_json(F.concat(F.lit("["), F.col("_body"), F.lit("]")), ArrayType(RAW_SCHEMA))
-    rows = bodies.select("value", F.explode_outer(items).alias("_record"))
-    bad = F.col("_record").isNull()
+def _several(value: Column) -> Column:
+    """The records of a text that may hold any number of them, or one corrupt record.
+
+    Texts are emptied and objects taken out, level by level: only commas may be left, or the parser would stop early
+    and lose the rest in silence. Brackets between records, as where arrays were joined, become commas, unless
+    a text holds the like.
+    """
+    inner = F.regexp_replace(F.regexp_replace(value, r"^[\s,\[]+", ""), r"[\s,\]]+$", "")
+    bare = F.regexp_replace(inner, _TEXT, '""')
+    joined = F.regexp_like(bare, F.lit(r"\}[\s,]*[\[\]][\s,\[\]]*\{"))
+    safe = ~joined | (F.regexp_count(inner, F.lit(_BETWEEN)) == F.regexp_count(bare, F.lit(_BETWEEN)))
+    body = F.when(joined, F.regexp_replace(inner, _BETWEEN, ",")).otherwise(inner)
+    rest = F.regexp_replace(bare, _BETWEEN, ",")
+    for _ in range(_LEVELS):
+        rest = F.regexp_replace(rest, r"\{[^{}]*+\}", "")
+    found = F.when(
+        safe & F.regexp_like(rest, F.lit(r"\A[\s,]*\z")), F.from_json(F.concat(F.lit("["), body, F.lit("]")), _ITEMS)
+    )
+    # An element that is no object is null: the text is then corrupt as a whole.
+    whole = F.when(~F.exists(found, lambda r: r.isNull()), found)
+    return F.when(F.length(inner) == 0, F.array().cast(_ITEMS)).otherwise(F.coalesce(whole, F.array(_corrupt(value))))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """``value`` and ``_record`` for every record of each line.
+
+    Nearly all lines are a record with a bracket or comma at either end; its only closing brace is its last character.
+    Those are cut by position and parsed alone, without regular expressions.
+    """
+    value = F.trim("value")
+    lead = F.substring(value, 1, 1).isin("[", ",").cast("int")
+    trail = F.substring(value, -1, 1).isin("]", ",").cast("int")
+    body = F.substr(value, lead + 1, F.length(value) - lead - trail)
+    plain = body.startswith("{") & (F.instr(body, "}") == F.length(body))
+    found = F.when(plain, F.array(_one(body))).otherwise(_several(F.col("value")))
+    return lines.select("value", F.explode(found).alias("_record"))
+
+
+def _spanning(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of files whose lines are not records.
+
+    The opening brace is the separator, so a piece begins inside a record and ends with what comes before the next one.
+    Nearly all pieces are one flat record, and are parsed where they lie. The others are parts of records with nested
+    objects or braces in texts, broken records and the beginnings of files: neighbours among them are put together again,
+    per split of a file and over its edges, and then read like lines. (An object in a field that nobody reads must not hold
+    names of raw columns alone: it would be taken for a record, and what is around it for a corrupt one.)
+    """
+    pieces = (
+        spark.read.option("lineSep", "{").text(path)
+        .select("value", F.monotonically_increasing_id().alias("_at"), "_metadata.file_path", "_metadata.file_block_start")
+    )
+    # The trailing white space, commas and brackets; no record ends so.
+    body = F.rtrim("value", F.lit(" \t\r\n,[]"))
+    plain = (
+        (F.instr(body, "}") == F.length(body))
+        & F.col("value").rlike(r'\A\s*"\w+"\s*:')
+        & reduce(Column.__or__, [F.contains("value", F.lit(start)) for start in _STARTS])
+    )
+    whole = F.concat(F.lit("{"), body)
+    alone = pieces.filter(plain).select(whole.alias("value"), _one(whole).alias("_record"))
+
+    split = Window.partitionBy("file_path", "file_block_start").orderBy("_at")
+    numbered = pieces.filter(~plain).withColumns({"_n": F.row_number().over(split), "_island": F.col("_at") - F.row_number().over(split)})
+    # Every piece follows a brace but the first of a file, which is never a record and so among these.
+    first = (F.col("file_block_start") == 0) & (F.col("_n") == 1)
+    text = F.concat(F.when(first, F.lit("")).otherwise(F.lit("{")), F.col("value"))
+    islands = numbered.groupBy("file_path", "file_block_start", "_island").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", text.alias("text")))), lambda p: p["text"]), "").alias("value")
+    )
+    # An island that leaves a brace or a text open at the end of its split goes on in the next one. What an island starts
+    # with is known where a plain record is before it in its split, and follows from the islands before otherwise.
+    order = Window.partitionBy("file_path").orderBy("file_block_start", "_island")
+    known = (F.coalesce(F.lag("file_block_start").over(order), F.lit(-1)) == F.col("file_block_start")).cast("int")
+    chain = Window.partitionBy("file_path", "_chain").orderBy("file_block_start", "_island")
+    before = chain.rowsBetween(Window.unboundedPreceding, -1)
+
+    def braces(text: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(text, _TEXT, ""), r'"[\s\S]*', "")
+        return F.regexp_count(bare, F.lit(r"\{")) - F.regexp_count(bare, F.lit(r"\}"))
+
+    odd = F.regexp_replace("value", _TEXT, "").contains('"').cast("int")
+    placed = islands.withColumn("_chain", F.sum(known).over(order)).withColumn("_odd", odd)
+    placed = placed.withColumn("_inside", F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2)
+    deeper = F.when(F.col("_inside") == 1, braces(F.concat(F.lit('"'), F.col("value")))).otherwise(braces(F.col("value")))
+    placed = placed.withColumn("_deeper", deeper)
+    closed = (F.coalesce(F.sum("_deeper").over(before), F.lit(0)) <= 0) & (F.col("_inside") == 0)
+    grouped = (
+        placed.withColumn("_new", closed.cast("int"))
+        .withColumn("_group", F.sum("_new").over(order))
+        .groupBy("file_path", "_group")
+        .agg(F.array_sort(F.collect_list(F.struct("file_block_start", "_island", "value"))).alias("parts"))
+        .select(F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("value"))
+    )
+    # Read as a whole; failing that, from one line that begins with a brace to the next.
+    read = _several(F.col("value"))
+    lines = F.filter(F.split("value", r"\n(?=[\s,\[\]]*\{)"), lambda x: F.length(F.trim(x)) > 0)
+    single = F.size(lines) <= 1
+    failed = F.exists(read, lambda r: r[CORRUPT].isNotNull()) & ~single
+    again = grouped.select(F.explode(F.when(failed, lines).otherwise(F.array("value"))).alias("value"))
+    return alone.unionByName(again.select("value", F.explode(_several(F.col("value"))).alias("_record")))
+
+
+def _checked(rows: DataFrame, keep_corrupt: bool) -> DataFrame:
+    """The columns of each record; what does not parse is a corrupt row or fails the query."""
+    bad = F.col("_record")[CORRUPT].isNotNull()
 
     def column(name: str) -> Column:
-        return F.col("_record")[name].alias(name)
+        return F.when(~bad, F.col("_record")[name]).alias(name)
 
     if keep_corrupt:
         return rows.select(*map(column, RAW_COLUMNS), F.when(bad, F.col("value")).alias(CORRUPT))
     message = F.concat(F.lit("malformed raw record: "), F.substring("value", 1, 200))
     first, *others = RAW_COLUMNS
     checked = F.when(bad, F.raise_error(message)).otherwise(F.col("_record")[first]).alias(first)
-    return rows.select(checked, *map(column, others))
+    return rows.select(checked, *[F.col("_record")[name].alias(name) for name in others])
 
 
 def sample(df: DataFrame, n: int = 1000) -> DataFrame:

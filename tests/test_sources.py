@@ -64,7 +64,7 @@ def test_several_records_on_a_line(spark, tmp_path):
 def test_malformed_records_are_counted_or_fail(spark, tmp_path):
     good = [json.dumps({"Rndrng_NPI": str(i), "HCPCS_Cd": "99213"}) for i in range(5)]
     (tmp_path / "cut.json").write_text("[" + ",\n".join(good)[:-20])
-    for multi_line, corrupt, kept in ((False, 1, 4), (True, 1, 0)):
+    for multi_line, corrupt, kept in ((False, 1, 4), (True, 1, 4)):
         rows = read_bronze(spark, str(tmp_path), multi_line=multi_line, keep_corrupt=True).collect()
         bad = [r for r in rows if r._corrupt_record is not None]
         assert len(bad) == corrupt and len(rows) - len(bad) == kept
@@ -74,6 +74,91 @@ def test_malformed_records_are_counted_or_fail(spark, tmp_path):
     assert read_bronze(spark, str(tmp_path), keep_corrupt=True).filter("_corrupt_record IS NOT NULL").count() >= 2
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        '[{1},{2}][{3},{4}]',
+        '[[{1},{2}],[{3}],{4}]',
+        '[{1},{2}]\n[{3},{4}]\n',
+        '[{1}] [{2}],[{3},{4}]',
+        '{1}{2}\n{3},{4}',
+        '[\n{1},\n{2}\n][\n{3},\n{4}\n]\n',
+        '[{1},{2}][{3},{4}',
+        '[{1},{2},7]\n{3}\n{4}',
+        '[{1},null,{2}]\n{3}\n{4}',
+        '[{1},{2}],"x"\n{3}\n{4}',
+        'junk\n{1}\n{2}\n{3}\nmore\n{4}',
+    ],
+)
+def test_no_record_is_lost_in_silence(spark, tmp_path, text):
+    """Joined and nested arrays: every record is read, or its line is a corrupt row."""
+    for n, note in ((1, "a"), (2, "b][{"), (3, "}][{c"), (4, "")):
+        text = text.replace(f"{{{n}}}", json.dumps({"Rndrng_NPI": str(n), "HCPCS_Desc": note}))
+    text = text.replace("{4", '{"Rndrng_NPI": "4"')
+    (tmp_path / "a.json").write_text(text)
+    for multi_line in (False, True):
+        rows = read_bronze(spark, str(tmp_path), multi_line=multi_line, keep_corrupt=True).collect()
+        found = {r.Rndrng_NPI: r.HCPCS_Desc for r in rows if r._corrupt_record is None}
+        bad = " ".join(r._corrupt_record for r in rows if r._corrupt_record is not None)
+        for n in "1234":
+            assert n in found or f'"Rndrng_NPI": "{n}"' in bad, (multi_line, n, rows)
+        assert len(found) == sum(r._corrupt_record is None for r in rows)
+        assert all(found[n] == note for n, note in (("1", "a"), ("2", "b][{"), ("3", "}][{c")) if n in found)
+
+
+def test_joined_arrays_on_a_line_are_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"Rndrng_NPI":"1"},{"Rndrng_NPI":"2"}][{"Rndrng_NPI":"3"},{"Rndrng_NPI":"4"}]\n[[{"Rndrng_NPI":"5"}]]')
+    for multi_line in (False, True):
+        rows = read_bronze(spark, str(tmp_path), multi_line=multi_line, keep_corrupt=True).collect()
+        assert sorted((r.Rndrng_NPI, r._corrupt_record) for r in rows) == [(str(n), None) for n in range(1, 6)]
+
+
+def test_records_that_span_lines_split(spark, tmp_path):
+    """Pretty-printed and one-line arrays over many tasks, in splits that cut records anywhere."""
+    records = []
+    for n in range(300):
+        record = {"Rndrng_NPI": str(n), "HCPCS_Desc": f"text {n} é", "Tot_Benes": n}
+        if n % 7 == 0:
+            record |= {"surplus": {"a": {"b": [1, {"c": 2}]}}, "more": [{"c": "inner"}, {}]}
+        if n % 11 == 0:
+            record["HCPCS_Desc"] = 'a } b { c }, { "Rndrng_NPI": 1 }] [ \\ " {'
+        if n % 13 == 0:
+            record = {"surplus": {}, "Rndrng_Zip": None}
+        records.append(record)
+    want = sorted((str(r.get("Rndrng_NPI")), str(r.get("HCPCS_Desc")), str(r.get("Tot_Benes"))) for r in records)
+    for name, text in (
+        ("pretty", json.dumps(records, indent=2, ensure_ascii=False)),
+        ("line", json.dumps(records)),
+        ("lines", "\n".join(map(json.dumps, records))),
+    ):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text(text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (700, 1500, 40_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            for name in ("pretty", "line", "lines"):
+                back = read_bronze(spark, f"{tmp_path}/{name}", multi_line=True, keep_corrupt=True)
+                if size < 2000:
+                    assert back.rdd.getNumPartitions() > 10
+                found = sorted((str(r.Rndrng_NPI), str(r.HCPCS_Desc), str(r.Tot_Benes)) for r in back.collect())
+                assert found == want, (size, name)
+                assert back.filter("_corrupt_record IS NOT NULL").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_broken_records_that_span_lines_are_counted(spark, tmp_path):
+    good = [json.dumps({"Rndrng_NPI": str(n), "Tot_Benes": "1"}, indent=1) for n in range(6)]
+    (tmp_path / "a.json").write_text("[\n" + ",\n".join([*good[:3], '{\n "Rndrng_NPI": "x",\n "Tot', *good[3:]]) + "\n]\n")
+    (tmp_path / "b.json").write_text("[" + good[0] + "," + good[1][:-2])
+    rows = read_bronze(spark, str(tmp_path), multi_line=True, keep_corrupt=True).collect()
+    assert sorted(r.Rndrng_NPI for r in rows if r._corrupt_record is None) == ["0", "0", "1", "2", "3", "4", "5"]
+    assert len([r for r in rows if r._corrupt_record is not None]) == 2
+
+
 def test_csv_headers_must_agree(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Rndrng_NPI,HCPCS_Cd\n1,99213\n")
     (tmp_path / "b.csv").write_text("HCPCS_Cd,Rndrng_NPI\n99214,2\n")
