@@ -5,9 +5,10 @@ Each dimension is two aggregations over the same key, joined afterwards:
 * *totals* carry numbers and one exact distinct count. Spark spreads the count
   over (key, counted value) first, so a key with a third of all rows is shared
   by many tasks, and all buffers are fixed width, so hash aggregation applies.
-* *profiles* pick descriptive text. Doing this in the same aggregation would
-  drag every text column through the distinct exchange; on its own it combines
-  map-side to one row per key and task.
+* *profiles* pick descriptive text. Text is no hash-aggregation buffer, so silver rows are first
+  grouped by key and all texts together, with the smallest rank as a number: a key has few
+  different descriptions, and this combines map-side by hash. The picks are made from those
+  few rows.
 
 The join sees one row per key on either side.
 """
@@ -23,12 +24,49 @@ from ..schemas import GOLD_SCHEMAS
 c = F.col
 
 
+_CODE, _PLACE = "HCPCS_Cd", "Place_Of_Srvc"
+#: Bytes of code and place that the number holds; what is longer is compared as it is.
+_CODE_BYTES, _PLACE_BYTES = 7, 1
+_LOWEST = -(2**63)
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows with the rank of their (code, place of service): one order-preserving number and, as keys, the rest.
+
+    The rest is constant, and so groups nothing apart, unless codes or places are longer than the number holds.
+    """
+
+    def head(name: str, size: int) -> Column:
+        return F.rpad(F.substring(F.coalesce(c(name), F.lit("")).cast("binary"), 1, size), size, F.lit(b"\0"))
+
+    def tail(name: str, size: int) -> Column:
+        return F.expr(f"substring(cast(coalesce(`{name}`, '') as binary), {size + 1})")
+
+    unsigned = F.hex(F.concat(head(_CODE, _CODE_BYTES), head(_PLACE, _PLACE_BYTES)))
+    return rows.withColumns(
+        {
+            "_rank": F.conv(unsigned, 16, -10).cast("long").bitwiseXOR(F.lit(_LOWEST)),
+            "_coded": c(_CODE).isNotNull(),
+            "_placed": c(_PLACE).isNotNull(),
+            "_code_rest": tail(_CODE, _CODE_BYTES),
+            "_place_rest": tail(_PLACE, _PLACE_BYTES),
+        }
+    )
+
+
+_RANK_KEYS = ["_coded", "_placed", "_code_rest", "_place_rest"]
+
+
 def first_known(value: Column) -> Column:
-    """The non-null value of the row with the smallest (code, place of service).
+    """The non-null value of the row with the smallest (code, place of service), of rows with a ``_rank``.
 
-    Ties go to the smallest value, so the pick does not depend on row order.
+    Ties go to the smallest value, so the pick does not depend on row order. A missing code or place comes first.
     """
-    ranked = F.struct(c("HCPCS_Cd"), c("Place_Of_Srvc"), value.alias("value"))
+    ranked = F.struct(
+        c("_coded"), F.shiftright("_rank", 8 * _PLACE_BYTES), c("_code_rest"),
+        c("_placed"), c("_rank").bitwiseAND(F.lit(2 ** (8 * _PLACE_BYTES) - 1)), c("_place_rest"),
+        value.alias("value"),
+    )
     return F.min(F.when(value.isNotNull(), ranked))["value"]
 
 
@@ -43,9 +81,12 @@ def _assemble(
     numbers = keyed.groupBy("_key", "_known").agg(
         *[total.alias(name) for name, total in totals.items()]
     )
-    described = keyed.groupBy("_key", "_known").agg(
-        *[first_known(c(source)).alias(name) for name, source in profile.items()]
+    # Sources may be keys or parts of the rank themselves, so the texts get their new names first.
+    texts = _ranked(keyed).select(
+        "_key", "_known", "_rank", *_RANK_KEYS, *[c(source).alias(name) for name, source in profile.items()]
     )
+    few = texts.groupBy("_key", "_known", *_RANK_KEYS, *profile).agg(F.min("_rank").alias("_rank"))
+    described = few.groupBy("_key", "_known").agg(*[first_known(c(name)).alias(name) for name in profile])
     joined = numbers.join(described, ["_key", "_known"])
     return joined.withColumn(key, F.when(c("_known"), c("_key"))).drop("_key", "_known")
 

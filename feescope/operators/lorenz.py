@@ -1,45 +1,77 @@
 """Running totals over a whole table, without a single-task window.
 
 A window without a partition sends every row to one task. Here the rows are
-range-partitioned on the full ordering, so each partition is one contiguous
-stretch of it; a window runs inside each stretch, and a table with one line per
+cut into stretches of the full ordering at fixed bounds, each a partition
+of its own; a window runs inside each stretch, and a table with one line per
 stretch supplies what lies before it. The ordering includes the tie-breakers, so
 a value shared by a third of all rows is spread over many stretches too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import guarded_ratio, to_money, to_ratio
-from ..session import shared_dir
 
 c = F.col
 
 _BUCKET = "_bucket"
 
 
-def bucketed(df: DataFrame, order: Sequence[str], n_buckets: int | None = None) -> DataFrame:
-    """Rows tagged with the number of their stretch of the ordering.
+#: Rows of the sample that stand for a stretch, and rows a stretch is meant to have at least.
+_SAMPLED = 16
+_LEAST_ROWS = 20_000
 
-    Range boundaries come from a sample, so two evaluations may disagree. The
-    tagged rows are checkpointed to the shared folder: later steps all read the
-    same numbers, also after an executor is lost.
+
+def bucketed(
+    df: DataFrame, order: Sequence[str], n_buckets: int | None = None
+) -> tuple[DataFrame, int]:
+    """Rows tagged with the number of their stretch of the ordering, and how many stretches there are.
+
+    One job picks the bounds: a row by hash from each of ``_SAMPLED`` cells a stretch, so their number does not grow
+    with the data. The tag then is an expression over the row and constant bounds. It is the same in every
+    evaluation, also after an executor is lost, so nothing is written; and it rises with the ordering whichever
+    bounds were picked. Without ``n_buckets`` there are as many stretches as shuffle partitions, fewer for few rows.
     """
-    shared_dir(df.sparkSession)
-    ranged = (
-        df.repartitionByRange(n_buckets, *order) if n_buckets else df.repartitionByRange(*order)
+    spark = df.sparkSession
+    most = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = [c(name).alias(f"c{i}") for i, name in enumerate(order)]
+    # A NULL leaves the hash as it is, so its place is hashed as well.
+    mixed = F.xxhash64(*order, *[c(name).isNull() for name in order])
+    cells = (
+        df.select(F.struct(*named).alias("row"), mixed.alias("h"))
+        .groupBy(F.pmod("h", F.lit(most * _SAMPLED)).alias("cell"))
+        .agg(F.min(F.struct("h", "row"))["row"].alias("row"), F.count(F.lit(1)).alias("n"))
     )
-    return ranged.withColumn(_BUCKET, F.spark_partition_id()).checkpoint()
+    found = cells.orderBy("row").select(F.to_json("row").alias("row"), "n").collect()
+    n_rows = sum(r["n"] for r in found)
+    n = n_buckets or max(1, min(most, n_rows // _LEAST_ROWS))
+    bounds = list(dict.fromkeys(found[k * len(found) // n]["row"] for k in range(1, n) if found))
+    return df.withColumn(_BUCKET, _bounds_below(bounds, F.struct(*named), df.select(*named))), n
+
+
+def _bounds_below(bounds: list[str], row: Column, typed: DataFrame) -> Column:
+    """How many of the ascending ``bounds`` (JSON) are below ``row``: among every g-th, then inside the g."""
+    if not bounds:
+        return F.lit(0)
+    kind = typed.schema.simpleString()
+    g = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[k : k + g] for k in range(0, len(bounds), g)]
+    last = F.from_json(F.lit(f"[{','.join([x[-1] for x in groups])}]"), f"array<{kind}>")
+    inner = F.from_json(F.lit(f"[{','.join(['[' + ','.join(x) + ']' for x in groups])}]"), f"array<array<{kind}>>")
+    full = F.size(F.filter(last, lambda b: b < row))
+    rest = F.size(F.filter(F.get(inner, full), lambda b: b < row))
+    # After the last group there is none to look into.
+    return F.when(full < len(groups), full * g + rest).otherwise(len(bounds))
 
 
 def bucket_offsets(placed: DataFrame, value: str) -> DataFrame:
     """Per stretch: what comes before it, the grand totals, and peers that follow.
 
-    The windows here see one row per stretch, i.e. at most as many rows as the
-    range exchange has partitions, whatever the size of the data.
+    The windows here see one row per stretch, whatever the size of the data.
     """
     ends = placed.groupBy(_BUCKET).agg(
         F.count(F.lit(1)).alias("n"),
@@ -89,18 +121,17 @@ def running_totals(
     rows unique: only rows equal in all of them cannot be split.
     """
     order = [value, *tie_breakers]
-    placed = bucketed(df, order, n_buckets)
+    placed, n = bucketed(df, order, n_buckets)
     offsets = bucket_offsets(placed, value)
     # By number, not by hash: every stretch is a task of its own.
-    n = placed._jdf.queryExecution().toRdd().getNumPartitions()
-    apart = placed.repartitionById(max(1, n), c(_BUCKET))
+    apart = placed.repartitionById(n, c(_BUCKET))
     rows = Window.partitionBy(_BUCKET).orderBy(*order)
     peers = Window.partitionBy(_BUCKET).orderBy(value)
     local = apart.withColumn("_rn", F.row_number().over(rows)).withColumn(
         "_run", F.sum(value).over(peers)
     )
     total = placed.agg(F.sum(value)).schema[0].dataType
-    # One row per range partition, so the broadcast side is bounded.
+    # One row per stretch, so the broadcast side is bounded.
     joined = local.join(F.broadcast(offsets), _BUCKET)
     before = c("_t_before") + F.when(c(value) == c("_hi"), c("_t_peers")).otherwise(F.lit(0))
     return joined.select(

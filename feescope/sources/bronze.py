@@ -6,20 +6,20 @@ import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import RAW_COLUMNS, RAW_SCHEMA
 
 CORRUPT = "_corrupt_record"
 
 
-#: A text literal of JSON.
-_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-#: What stands between two records.
-_BETWEEN = r"(?<=\})[\s,\[\]]+(?=\{)"
+#: A text literal of JSON; it cannot hold a line break.
+_TEXT = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 _LEVELS = 6
+#: An object with objects inside it, level by level.
+_OBJECT = reduce(lambda inner, _: rf'\{{(?:[^{{}}"]++|{_TEXT}|{inner})*+\}}', range(_LEVELS), rf'\{{(?:[^{{}}"]++|{_TEXT})*+\}}')
+_JUNK = r"\A[\s,\[\]]*\z"
 _PARSED = StructType([*RAW_SCHEMA.fields, StructField(CORRUPT, StringType())])
-_ITEMS = ArrayType(_PARSED)
 #: How the names of all raw columns begin in a file.
 _STARTS = sorted({'"' + re.split("(?<=_)", name)[0] for name in RAW_COLUMNS})
 
@@ -47,7 +47,7 @@ def read_bronze(
     if fmt == "json":
         if multi_line:
             return _checked(_spanning(spark, path), keep_corrupt)
-        return _checked(_records(spark.read.text(path)), keep_corrupt)
+        return _checked(_texts(spark.read.text(path)), keep_corrupt)
     if fmt == "csv":
         # Spark takes the columns of one file for all; checking every header needs all columns read.
         text = (
@@ -60,50 +60,28 @@ def read_bronze(
     raise ValueError(f"unknown raw format {fmt!r}; use 'json' or 'csv'")
 
 
-def _one(text: Column) -> Column:
-    return F.from_json(text, _PARSED, {"columnNameOfCorruptRecord": CORRUPT})
+def _record() -> Column:
+    return F.from_json("_text", _PARSED, {"columnNameOfCorruptRecord": CORRUPT}).alias("_record")
 
 
-def _corrupt(text: Column) -> Column:
-    return F.struct(*[F.lit(None).cast("string").alias(n) for n in RAW_COLUMNS], text.alias(CORRUPT))
-
-
-def _several(value: Column) -> Column:
-    """The records of a text that may hold any number of them, or one corrupt record.
-
-    Texts are emptied and objects taken out, level by level: only commas may be left, or the parser would stop early
-    and lose the rest in silence. Brackets between records, as where arrays were joined, become commas, unless
-    a text holds the like.
-    """
-    inner = F.regexp_replace(F.regexp_replace(value, r"^[\s,\[]+", ""), r"[\s,\]]+$", "")
-    bare = F.regexp_replace(inner, _TEXT, '""')
-    joined = F.regexp_like(bare, F.lit(r"\}[\s,]*[\[\]][\s,\[\]]*\{"))
-    safe = ~joined | (F.regexp_count(inner, F.lit(_BETWEEN)) == F.regexp_count(bare, F.lit(_BETWEEN)))
-    body = F.when(joined, F.regexp_replace(inner, _BETWEEN, ",")).otherwise(inner)
-    rest = F.regexp_replace(bare, _BETWEEN, ",")
-    for _ in range(_LEVELS):
-        rest = F.regexp_replace(rest, r"\{[^{}]*+\}", "")
-    found = F.when(
-        safe & F.regexp_like(rest, F.lit(r"\A[\s,]*\z")), F.from_json(F.concat(F.lit("["), body, F.lit("]")), _ITEMS)
-    )
-    # An element that is no object is null: the text is then corrupt as a whole.
-    whole = F.when(~F.exists(found, lambda r: r.isNull()), found)
-    return F.when(F.length(inner) == 0, F.array().cast(_ITEMS)).otherwise(F.coalesce(whole, F.array(_corrupt(value))))
-
-
-def _records(lines: DataFrame) -> DataFrame:
-    """``value`` and ``_record`` for every record of each line.
+def _texts(lines: DataFrame) -> DataFrame:
+    """``value``, ``_text`` and ``_ok`` for every record of each line; a line with anything else in it is one row, not ok.
 
     Nearly all lines are a record with a bracket or comma at either end; its only closing brace is its last character.
-    Those are cut by position and parsed alone, without regular expressions.
+    Those are cut by position. In others the records are matched with their texts and inner objects; brackets and commas
+    between them, as where arrays were joined or nested, go.
     """
     value = F.trim("value")
     lead = F.substring(value, 1, 1).isin("[", ",").cast("int")
     trail = F.substring(value, -1, 1).isin("]", ",").cast("int")
-    body = F.substr(value, lead + 1, F.length(value) - lead - trail)
+    cut = lines.withColumn("_body", F.substr(value, lead + 1, F.length(value) - lead - trail))
+    body = F.col("_body")
     plain = body.startswith("{") & (F.instr(body, "}") == F.length(body))
-    found = F.when(plain, F.array(_one(body))).otherwise(_several(F.col("value")))
-    return lines.select("value", F.explode(found).alias("_record"))
+    only = F.regexp_like(F.regexp_replace("value", _OBJECT, ""), F.lit(_JUNK))
+    # Records are matched apart; "}{" without a comma is read as two.
+    found = F.when(plain, F.array(body)).when(only, F.regexp_extract_all("value", F.lit(_OBJECT), F.lit(0)))
+    marked = cut.withColumns({"_texts": found, "_ok": found.isNotNull()})
+    return marked.select("value", "_ok", F.explode(F.coalesce("_texts", F.array(F.lit(None).cast("string")))).alias("_text"))
 
 
 def _spanning(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -127,7 +105,7 @@ def _spanning(spark: SparkSession, path: str | list[str]) -> DataFrame:
         & reduce(Column.__or__, [F.contains("value", F.lit(start)) for start in _STARTS])
     )
     whole = F.concat(F.lit("{"), body)
-    alone = pieces.filter(plain).select(whole.alias("value"), _one(whole).alias("_record"))
+    alone = pieces.filter(plain).select(whole.alias("value"), F.lit(True).alias("_ok"), whole.alias("_text"))
 
     split = Window.partitionBy("file_path", "file_block_start").orderBy("_at")
     numbered = pieces.filter(~plain).withColumns({"_n": F.row_number().over(split), "_island": F.col("_at") - F.row_number().over(split)})
@@ -162,27 +140,22 @@ def _spanning(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .select(F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("value"))
     )
     # Read as a whole; failing that, from one line that begins with a brace to the next.
-    read = _several(F.col("value"))
     lines = F.filter(F.split("value", r"\n(?=[\s,\[\]]*\{)"), lambda x: F.length(F.trim(x)) > 0)
-    single = F.size(lines) <= 1
-    failed = F.exists(read, lambda r: r[CORRUPT].isNotNull()) & ~single
-    again = grouped.select(F.explode(F.when(failed, lines).otherwise(F.array("value"))).alias("value"))
-    return alone.unionByName(again.select("value", F.explode(_several(F.col("value"))).alias("_record")))
-
-
-def _checked(rows: DataFrame, keep_corrupt: bool) -> DataFrame:
-    """The columns of each record; what does not parse is a corrupt row or fails the query."""
-    bad = F.col("_record")[CORRUPT].isNotNull()
+    only = F.regexp_like(F.regexp_replace("value", _OBJECT, ""), F.lit(_JUNK))
+    again = grouped.select(F.explode(F.when(only, F.array("value")).otherwise(lines)).alias("value"))
+    return alone.unionByName(_texts(again))
 
-    def column(name: str) -> Column:
-        return F.when(~bad, F.col("_record")[name]).alias(name)
 
+def _checked(texts: DataFrame, keep_corrupt: bool) -> DataFrame:
+    """The columns of each record; what does not parse is a corrupt row, whose fields are all NULL, or fails the query."""
+    rows = texts.select("value", "_ok", _record())
+    bad = ~F.col("_ok") | F.col("_record")[CORRUPT].isNotNull()
+    fields = [F.col("_record")[name].alias(name) for name in RAW_COLUMNS]
     if keep_corrupt:
-        return rows.select(*map(column, RAW_COLUMNS), F.when(bad, F.col("value")).alias(CORRUPT))
+        return rows.select(*fields, F.when(bad, F.col("value")).alias(CORRUPT))
     message = F.concat(F.lit("malformed raw record: "), F.substring("value", 1, 200))
-    first, *others = RAW_COLUMNS
-    checked = F.when(bad, F.raise_error(message)).otherwise(F.col("_record")[first]).alias(first)
-    return rows.select(checked, *[F.col("_record")[name].alias(name) for name in others])
+    checked = F.when(bad, F.raise_error(message)).otherwise(F.col("_record")[RAW_COLUMNS[0]])
+    return rows.select(checked.alias(RAW_COLUMNS[0]), *fields[1:])
 
 
 def sample(df: DataFrame, n: int = 1000) -> DataFrame:

@@ -83,3 +83,19 @@ def test_totals_are_conserved(silver_of):
         (dims.build_dim_geography(silver), "total_mdcr_pymt"),
     ):
         assert dim.groupBy().sum(name).first()[0] == total
+
+
+def test_ranks_of_long_and_missing_codes(spark, silver_of):
+    """Codes and places beyond what the number holds, missing ones and other alphabets, against plain tuples."""
+    codes = [None, "A", "AAAAAAA", "AAAAAAAB", "AAAAAAAA", "AAAAAAABZZ", "\u00e9", "\u00e9clair-long-code", "~", "AAAAAA\u00e9x"]
+    places = [None, "F", "O", "FF", "FA", "\u00e9"]
+    rows = [
+        {"HCPCS_Cd": code, "Place_Of_Srvc": place, "Rndrng_Prvdr_City": f"{i} {j}", "Rndrng_NPI": str(n)}
+        for n in range(8) for i, code in enumerate(codes) for j, place in enumerate(places) if (i * 7 + j * 3 + n) % 8 > n - 2
+    ]
+    key = lambda x: (x is not None, (x or "").encode())
+    want = {}
+    for r in sorted(rows, key=lambda r: (key(r["HCPCS_Cd"]), key(r["Place_Of_Srvc"]))):
+        want.setdefault(r["Rndrng_NPI"], r["Rndrng_Prvdr_City"])
+    found = by(dims.build_dim_provider(silver_of(*rows).repartition(5)), "npi")
+    assert {n: r.city for n, r in found.items()} == want

@@ -40,13 +40,37 @@ def test_equals_the_global_window(spark, n_buckets):
 
 def test_one_value_with_most_rows_spans_many_buckets(spark):
     df = frame(spark, [5] * 400 + list(range(10)) + [7] * 90)
-    placed = lorenz.bucketed(df, ["v", "id"], 8)
+    placed, n = lorenz.bucketed(df, ["v", "id"], 8)
+    assert n == 8
     assert placed.filter("v = 5").select("_bucket").distinct().count() > 3
     sizes = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
     assert max(sizes) < 250
     assert_same(df, 8)
 
 
+def test_tags_rise_with_the_ordering_and_agree_between_runs(spark):
+    df = frame(spark, [(i * 7919) % 101 if i % 9 else None for i in range(3000)])
+    for n in (2, 7, 40):
+        placed, _ = lorenz.bucketed(df, ["v", "id"], n)
+        rows = placed.orderBy("v", "id").select("_bucket", "id").collect()
+        tags = [r._bucket for r in rows]
+        assert tags == sorted(tags) and set(tags) == set(range(n))
+        assert max(tags.count(k) for k in range(n)) < 3 * 3000 / n
+        again, _ = lorenz.bucketed(df.repartition(5), ["v", "id"], n)
+        assert [(r._bucket, r.id) for r in again.orderBy("v", "id").collect()] == [(r._bucket, r.id) for r in rows]
+
+
+def test_building_the_frame_writes_nothing(spark):
+    """One query picks the bounds; nothing else runs until the frame is used, and no row of it is kept."""
+    df = frame(spark, list(range(100)))
+    executions = spark._jsparkSession.sharedState().statusStore()
+    before = executions.executionsCount()
+    got = lorenz.running_totals(df.filter("v >= 0"), "v", ["id"], 4)
+    assert executions.executionsCount() - before == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == plan.count("LogicalRDD [id") and "Checkpoint" not in plan
+
+
 def test_all_equal_and_missing_values(spark):
     assert_same(frame(spark, [3] * 100), 4)
     assert_same(frame(spark, [None, 1, None, 2, 2, 1]), 3)

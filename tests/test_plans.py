@@ -95,6 +95,22 @@ def test_basket_is_broadcast_and_never_collected(lake):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize(
+    "build", [dims.build_dim_provider, dims.build_dim_hcpcs, dims.build_dim_geography]
+)
+def test_silver_rows_are_aggregated_by_hash(lake, build):
+    """Below every sort aggregation, rows have been reduced by a hash aggregation."""
+    text = build(silver(lake))._jdf.queryExecution().sparkPlan().toString()
+    lines = [(len(line) - len(line.lstrip(" :+-")), line.lstrip(" :+-*")) for line in text.splitlines()]
+    sorts = [k for k, (_, line) in enumerate(lines) if line.startswith("SortAggregate")]
+    assert sorts
+    for k in sorts:
+        below = [line for depth, line in lines[k + 1 :]]
+        inside = below[: next((n for n, (depth, _) in enumerate(lines[k + 1 :]) if depth <= lines[k][0]), len(below))]
+        scan = next(n for n, line in enumerate(inside) if line.startswith("FileScan"))
+        assert any(line.startswith("HashAggregate") for line in inside[:scan])
+
+
 def test_markup_and_site_marts_broadcast_the_small_dimension(lake):
     codes = lake.table("dim_hcpcs")
     for mart in (marts.credentials_markup, marts.site_neutral):
