@@ -7,7 +7,9 @@ few pages. The first token of every document follows from one total per file.
 Encoding goes word by word through a bounded cache: the byte-level pre-tokeniser always cuts between
 a character and the single white space after it, and between a letter or digit and punctuation other
 than an apostrophe, so the ids of a text are the ids of such pieces in turn. What the cache lacks is
-encoded by the library, many words at a time; texts with runs of white space go to it whole.
+encoded by the library, many words at a time; texts with runs of white space, or with the string of a special
+token (which the library gives that token's id), go to it whole. The cache has two halves: words met again move to the
+new one, and the old one goes when the new one is full.
 
 Defined results: null text counts as empty and has the end id only; null doc_ids come first; rows
 equal in doc_id are ordered by a hash of their text; an empty table gives an empty file set.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import array
 import gc
+import os
 import re
 import zlib
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feescope.llm.common import running_base, scratch
 
 END_ID = 0
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 800_000
 _SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Row groups and pages small enough to read single documents; the writer adds page indexes by itself.
 LAYOUT = {
@@ -53,7 +56,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(special)) if special else None
         vocabulary = self._tokenizer.get_vocab()
         self._space = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space
         self._line = np.zeros(len(self._space), bool)
@@ -61,6 +65,7 @@ class Encoder:
             self._space[i] = token.startswith("Ġ")
             self._line[i] = token.startswith("Ċ")
         self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._cache_words = cache_words
         self._tails: dict[str, bytes] = {}
 
@@ -121,19 +126,36 @@ class Encoder:
             if collects:
                 gc.enable()
 
+    def _whole(self, text: str) -> bool:
+        return _RUN.search(text) is not None or (self._special is not None and self._special.search(text) is not None)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         # Without runs of white space, a break before every space and line feed is one of the pre-tokeniser's.
-        split = [[t] if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        split = [[t] if self._whole(t) else t.replace("\n", " \n").split(" ") for t in texts]
         firsts = self._library([w[0] for w in split])
-        rests = [w[1:] for w in split]
-        cache = self._cache
-        missing = set().union(*rests).difference(cache)
-        if len(cache) + len(missing) > self._cache_words:
-            cache.clear()
-            missing = set().union(*rests)
-        self._learn(missing)
-        get = cache.__getitem__
-        return [first + b"".join(map(get, rest)) for first, rest in zip(firsts, rests)]
+        if len(self._cache) > self._cache_words // 2:
+            self._older, self._cache = self._cache, {}
+        get, older = self._cache.get, self._older.get
+        found = [list(map(get, words)) for words in split]
+        missing = set()
+        holes = []
+        for ids, words in zip(found, split):
+            ids[0] = b""  # the first word has no space before it
+            if None in ids:
+                at = [k for k, x in enumerate(ids) if x is None]
+                holes.append((ids, words, at))
+                missing.update([words[k] for k in at])
+        if missing:
+            again = {w: x for w in missing if (x := older(w)) is not None}
+            self._cache.update(again)
+            missing.difference_update(again)
+            if missing:
+                self._learn(missing)
+            cache = self._cache
+            for ids, words, at in holes:
+                for k in at:
+                    ids[k] = cache[words[k]]
+        return [first + b"".join(ids) for first, ids in zip(firsts, found)]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one per Python worker, kept between tasks
@@ -141,6 +163,7 @@ _ENCODERS: dict[str, Encoder] = {}  # one per Python worker, kept between tasks
 
 def _encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit; threads of a worker only wait
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 

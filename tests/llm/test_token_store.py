@@ -12,15 +12,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 TEXTS = [
     "", None, " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "a\t \n  b  ", "it's we'll 's", "x" * 5000, "été ñ 中文 字   b",
-    "12 34  5", "<|endoftext|> a", "a <|endoftext|>", "Ġ Ġa", "　 a  b", "of%%% the&&& ,.- \r\n z", "\x1c a\x85 b", "word " * 3000,
+    "12 34  5", "<|endoftext|> a", "a <|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|>y z", "<|endoftext|", "a<|endoftext |> b", "Ġ Ġa", "　 a  b", "of%%% the&&& ,.- \r\n z", "\x1c a\x85 b", "word " * 3000,
 ]
 
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+    return lambda text: LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_library(library):
