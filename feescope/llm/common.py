@@ -60,6 +60,17 @@ def strings(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, with as many leading underscores more as it takes to differ from ``columns``, whatever their case."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def thin(rows: DataFrame, n_rows: int, wanted: int, *columns: str) -> DataFrame:
     """About ``3 * wanted`` of the rows, by hash of ``columns``; all, if there are no more.
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from feescope.llm.common import attach_totals, stored, strings
+from feescope.llm.common import attach_totals, fresh, stored, strings
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 _SEGMENT = 1 << 16
@@ -144,12 +144,16 @@ def duplicate_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of every group of equal texts; rows of unique texts never shuffle."""
+    """``docs`` with one row of every group of equal texts; rows of unique texts never shuffle.
+
+    Null counts as empty, so of all null, empty and blank texts one row stays; ties go to the smaller doc_id, null last; of
+    rows equal in doc_id too any one stays; an empty table gives an empty one. Other columns may have any name.
+    """
     columns = docs.columns
     slim = stored(text_digests(docs), "digests")
     shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(slim, slim.count(), max_bits))
     at = columns.index("text")
-    names = ["_sha", "_points", "_maybe"]
+    sha, points, maybe, keep = fresh(columns, "_sha", "_points", "_maybe", "_keep")
 
     def probe(batches):
         for batch in batches:
@@ -160,25 +164,23 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()),
                 pa.array(_maybe(shared.value, digests)),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, sha, points, maybe])
 
-    schema = StructType(docs.schema.fields[:]).add("_sha", "string").add("_points", "long").add("_maybe", "boolean")
+    schema = StructType(docs.schema.fields[:]).add(sha, "string").add(points, "long").add(maybe, "boolean")
     rows = docs.select(*columns).mapInArrow(probe, schema)
     best = (
         _flagged(slim, shared.value)
         .filter("maybe")
-        .groupBy(F.col("text_sha256").alias("_sha"))
-        .agg(F.min(_rank()).alias("_best"))
-        .select("_sha", (-F.col("_best.a")).alias("_points"), F.col("_best.c").alias("_keep"))
+        .groupBy(F.col("text_sha256").alias(sha))
+        .agg(F.min(_rank()).alias("best"))
+        .select(sha, (-F.col("best.a")).alias(points), F.col("best.c").alias(keep))
     )
-    repeated = rows.filter("_maybe").withColumn("_keep", F.col("doc_id").cast("long"))
+    repeated = rows.filter(maybe).withColumn(keep, F.col("doc_id").cast("long"))
     # The key holds doc_id, so a large group meets one matching row and spreads over all tasks.
     found = repeated.join(
         best,
-        (repeated["_sha"] == best["_sha"])
-        & (repeated["_points"] == best["_points"])
-        & repeated["_keep"].eqNullSafe(best["_keep"]),
+        (repeated[sha] == best[sha]) & (repeated[points] == best[points]) & repeated[keep].eqNullSafe(best[keep]),
         "left_semi",
     )
-    one = found.dropDuplicates(["_sha"])  # combined map-side: rows equal in doc_id too
-    return rows.filter(~F.col("_maybe")).select(*columns).unionByName(one.select(*columns))
+    one = found.dropDuplicates([sha])  # combined map-side: rows equal in doc_id too
+    return rows.filter(~F.col(maybe)).select(*columns).unionByName(one.select(*columns))

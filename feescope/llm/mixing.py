@@ -17,14 +17,12 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from feescope.llm.common import lookup, running_base, stored
+from feescope.llm.common import fresh, lookup, running_base, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -155,49 +153,31 @@ def mix(
     )
 
 
-_WORD = re.compile(rb"[^ \t-\r]+")
-
-
-def _first_words(text: str, n: int) -> str:
-    """``text`` up to the end of its ``n``-th word."""
-    raw = text.encode()
-    for i, match in enumerate(_WORD.finditer(raw), 1):
-        if i == n:
-            return raw[: match.end()].decode()
-    return text
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, in the columns of ``docs``: a row per copy, the last of a quota cut to the words taken.
+    """The mix itself, in the columns of ``docs``: a row per copy, all of them whole.
 
-    ``n_chars``, where it is a column, is the length of the text as it then is.
+    The last document of a quota, which ``mix`` takes in part, comes whole if at least half of it is in the quota, and else
+    not at all, so a source is off its target by half a document at most. Texts shuffle once, by document; the plan
+    comes to them. Null texts have size 0 and are in no mix; a null source is a source, the last; a null doc_id is kept;
+    an empty table gives an empty one. Other columns may have any name.
     """
     columns = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    turn = Window.partitionBy("_id", "_hash").orderBy("_hash")  # rows equal in both, if any
+    known, number, sha, n, places = fresh(columns, "_known", "_number", "_sha", "_n", "_places")
+    keys = [known, number, sha]
+
+    def keyed(rows: DataFrame, doc_id: Column, digest: Column) -> DataFrame:
+        # Plain equal columns, so that the window below and the join need one and the same exchange.
+        rows = rows.withColumns({known: doc_id.isNotNull(), number: F.coalesce(doc_id, F.lit(0)), sha: digest})
+        return rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(sha)))  # rows equal in both, if any
+
+    whole = F.filter("places", lambda c: 2 * c["words"] >= F.col("size"))
+    mixed = mix(docs, **options).select("doc_id", "text_hash", whole.alias(places))
     plan = (
-        mix(docs, **options)
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), "places")
-        .withColumn("_n", F.row_number().over(turn))
-    )
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text)})
-    rows = rows.withColumn("_n", F.row_number().over(turn))
-    keys = [rows["_id"].eqNullSafe(plan["_id"]), rows["_hash"] == plan["_hash"], rows["_n"] == plan["_n"]]
-    copies = rows.join(plan.select("_id", "_hash", "_n", "_size", F.explode("places").alias("_place")), keys)
-    taken = copies.select(*[rows[c] for c in columns], F.when(F.col("_place.words") < F.col("_size"), F.col("_place.words")).alias("_cut"))
-    at = columns.index("text")
-
-    def cut(batches):
-        for batch in batches:
-            limits = batch.column(len(columns)).to_pylist()
-            out = batch.columns[: len(columns)]
-            if any(n is not None for n in limits):
-                texts = [t if n is None else _first_words(t, n) for t, n in zip(out[at].to_pylist(), limits)]
-                out[at] = pa.array(texts, out[at].type)
-                if "n_chars" in columns:
-                    i = columns.index("n_chars")
-                    sizes = [c if n is None else len(t) for c, n, t in zip(out[i].to_pylist(), limits, texts)]
-                    out[i] = pa.array(sizes, out[i].type)
-            yield pa.RecordBatch.from_arrays(out, columns)
-
-    return taken.mapInArrow(cut, docs.schema)
+        keyed(mixed, F.col("doc_id"), F.col("text_hash")).filter(F.size(places) > 0)
+        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(n, F.size(places)))).alias(places))
+    )
+    rows = keyed(docs, F.col("doc_id").cast("long"), F.xxhash64(text))
+    copies = rows.join(plan, keys).withColumn(n, F.try_element_at(F.col(places), F.col(n)))
+    times = F.coalesce(F.col(n), F.lit(0))
+    return copies.select(*columns, F.explode(F.array_repeat(F.lit(0), times)).alias(places)).select(*columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from feescope.llm.common import attach_totals, bloom_field, field_bits, in_field, lookup, stored, strings
+from feescope.llm.common import attach_totals, bloom_field, field_bits, fresh, in_field, lookup, stored, strings
 from feescope.llm.components import connected_components
 
 _SEED = 42
@@ -522,7 +522,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     Candidates differ in at most the share of bits expected at ``similarity`` plus ``_SLACK`` standard
     deviations; every link taken is checked on the texts. Documents of one set of shingles are one node.
     The others of a group go, all other rows stay as they are and are not shuffled. Rows equal in doc_id and
-    text are one row.
+    text are one row. Null counts as empty; texts without words are one node and so one document; a null doc_id is the last choice;
+    an empty table gives an empty one. Other columns may have any name.
     """
     columns = docs.columns
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -554,17 +555,18 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
         bloom_field(grouped.select("key").mapInArrow(_key_hashes, "h long"), field_bits(grouped.count(), 1 << 30))
     )
     at_id, at_text = columns.index("doc_id"), columns.index("text")
+    key, hit, stays = fresh(columns, "_key", "_hit", "_stays")
 
     def probe(batches):
         for batch in batches:
             keys = _row_keys(batch.column(at_id), strings(batch.column(at_text)))
-            hit = in_field(shared.value, _low(keys)) if keys else np.zeros(0, bool)
+            hits = in_field(shared.value, _low(keys)) if keys else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(keys, pa.binary()), pa.array(hit)], [*batch.schema.names, "_key", "_hit"]
+                [*batch.columns, pa.array(keys, pa.binary()), pa.array(hits)], [*batch.schema.names, key, hit]
             )
 
-    rows = docs.mapInArrow(probe, StructType(docs.schema.fields[:]).add("_key", "binary").add("_hit", "boolean"))
-    found = rows.filter("_hit").join(grouped.select(F.col("key").alias("_key"), "stays"), "_key", "left")
-    alone = found.filter("stays is null").select(*columns)
-    kept = found.filter("stays").dropDuplicates(["_key"]).select(*columns)
-    return rows.filter("not _hit").select(*columns).unionByName(alone).unionByName(kept)
+    rows = docs.mapInArrow(probe, StructType(docs.schema.fields[:]).add(key, "binary").add(hit, "boolean"))
+    found = rows.filter(hit).join(grouped.select(F.col("key").alias(key), F.col("stays").alias(stays)), key, "left")
+    alone = found.filter(F.col(stays).isNull()).select(*columns)
+    kept = found.filter(stays).dropDuplicates([key]).select(*columns)
+    return rows.filter(~F.col(hit)).select(*columns).unionByName(alone).unionByName(kept)

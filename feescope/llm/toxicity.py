@@ -46,8 +46,11 @@ _LOG_DROP, _LOG_DROP_RUN = -8.0, -2.0
 
 _SYMBOLS = re.escape("".join(LEET) + _HIDES)
 _SPACED = re.compile(r"(?<![^\s])[a-z0-9@$!|](?:([ ._\-*])[a-z0-9@$!|])(?:\1[a-z0-9@$!|])+(?![^\s.,;:?!])")
-_DISGUISED = re.compile(rf"\S*(?:[a-z][{_SYMBOLS}]+[a-z]|[{_SYMBOLS}][a-z]{{2}}|([a-z])\1\1|[a-z]{{2}}[{_SYMBOLS}])\S*")
-_EDGE = re.compile(r"^([\W_]*)(.*?)((?:[^\w\s]|_)*)$", re.S)
+#: What makes a token a disguised word. There is no run of any character in front, so one pass over a text finds all.
+_MARKED = re.compile(rf"[a-z][{_SYMBOLS}]++[a-z]|[{_SYMBOLS}][a-z]{{2}}|([a-z])\1\1|[a-z]{{2}}[{_SYMBOLS}]")
+_END = re.compile(r"\s")
+#: A longer token is no single word: hiding symbols in it stand for nothing, and its reading is not kept.
+_LONG_TOKEN = 200
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,11 +112,16 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each run of one character, what it may stand for and the channel's log probability."""
+    """For each run of one character, what it may stand for and the channel's log probability.
+
+    In tokens of over ``_LONG_TOKEN`` characters (addresses, data, scripts without spaces) a hiding symbol is only noise, so
+    that the lattice stays narrow and decoding takes time in proportion to the token.
+    """
     arcs = []
+    hides = _HIDES if len(word) <= _LONG_TOKEN else ""
     for match in re.finditer(r"(.)\1*", word, re.S):
         run, char = match[0], match[1]
-        if char in LEET or char in _HIDES:
+        if char in LEET or char in hides:
             meant = LEET.get(char, _LETTERS)
             cost = _LOG_LEET if char in LEET else _LOG_HIDDEN - math.log(len(_LETTERS))
             options = [(c * n, cost * n) for c in meant for n in range(1, min(2, len(run)) + 1)]
@@ -163,15 +171,21 @@ class Restorer:
     cache: dict[str, str] = field(default_factory=dict)
 
     def _read(self, word: str) -> str:
+        if len(word) > _LONG_TOKEN:
+            return decode(word, self.model)
         if word not in self.cache:
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[word] = decode(word, self.model)
         return self.cache[word]
 
-    def _word(self, match: re.Match) -> str:
-        word = match[0]
-        head, core, tail = _EDGE.match(word).groups()
+    def _word(self, word: str) -> str:
+        first, last = 0, len(word)
+        while first < last and not word[first].isalnum():
+            first += 1
+        while last > first and not word[last - 1].isalnum():
+            last -= 1
+        head, core, tail = word[:first], word[first:last], word[last:]
         if sum(c.isalpha() for c in core) < 2:
             return word
         if len(set(tail)) == 1 and len(tail) <= 2 and tail[0] in LEET:
@@ -185,7 +199,20 @@ class Restorer:
 
     def restore(self, text: bytes) -> bytes:
         lower = text.decode("utf-8", "replace").lower()
-        return _DISGUISED.sub(self._word, _SPACED.sub(self._spaced, lower)).encode()
+        return self._disguised(_SPACED.sub(self._spaced, lower)).encode()
+
+    def _disguised(self, text: str) -> str:
+        """Every token that holds a mark is read; each character is looked at once."""
+        parts, done, at = [], 0, 0
+        while mark := _MARKED.search(text, at):
+            start = mark.start()
+            while start > done and not text[start - 1].isspace():
+                start -= 1
+            space = _END.search(text, mark.end())
+            at = space.start() if space else len(text)
+            parts += [text[done:start], self._word(text[start:at])]
+            done = at
+        return "".join(parts) + text[done:]
 
     def restored(self, texts: list[bytes]) -> list[bytes]:
         """Only texts with a trace of disguise are decoded; one pass over all bytes finds them."""
@@ -301,23 +328,51 @@ def _feature_counts(grams: np.ndarray):
 
 
 def _rows_of(grams: np.ndarray, slots: np.ndarray):
+    """The few counts of a text that are not 0, with their columns: what the driver gets is small."""
+
     def run(batches):
-        restorer = Restorer(grams)
+        restorer, width = Restorer(grams), int(slots.max()) + 1
         for batch in batches:
             for at, texts in _chunks(batch.column(1)):
-                x = _matrix(restorer.restored(texts), slots).astype("<f4")
+                docs, features, n_words = word_features(restorer.restored(texts))
+                column = slots[features]
+                kept = column >= 0
+                cells, counts = np.unique(docs[kept] * width + column[kept], return_counts=True)
+                cuts = np.searchsorted(cells, np.arange(len(texts) + 1) * width).tolist()
+                columns = (cells % width).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array([r.tobytes() for r in x], pa.binary())], ["toxic", "x"]
+                    [
+                        batch.column(0).slice(at, len(texts)),
+                        pa.array(n_words.astype(np.int64)),
+                        pa.array([columns[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                        pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    ],
+                    ["toxic", "n_words", "columns", "counts"],
                 )
 
     return run
 
 
+def _dense(rows: list, width: int) -> np.ndarray:
+    """The matrix of ``_matrix``, with a last column of ones for the bias."""
+    x = np.zeros((len(rows), 2 * width + 1), np.float32)
+    x[:, -1] = 1
+    for i, row in enumerate(rows):
+        at = np.frombuffer(row.columns, "<u2").astype(np.int64)
+        counts = np.frombuffer(row.counts, "<u4").astype(np.float64)
+        x[i, at] = np.log1p(counts)
+        x[i, width + at] = np.log1p(counts / (1 + row.n_words / 100))
+    return x
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400):
-    """Logistic regression with ridge, by accelerated gradient steps on standardised columns."""
-    mean, scale = x.mean(0), np.maximum(x.std(0), np.float32(0.05))
-    z = np.ones((x.shape[0], x.shape[1] + 1), np.float32)  # the only copy; the last column is the bias
-    np.subtract(x, mean, out=z[:, :-1])
+    """Logistic regression with ridge, by accelerated gradient steps on columns standardised in place; the last is the bias."""
+    z = x
+    mean = z[:, :-1].mean(0)
+    z[:, :-1] -= mean
+    scale = np.empty_like(mean)
+    for k in range(len(mean)):  # column by column: no second matrix
+        scale[k] = max(np.sqrt(np.mean(z[:, k].astype(np.float64) ** 2)), 0.05)
     z[:, :-1] /= scale
     top = np.ones(z.shape[1], np.float32)
     for _ in range(30):  # largest eigenvalue of the Gram matrix
@@ -357,7 +412,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, n_featur
     counts = sample.mapInArrow(_feature_counts(grams), "feature int, pos long, neg long")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
-    slots = np.full(_BUCKETS, -1, np.int32)
+    slots = np.full(_BUCKETS, -1, np.int16)
     if not n_pos or not n_neg:
         return Model(grams, slots, np.zeros(0), np.ones(0), np.zeros(0), 30.0 if n_pos else -30.0)
     gap = F.col("pos") / n_pos - F.col("neg") / n_neg
@@ -372,9 +427,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, n_featur
     )
     for i, row in enumerate(sorted(r.feature for r in best)):
         slots[row] = i
-    rows = sample.mapInArrow(_rows_of(grams, slots), "toxic int, x binary").collect()
-    x = np.frombuffer(b"".join([r.x for r in rows]), "<f4").reshape(len(rows), -1)
-    return Model(grams, slots, *_fit(x, np.array([r.toxic for r in rows], np.float32)))
+    rows = sample.mapInArrow(_rows_of(grams, slots), "toxic int, n_words long, columns binary, counts binary").collect()
+    y = np.array([r.toxic for r in rows], np.float32)
+    return Model(grams, slots, *_fit(_dense(rows, len(best)), y))
 
 
 # --- scoring ------------------------------------------------------------------
@@ -405,7 +460,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, in one pass without a shuffle."""
+    """The rows of ``docs`` that score below ``threshold``, in one pass without a shuffle.
+
+    Null counts as empty and both are scored like any text; an empty table gives an empty one; columns may have any name.
+    """
     scores = _scorer(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"))
 
     def run(batches):

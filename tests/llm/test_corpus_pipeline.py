@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from feescope.llm import mixing, simhash
+from feescope.llm import exact_dedup, mixing, simhash
 from feescope.llm.common import stored
 
 
@@ -57,21 +57,41 @@ def test_repeated_rows_and_empty_table(docs):
     assert simhash.keep_one_of_each(docs([])).count() == 0
 
 
-def test_mixed_documents_hold_the_words_taken(docs):
+def test_mixed_documents_are_whole_and_near_the_words_taken(docs):
     rng = random.Random(3)
     rows = [(i, " \n".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 60))), f"s{i % 4}") for i in range(300)]
-    rows += [(500, "a b", "s1"), (500, "a b", "s1"), (None, None, None)]
+    rows += [(500, "a b", "s1"), (500, "a b", "s1"), (None, None, None), (None, "x y z", "s2")]
     given = docs(rows)
-    taken = {}
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    source = {r[0]: r[2] if len(r) > 2 else "src0" for r in rows}
+    taken, mixed, texts = {}, {}, {(r[0], r[1]) for r in rows}
     for r in mixing.mix(given).collect():
-        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
-    mixed = mixing.mixed_documents(given)
-    assert mixed.columns == given.columns
-    words, texts = {}, dict((r[0], r[1]) for r in rows)
-    for r in mixed.collect():
-        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
-        assert texts[r.doc_id].startswith(r.text)
-    assert words == {k: v for k, v in taken.items() if v}
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    out = mixing.mixed_documents(given)
+    assert out.columns == given.columns
+    copies = {}
+    for r in out.collect():
+        assert (r.doc_id, r.text) in texts
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+        mixed[r.source] = mixed.get(r.source, 0) + len(r.text.split())
+    assert max(n for i, n in copies.items() if i not in (500, None)) <= 2 and copies.get(500, 0) <= 4
+    for s in taken:
+        assert abs(taken[s] - mixed.get(s, 0)) <= max(size[i] for i in size if source[i] == s) / 2
+    assert mixing.mixed_documents(docs([])).count() == 0
+
+
+def test_columns_of_clashing_names(spark):
+    """Every stage keeps columns that are called like its own."""
+    names = ["_id", "_n", "_sha", "_keep", "_key", "_hit", "_stays", "_Points", "_maybe", "_known", "_number", "_places", "_hash", "places", "best", "src"]
+    rows = [(i, f"text number {i % 7} with {i % 7} own words", "en", f"s{i % 2}", 5, *[f"{n}{i}" for n in names]) for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    given = spark.createDataFrame(rows, schema)
+    want = {r[0]: r for r in rows}
+    for stage in (exact_dedup.keep_one, simhash.keep_one_of_each, mixing.mixed_documents):
+        out = stage(given)
+        assert out.columns == given.columns
+        found = out.collect()
+        assert found and all(tuple(r) == want[r.doc_id] for r in found)
 
 
 def test_stages_chain(spark, docs):

@@ -1,4 +1,5 @@
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -98,3 +99,22 @@ def test_symbols_of_several_bytes_mark_a_text(model, noisy):
 
 def test_fitted_size():
     assert (toxicity.MAX_ROWS, toxicity.N_FEATURES) == (12_000, 512)
+
+
+@pytest.mark.parametrize("token", ["x" * 10**6, "a1" * 500_000, "*#" * 500_000, "a*#" * 300_000, "@0" * 500_000, "a.b." * 250_000, "a b " * 250_000, "%3Ca$b" * 150_000])
+def test_unbroken_megabytes_take_seconds(token):
+    """The channel is linear in the token, whatever stands in it; every path of a token is decoded, none is cut."""
+    restorer = toxicity.Restorer(np.log(np.full((28, 28, 28), 1 / 28)))
+    start = time.process_time()
+    out = restorer.restored([f"the id1ot {token} mor0n".encode(), b"plain"])
+    assert time.process_time() - start < 40
+    assert out[0].decode().split()[-1] in ("moron", "mor0n") and out[1] == b"plain"
+
+
+def test_tokens_are_read_like_words_of_a_text(model):
+    restorer = toxicity.Restorer(model.grams)
+    text = 'the ,"1d10t", (l0$er)! _m0r0n_ a+b 10:30 st*pid\tfoo b4r 5tupid... c£own'
+    whole = restorer.restore(text.encode()).decode().split()
+    for word in ("idiot", "loser", "moron", "stupid"):
+        assert word in whole
+    assert restorer.restore(b"no marks at all") == b"no marks at all"
