@@ -4,7 +4,7 @@ Documents are range-partitioned and sorted by doc_id, encoded where they lie and
 their place in the file's token stream, so that reading one document or only the metadata touches
 few pages. The first token of every document follows from one total per file.
 
-Encoding goes word by word through a bounded cache: the byte-level pre-tokeniser always cuts between
+Encoding goes through the different words of some texts and a bounded cache of words: the byte-level pre-tokeniser always cuts between
 a character and the single white space after it, and between a letter or digit and punctuation other
 than an apostrophe, so the ids of a text are the ids of such pieces in turn. What the cache lacks is
 encoded by the library, many words at a time; texts with runs of white space, or with the string of a special
@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -129,33 +130,43 @@ class Encoder:
     def _whole(self, text: str) -> bool:
         return _RUN.search(text) is not None or (self._special is not None and self._special.search(text) is not None)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        # Without runs of white space, a break before every space and line feed is one of the pre-tokeniser's.
-        split = [[t] if self._whole(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        firsts = self._library([w[0] for w in split])
+    def _whole(self, text: str) -> bool:
+        return _RUN.search(text) is not None or (self._special is not None and self._special.search(text) is not None)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, each with its space or line break."""
         if len(self._cache) > self._cache_words // 2:
             self._older, self._cache = self._cache, {}
-        get, older = self._cache.get, self._older.get
-        found = [list(map(get, words)) for words in split]
-        missing = set()
-        holes = []
-        for ids, words in zip(found, split):
-            ids[0] = b""  # the first word has no space before it
-            if None in ids:
-                at = [k for k, x in enumerate(ids) if x is None]
-                holes.append((ids, words, at))
-                missing.update([words[k] for k in at])
+        found = list(map(self._cache.get, words))
+        missing = {w for w, x in zip(words, found) if x is None}
         if missing:
-            again = {w: x for w in missing if (x := older(w)) is not None}
+            again = {w: x for w in missing if (x := self._older.get(w)) is not None}
             self._cache.update(again)
             missing.difference_update(again)
             if missing:
                 self._learn(missing)
-            cache = self._cache
-            for ids, words, at in holes:
-                for k in at:
-                    ids[k] = cache[words[k]]
-        return [first + b"".join(ids) for first, ids in zip(firsts, found)]
+            found = [self._cache[w] if x is None else x for w, x in zip(words, found)]
+        return found
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        whole = [self._whole(t) for t in texts]
+        # Without runs of white space, a break before every space and line feed is one of the pre-tokeniser's.
+        parts = pc.split_pattern(pa.array(["" if w else t.replace("\n", " \n") for t, w in zip(texts, whole)], pa.string()), " ")
+        offsets = np.asarray(parts.offsets).astype(np.int64)
+        coded = parts.values.dictionary_encode()
+        at = np.asarray(coded.indices).astype(np.int64)
+        # The first word of a text has no space before it; a text that is not cut is its own first word.
+        firsts = parts.values.take(parts.offsets[:-1]).to_pylist()
+        firsts = self._library([t if w else f for t, w, f in zip(texts, whole, firsts)])
+        at[offsets[:-1]] = len(coded.dictionary) + np.arange(len(texts))
+        pieces = self._words(coded.dictionary.to_pylist()) + firsts
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat, begins = np.frombuffer(b"".join(pieces), np.int32), np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.r_[0, np.cumsum(counts)]
+        ids = flat[np.repeat(begins[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        cuts = ends[offsets].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one per Python worker, kept between tasks
@@ -174,8 +185,8 @@ def _encoded(path: str, end_id: int):
     def run(batches):
         encoder, part, start = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                piece = batch.slice(at, 400)
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
                 ids = [x + end for x in encoder.encode([t or "" for t in piece.column(1).to_pylist()])]
                 counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 ends = np.cumsum(counts)
