@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,57 +67,150 @@ _TAG_GROUP = {t: i for i, names in enumerate(TAG_GROUPS) for t in names.split()}
 _TOKEN_BIT = {t: i for i, names in enumerate(TOKEN_GROUPS) for t in names.split()}
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
+#: What a "<" after the last ">" of a page can begin.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?()()()()()()", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|data-gold)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _raw_end(source: str, at: int, tag: str, attributes: str, inside: str = "") -> int:
-    """Where the content of a raw element that opens before ``at`` and its end tag are over."""
-    if attributes.endswith("/") and (tag == "iframe" or inside == "svg"):
-        return at
-    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-    return close.end() if close else len(source)
+class _Source:
+    """A page's text with what is known of what still comes, so that nothing is searched for twice."""
 
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.last = text.rfind(">")
+        self.closes: dict[str, list[int]] = {}  # tag -> where its end tags begin
 
-def _silent_end(source: str, at: int, tag: str, stack: list[tuple[str, int]]) -> int:
-    """Where the silent element that opens before ``at`` is over; 0 if its parent ends, or another opens, before its end tag."""
-    around, inner, nested = {t for t, _ in stack} | {"html", "body"}, [], 0
-    if not re.compile(rf"</{tag}\b", re.I).search(source, at):
-        return 0
-    while match := _MARKUP.search(source, at):
-        at = match.end()
-        name = (match[2] or match[5] or "").lower()
-        attributes = match[3] or match[6] or ""
-        if not name:
-            continue
-        if (match[1] or match[4]) == "/":
-            if name == tag:
-                if not nested:
-                    return at
-                nested -= 1
-            elif name in inner:
-                del inner[len(inner) - 1 - inner[::-1].index(name) :]
-            elif name in around:
-                return 0
-        elif name in RAW:
-            at = _raw_end(source, at, name, attributes, tag)
-        elif name == "body" or name == tag and tag not in ("object", "svg", "canvas"):
+    def markup(self, at: int) -> re.Match | None:
+        """The next comment or tag."""
+        text, find = self.text, self.text.find
+        at = find("<", at)
+        while at >= 0:
+            match = (_MARKUP if at < self.last else _LOOSE).match(text, at)
+            if match:
+                return match
+            at = find("<", at + 1)
+        return None
+
+    def _left(self, tag: str, at: int) -> tuple[list[int], int]:
+        if tag not in self.closes:
+            self.closes[tag] = [m.start() for m in re.finditer(rf"</{tag}\b", self.text, re.I)]
+        return self.closes[tag], bisect_left(self.closes[tag], at)
+
+    def close(self, tag: str, at: int) -> int:
+        """Where the next ``</tag`` begins, -1 if there is none."""
+        found, k = self._left(tag, at)
+        return found[k] if k < len(found) else -1
+
+    def n_closes(self, tag: str, at: int) -> int:
+        found, k = self._left(tag, at)
+        return len(found) - k
+
+    def raw_end(self, at: int, tag: str, attributes: str, inside: str = "") -> int:
+        """Where the content of a raw element that opens before ``at`` and its end tag are over."""
+        if attributes.endswith("/") and (tag == "iframe" or inside == "svg"):
+            return at
+        start = self.close(tag, at)
+        end = self.text.find(">", start) if start >= 0 else -1
+        return end + 1 if end >= 0 else len(self.text)
+
+    def silent_end(self, at: int, tag: str, around: set[str]) -> int:
+        """Where the silent element that opens before ``at`` is over; 0 if its parent ends, or another opens, before its end tag."""
+        inner, depth, nested = {}, 0, 0  # open elements by tag, with their depth
+        if self.close(tag, at) < 0:
             return 0
-        elif not attributes.endswith("/"):
-            if name == tag:
-                nested += 1
-            elif name not in VOID:
-                inner.append(name)
-    return 0
+        opened: list[str] = []
+        while match := self.markup(at):
+            at = match.end()
+            name = (match[2] or match[5] or "").lower()
+            attributes = match[3] or match[6] or ""
+            if not name:
+                continue
+            if (match[1] or match[4]) == "/":
+                if name == tag:
+                    if not nested:
+                        return at
+                    nested -= 1
+                elif inner.get(name):
+                    while True:
+                        last = opened.pop()
+                        inner[last] -= 1
+                        if last == name:
+                            break
+                elif name in around:
+                    return 0
+            elif name in RAW:
+                at = self.raw_end(at, name, attributes, tag)
+            elif name == "body" or name == tag and tag not in ("object", "svg", "canvas"):
+                return 0
+            elif not attributes.endswith("/"):
+                if name == tag:
+                    nested += 1
+                    if nested + 1 > self.n_closes(tag, at):  # too few end tags are left
+                        return 0
+                elif name not in VOID:
+                    inner[name] = inner.get(name, 0) + 1
+                    opened.append(name)
+        return 0
+
+
+class _Open:
+    """Open elements with the node their text belongs to, and where the elements of each tag are."""
 
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int] | None] = [("html", 0)]  # None: closed below an open one
+        self.at: dict[str, list[int]] = {}
+        self.links = 0
 
-def _ends_silent(silent: str, tag: str, closing: bool, stack: list[tuple[str, int]]) -> bool:
+    @property
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def last(self, tag: str) -> int:
+        """The innermost open element of ``tag``; 0 without one."""
+        found = self.at.get(tag)
+        return found[-1] if found else 0
+
+    def innermost(self, tags) -> int:
+        return max([self.last(t) for t in tags], default=0)
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node))
+        self.links += tag == "a"
+
+    def cut(self, i: int) -> None:
+        """Close element ``i`` and all inside it."""
+        for item in self.stack[i:]:
+            if item is not None:
+                self.at[item[0]].pop()
+                self.links -= item[0] == "a"
+        del self.stack[i:]
+        self._trim()
+
+    def drop(self, i: int) -> None:
+        """Close element ``i`` alone, the innermost of its tag."""
+        tag = self.stack[i][0]
+        self.at[tag].pop()
+        self.links -= tag == "a"
+        self.stack[i] = None
+        self._trim()
+
+    def _trim(self) -> None:
+        while self.stack[-1] is None:
+            self.stack.pop()
+
+    def tags(self) -> set[str]:
+        return {t for t, found in self.at.items() if found} | {"html"}
+
+
+def _ends_silent(silent: str, tag: str, closing: bool, open_: _Open) -> bool:
     """Whether a tag ends a head, or another silent element that lacks its end tag."""
     if silent == "head":
         return tag in ("body", "html") if closing else tag not in IN_HEAD
-    return any(t == tag for t, _ in stack) if closing else tag == silent or tag in _TAG_GROUP
+    return (open_.last(tag) > 0 or tag == "html") if closing else tag == silent or tag in _TAG_GROUP
 
 
 class Page:
@@ -146,18 +240,16 @@ class Page:
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the node their text belongs to
-        links = at = 0
-        silent = ""
-        find, end = _MARKUP.search, len(source)
+        open_, page = _Open(), _Source(source)
+        at, end, silent = 0, len(source), ""
         while at < end:
-            match = find(source, at)
+            match = page.markup(at)
             start = match.start() if match else end
             if silent == "head" and source[at:start].strip():
                 silent = ""
             if start > at and not silent:
                 text = source[at:start]
-                self.runs.append((stack[-1][1], entities.unescape(text) if "&" in text else text, links > 0))
+                self.runs.append((open_.node, entities.unescape(text) if "&" in text else text, open_.links > 0))
             if not match:
                 break
             at = match.end()
@@ -168,65 +260,52 @@ class Page:
             attributes = match[3] or match[6] or ""
             if tag in RAW:
                 if not closing:
-                    at = _raw_end(source, at, tag, attributes, silent)
+                    at = page.raw_end(at, tag, attributes, silent)
                 continue
             if silent:
                 if closing and tag == silent:
                     silent = ""
                     continue
-                if not _ends_silent(silent, tag, closing, stack):
+                if not _ends_silent(silent, tag, closing, open_):
                     continue
                 silent = ""
             if tag in SILENT:
                 if tag != "head" and not closing and not attributes.endswith("/"):
-                    close = _silent_end(source, at, tag, stack)
+                    close = page.silent_end(at, tag, open_.tags() | {"html", "body"})
                     at, silent = (close, "") if close else (at, tag)
                 elif tag == "head" and not closing:
                     silent = "head"
                 continue
             if tag in INLINE:
                 if closing:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == tag:
-                            links -= tag == "a"
-                            del stack[i]
-                            break
-                        if stack[i][0] in BOUNDARY:
-                            break
+                    i = open_.last(tag)
+                    if i and i > open_.innermost(BOUNDARY):
+                        open_.drop(i)
                 else:
-                    node = stack[-1][1]
+                    node = open_.node
                     if tag != "a" and _TOKEN_ATTR.search(attributes):
                         node = self._node(node, tag, attributes)
-                    stack.append((tag, node))
-                    links += tag == "a"
+                    open_.push(tag, node)
                 continue
-            self.runs.append((stack[-1][1], " ", False))
+            self.runs.append((open_.node, " ", False))
             if tag in VOID:
                 continue
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("table", "article", "main", "body") and tag in ("p", "li", "span", "h1", "h2", "h3"):
-                        break
+                i = open_.last(tag)
+                barred = tag in ("p", "li", "span", "h1", "h2", "h3") and open_.innermost(("table", "article", "main", "body")) > i
+                if i and not barred:
+                    open_.cut(i)
                 continue
             if tag in ("html", "body"):
-                if tag == "body" and not any(t == "body" for t, _ in stack):
-                    stack.append((tag, self._node(stack[-1][1], tag, attributes)))
+                if tag == "body" and not open_.last("body"):
+                    open_.push(tag, self._node(open_.node, tag, attributes))
                 continue
             closes = CLOSES.get(tag, set()) | {"p"}
-            for i in range(len(stack) - 1, 0, -1):
-                open_ = stack[i][0]
-                if open_ in closes:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    if tag not in ("tr", "thead", "tbody", "tfoot", "dt", "dd"):
-                        break
-                elif open_ in BOUNDARY:
+            while (i := open_.innermost(closes)) and i > open_.innermost(BOUNDARY - closes):
+                open_.cut(i)
+                if tag not in ("tr", "thead", "tbody", "tfoot", "dt", "dd"):
                     break
-            stack.append((tag, self._node(stack[-1][1], tag, attributes)))
+            open_.push(tag, self._node(open_.node, tag, attributes))
 
     def text(self, kept: np.ndarray | list[bool]) -> str:
         return " ".join("".join([t for n, t, _ in self.runs if t == " " or kept[n]]).split())

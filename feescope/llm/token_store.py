@@ -57,8 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._special = re.compile("|".join(special)) if special else None
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self._tokenizer.get_vocab()
         self._space = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space
         self._line = np.zeros(len(self._space), bool)
@@ -92,7 +91,7 @@ class Encoder:
         cache = self._cache
         ended = [(w, w.rstrip(_TAILS)) for w in words if w[-1:] in _ENDS]
         parts = [(w, s, w[len(s) :]) for w, s in ended if s and s[-1] < "\u0250" and s[-1].isalnum()]
-        wanted = words.difference([w for w, _, _ in parts])
+        wanted = words.difference([w for w, _, _ in parts]) if parts else words
         wanted.update([s for _, s, _ in parts if s not in cache])
         spaced = [w for w in wanted if w and w[0] != "\n"]
         lines = [w for w in wanted if len(w) > 1 and w[0] == "\n"]
@@ -128,24 +127,22 @@ class Encoder:
                 gc.enable()
 
     def _whole(self, text: str) -> bool:
-        return _RUN.search(text) is not None or (self._special is not None and self._special.search(text) is not None)
-
-    def _whole(self, text: str) -> bool:
-        return _RUN.search(text) is not None or (self._special is not None and self._special.search(text) is not None)
+        return _RUN.search(text) is not None or any([s in text for s in self._special])
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of different words, each with its space or line break."""
         if len(self._cache) > self._cache_words // 2:
             self._older, self._cache = self._cache, {}
-        found = list(map(self._cache.get, words))
-        missing = {w for w, x in zip(words, found) if x is None}
+        cache = self._cache
+        found = list(map(cache.get, words))
+        missing = [w for w, x in zip(words, found) if x is None]
         if missing:
-            again = {w: x for w in missing if (x := self._older.get(w)) is not None}
-            self._cache.update(again)
-            missing.difference_update(again)
-            if missing:
-                self._learn(missing)
-            found = [self._cache[w] if x is None else x for w, x in zip(words, found)]
+            known = list(map(self._older.get, missing))
+            cache.update([(w, x) for w, x in zip(missing, known) if x is not None])
+            unknown = {w for w, x in zip(missing, known) if x is None}
+            if unknown:
+                self._learn(unknown)
+            found = list(map(cache.__getitem__, words))
         return found
 
     def _encode(self, texts: list[str]) -> list[bytes]:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -122,3 +123,14 @@ def test_article_of_a_page_without_head_end_or_button_end(trees):
     want = " ".join([WORDS.strip()] * 12)
     for head, first in (("<head><title>T</title>", ""), ("<head><title>T</title></head>", "<div class=share><button>NO</div>")):
         assert x.extract([f"<html>{head}<body>{first}<article>{body}</article></body></html>"], trees) == [want]
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<b>" * 200_000, "<h1>" * 200_000, "<a x " * 200_000, "<b>" * 99_000 + "<h1>" * 99_000 + "</b>" * 99_000, "<button>" * 99_000, "<svg>" * 99_000 + "</svg>",
+     "<b>" * 99_000 + "</i>" * 99_000, "<p><b>" * 99_000, "<!--" * 250_000, '<a "' * 250_000, "<td>" * 99_000 + "<tr>" * 99_000, "<" * 10**6],
+)
+def test_a_megabyte_of_broken_markup_takes_seconds(source):
+    start = time.process_time()
+    x.Page(f"<p>first</p>{source}")
+    assert time.process_time() - start < 20
