@@ -20,6 +20,7 @@ from ..schemas import CLUSTERING, PARTITIONS, RANGE_CLUSTERED, SILVER
 from ..sources import (
     CORRUPT,
     cluster_by,
+    move_catalogs,
     publish_run,
     read_bronze,
     read_table,
@@ -134,9 +135,9 @@ class Pipeline:
         fact = self.table(FACT)
         tables = {name: self.table(name) for name in quality.KEYS}
         report = quality.run_checks(
-            self.table(SILVER), fact, tables, s.row_band, s.geo_band, s.drift_tol
+            self.table(SILVER), None, tables, s.row_band, s.geo_band, s.drift_tol
         )
-        report = report.unionByName(quality.foreign_key_checks(fact, tables))
+        report = report.unionByName(quality.foreign_key_checks(fact, tables, s.row_band))
         if self._raw:
             exact = not s.dedup
             report = report.unionByName(quality.raw_checks(self.table(SILVER), self._raw, exact))
@@ -161,6 +162,7 @@ class Pipeline:
         finally:
             self._writing = None
         publish_run(self.spark, self.root, run)
+        move_catalogs(self.spark, self.root)
         return results
 
 

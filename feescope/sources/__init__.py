@@ -7,9 +7,11 @@ from .tables import (
     gold_is_empty,
     gold_status,
     load_gold,
+    move_catalogs,
     publish_run,
     read_table,
     register_gold,
+    remove_abandoned,
     run_root,
     table_path,
     write_table,
@@ -24,10 +26,12 @@ __all__ = [
     "gold_is_empty",
     "gold_status",
     "load_gold",
+    "move_catalogs",
     "publish_run",
     "read_bronze",
     "read_table",
     "register_gold",
+    "remove_abandoned",
     "run_root",
     "sample",
     "table_path",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from urllib.parse import quote, unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
@@ -71,46 +74,94 @@ def run_root(root: str, run: str) -> str:
     return f"{root.rstrip('/')}/_runs/{run}"
 
 
+def _folder(spark: SparkSession, name: str):
+    """A path and its file system, of whatever kind the root is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _listed(spark: SparkSession, name: str) -> list:
+    folder, filesystem = _folder(spark, name)
+    return list(filesystem.listStatus(folder)) if filesystem.exists(folder) else []
+
+
+def _publications(spark: SparkSession, root: str) -> dict[int, str]:
+    """Published runs by number. A number whose file is still empty is being published and does not count yet."""
+    found = {}
+    for status in _listed(spark, f"{root.rstrip('/')}/_published"):
+        path = status.getPath()
+        if not path.getName().isdigit() or not status.getLen():
+            continue
+        filesystem = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        try:
+            stream = filesystem.open(path)
+        except Py4JJavaError:
+            if filesystem.exists(path):
+                raise
+            continue  # superseded and removed since the folder was listed
+        try:
+            found[int(path.getName())] = stream.readUTF()
+        finally:
+            stream.close()
+    return found
+
+
 def current_root(spark: SparkSession, root: str) -> str:
-    """The folder of the published run, or ``root`` itself if it holds tables directly."""
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_current")
-    filesystem = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not filesystem.exists(pointer):
-        return root
-    stream = filesystem.open(pointer)
-    try:
-        return run_root(root, stream.readUTF())
-    finally:
-        stream.close()
+    """The folder of the run published last, or ``root`` itself if it holds tables directly."""
+    published = _publications(spark, root)
+    return run_root(root, published[max(published)]) if published else root
 
 
 def publish_run(spark: SparkSession, root: str, run: str) -> None:
-    """Make ``run`` the one that reads see: a small file is replaced, no table is moved.
+    """Make ``run`` the one that reads see: a small file with the next free number is created, no table is moved.
 
-    The runs before the last two are removed; readers of the previous one can finish.
+    The file must be new, so of two jobs that publish at once one takes the next number, and the later one wins. Runs
+    published before the last two are removed; readers of the previous one can finish. Runs that are not published
+    may still be written and stay, see ``remove_abandoned``.
     """
-    base = root.rstrip("/")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    folder = path(f"{base}/_runs")
-    filesystem = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    before = current_root(spark, root).rsplit("/", 1)[-1]
-    stream = filesystem.create(path(f"{base}/_current.tmp"), True)
-    stream.writeUTF(run)
-    stream.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        folder.toUri(), spark._jsc.hadoopConfiguration()
-    )
-    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    renames = spark.sparkContext._gateway.new_array(options, 1)
-    renames[0] = options.OVERWRITE
-    context.rename(
-        filesystem.makeQualified(path(f"{base}/_current.tmp")),
-        filesystem.makeQualified(path(f"{base}/_current")),
-        renames,
-    )
-    for status in filesystem.listStatus(folder):
-        if status.getPath().getName() not in (run, before):
+    names = [s.getPath().getName() for s in _listed(spark, f"{root.rstrip('/')}/_published")]
+    number = max([int(name) for name in names if name.isdigit()], default=0)
+    while True:
+        number += 1
+        path, filesystem = _folder(spark, f"{root.rstrip('/')}/_published/{number:09d}")
+        try:
+            stream = filesystem.create(path, False)
+        except Py4JJavaError:
+            if not filesystem.exists(path):
+                raise
+            continue  # another job was faster
+        stream.writeUTF(run)
+        stream.close()
+        break
+    published = _publications(spark, root)
+    last_two = {published[n] for n in sorted(published)[-2:]}
+    for n in sorted(published)[:-2]:
+        if published[n] not in last_two:
+            path, filesystem = _folder(spark, run_root(root, published[n]))
+            filesystem.delete(path, True)
+        path, filesystem = _folder(spark, f"{root.rstrip('/')}/_published/{n:09d}")
+        filesystem.delete(path, False)
+
+
+def remove_abandoned(spark: SparkSession, root: str, older_than_hours: float) -> list[str]:
+    """Delete runs that were never published and have no file as young as that; returns their names.
+
+    For runs whose job died. Choose more hours than the longest job takes.
+    """
+    kept, removed = set(_publications(spark, root).values()), []
+    limit = (time.time() - 3600 * older_than_hours) * 1000
+    for status in _listed(spark, f"{root.rstrip('/')}/_runs"):
+        name = status.getPath().getName()
+        if name in kept:
+            continue
+        _, filesystem = _folder(spark, root)
+        files, youngest = filesystem.listFiles(status.getPath(), True), status.getModificationTime()
+        while files.hasNext():
+            youngest = max(youngest, files.next().getModificationTime())
+        if youngest < limit:
             filesystem.delete(status.getPath(), True)
+            removed.append(name)
+    return removed
 
 
 def load_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -213,9 +264,12 @@ def register_gold(spark: SparkSession, root: str, db: str = "default") -> list[s
     """Point one catalog table at each gold path, replacing earlier entries.
 
     Columns and partitions are those of the declared contract and layout, so
-    nothing is inferred from the files.
+    nothing is inferred from the files. The database is noted below ``root``, so that
+    its tables move on when a run is published (``move_catalogs``).
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+    path, filesystem = _folder(spark, f"{root.rstrip('/')}/_catalogs/{quote(db, safe='')}")
+    filesystem.create(path, True).close()
     registered, published = [], current_root(spark, root)
     for name, contract in GOLD_SCHEMAS.items():
         path = table_path(published, "gold", name)
@@ -232,6 +286,20 @@ def register_gold(spark: SparkSession, root: str, db: str = "default") -> list[s
     return registered
 
 
+def move_catalogs(spark: SparkSession, root: str) -> list[str]:
+    """Point the tables of every database registered at ``root`` at the published run; returns the databases.
+
+    A database or table that this session's catalog does not have, or no longer has, is left alone.
+    """
+    moved = []
+    for status in _listed(spark, f"{root.rstrip('/')}/_catalogs"):
+        db = unquote(status.getPath().getName())
+        if spark.catalog.databaseExists(db) and all(spark.catalog.tableExists(f"`{db}`.`{name}`") for name in GOLD_SCHEMAS):
+            register_gold(spark, root, db)
+            moved.append(db)
+    return moved
+
+
 @contextmanager
 def cached(df: DataFrame, columns: Sequence[str] = ()) -> Iterator[DataFrame]:
     """Keep a frame for several queries and release it afterwards.

@@ -52,6 +52,25 @@ def test_only_the_load_time_differs_between_runs(spark, records, tmp_path):
     assert hashes[0][0] != hashes[1][0] and hashes[0][1] == hashes[1][1]
 
 
+def test_registered_tables_stay_valid_and_current(spark, records, tmp_path):
+    job = Pipeline(spark, f"{tmp_path}/lake", SETTINGS)
+    job.run(records)
+    job.register("moving")
+    try:
+        counts = [spark.table("moving.fact_provider_service").count()]
+        for share in (0.5, 0.9):
+            Pipeline(spark, f"{tmp_path}/lake", replace(SETTINGS, geo_band=(0, 65))).run(records.filter(F.col("Rndrng_NPI").cast("long") % 10 < 10 * share))
+            counts.append(spark.table("moving.fact_provider_service").count())
+            assert counts[-1] == job.table("fact_provider_service").count()
+            assert spark.table("moving.dim_provider").count() == job.table("dim_provider").count()
+        assert counts[1] < counts[2] < counts[0]
+        spark.sql("DROP TABLE moving.dim_provider")
+        job.run(records)
+        assert not spark.catalog.tableExists("moving.dim_provider")  # what was dropped does not come back
+    finally:
+        spark.sql("DROP DATABASE moving CASCADE")
+
+
 def test_failed_check_stops_the_job(spark, records, tmp_path):
     strict = Settings(row_band=(10**6, 10**7), geo_band=(1, 65))
     with pytest.raises(quality.DataQualityError, match="fact_row_count_band"):

@@ -173,12 +173,18 @@ def test_foreign_keys_are_counted_before_the_join(spark, lake):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     lines = plan.splitlines()
     joins = [i for i, line in enumerate(lines) if "SortMergeJoin" in line]
-    assert len(joins) == 3
+    assert len(joins) == 1
     for i in joins:
         left = "\n".join(lines[i + 1 : i + 5])
         assert "HashAggregate" in left
 
 
+def test_the_gate_scans_the_fact_once(lake):
+    """Row count and all foreign keys come from one scan of the three key columns."""
+    plan = initial_plan(lake.check())
+    assert len([line for line in scans(plan) if "struct<npi:string,hcpcs_cd:string>" in line]) == 1
+
+
 def test_silver_checks_scan_once(lake):
     assert len(scans(plan_of(quality.silver_checks(silver(lake))))) == 1
 

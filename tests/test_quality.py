@@ -111,6 +111,17 @@ def test_orphans(layers):
     assert failed(q.foreign_key_checks(unknown, tables)) == set()
 
 
+def test_row_count_comes_with_the_foreign_keys(layers):
+    silver, fact, tables = layers
+    n = fact.count()
+    for rows, band in ((fact, (n - 1, n + 1)), (fact, (n, None)), (fact.limit(0), (0, None)), (fact.withColumn("npi", F.lit(None).cast("string")), (None, n))):
+        (want,) = q.row_count_check(rows, "fact_row_count_band", band).collect()
+        report = q.foreign_key_checks(rows, tables, band).collect()
+        assert [r for r in report if r.check_name == "fact_row_count_band"] == [want] and len(report) == 4
+    names = {r.check_name for r in q.run_checks(silver, None, tables, **BANDS).collect()}
+    assert "fact_row_count_band" not in names and len(names) == 12
+
+
 def test_empty_tables_do_not_pass_silently(layers):
     silver, fact, tables = layers
     report = q.run_checks(silver.limit(0), fact.limit(0), tables, **BANDS)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,12 +12,16 @@ from feescope.sources import (
     ContractError,
     cached,
     cluster_by,
+    current_root,
     gold_is_empty,
     gold_status,
     load_gold,
+    publish_run,
     read_bronze,
     read_table,
     register_gold,
+    remove_abandoned,
+    run_root,
     sample,
     table_path,
     write_table,
@@ -292,6 +298,49 @@ def test_register_gold(spark, gold_rows, geo, tmp_path):
         spark.sql(f"DROP TABLE default.{name}")
 
 
+def test_two_jobs_publish_at_once(spark, tmp_path):
+    """Neither job loses its folder, the later one wins, and a run still being written survives both."""
+    root = str(tmp_path)
+
+    def write(run):
+        spark.range(3).write.parquet(f"{run_root(root, run)}/gold/x")
+    for run in ("old", "first", "second", "writing"):
+        write(run)
+    assert current_root(spark, root) == root
+    publish_run(spark, root, "old")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda run: publish_run(spark, root, run), ["first", "second"]))
+    last = current_root(spark, root).rsplit("/", 1)[-1]
+    assert last in ("first", "second")
+    left = {p.name for p in (tmp_path / "_runs").iterdir()}
+    assert left == {"first", "second", "writing"}
+
+    publish_run(spark, root, "writing")
+    assert current_root(spark, root) == run_root(root, "writing")
+    assert {p.name for p in (tmp_path / "_runs").iterdir()} == {last, "writing"}
+    assert remove_abandoned(spark, root, 0) == []
+
+
+def test_a_number_without_content_does_not_count(spark, tmp_path):
+    root = str(tmp_path)
+    publish_run(spark, root, "a")
+    (tmp_path / "_published" / "000000002").touch()  # another job has taken the number and not written yet
+    assert current_root(spark, root) == run_root(root, "a")
+    publish_run(spark, root, "b")
+    assert current_root(spark, root) == run_root(root, "b")
+
+
+def test_abandoned_runs_go_by_age(spark, tmp_path):
+    root = str(tmp_path)
+    for run in ("dead", "live"):
+        (tmp_path / "_runs" / run).mkdir(parents=True)
+        (tmp_path / "_runs" / run / "part").write_text("x")
+    for path in (tmp_path / "_runs" / "dead", tmp_path / "_runs" / "dead" / "part"):
+        os.utime(path, (1, 1))
+    assert remove_abandoned(spark, root, 24) == ["dead"]
+    assert [p.name for p in (tmp_path / "_runs").iterdir()] == ["live"]
+
+
 def test_cached_releases(spark):
     df = spark.range(10).withColumn("x", F.lit(1))
     with cached(df, ["id"]) as kept:
