@@ -243,20 +243,23 @@ def _streamed(links):
     """Stream nodes in (mask, key) order to ``links``; the last, maybe unfinished node waits for the next batch."""
 
     def run(batches):
-        held = None
+        held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = [_words(c) if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             cut = last[-1] + 1 if len(last) else 0
+            if not cut and held and (held[-1][0][-1] != now[0][0] or held[-1][1][-1] != now[1][0]):
+                yield from links(*map(np.concatenate, zip(*held)))
+                held = []
             if cut:
-                yield from links(*[x[:cut] for x in now])
-            held = [x[cut:] for x in now]
-        if held is not None:
-            yield from links(*held)
+                held.append([x[:cut] for x in now])
+                yield from links(*map(np.concatenate, zip(*held)))
+                held = []
+            held.append([x[cut:] for x in now])
+        if held:
+            yield from links(*map(np.concatenate, zip(*held)))
 
     return run
 
@@ -421,24 +424,190 @@ def may_be_similar(size_x, sign_x, size_y, sign_y, least: float) -> np.ndarray:
     return both >= least * (size_x + size_y - both) - 1e-6
 
 
+# --- candidates of a filter -----------------------------------------------------
+
+#: Rows of a node that are compared without an index: those of one top group.
+_SMALL = 32
+
+
+def _gray_order(words: np.ndarray) -> np.ndarray:
+    return np.lexsort([gray_rank(words[:, lane]) for lane in reversed(range(words.shape[1]))])
+
+
+def _by_size(mask: np.ndarray, key: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[int, int]]]:
+    """Rows of nodes of 2 to ``_SMALL`` rows with the number of rows behind each in its node, and spans of larger nodes."""
+    edge = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+    starts, ends = np.r_[0, edge], np.r_[edge, len(key)]
+    size = ends - starts
+    behind = np.repeat(ends, size) - np.arange(len(key)) - 1
+    rows = np.flatnonzero(np.repeat((size > 1) & (size <= _SMALL), size))
+    large = size > _SMALL
+    return (rows, behind[rows]), list(zip(starts[large].tolist(), ends[large].tolist()))
+
+
+def small_pairs(rows: np.ndarray, behind: np.ndarray):
+    """Yield (i, j), i < j, of all pairs of rows of one node, by the distance of their places."""
+    for step in range(1, _SMALL):
+        stay = behind >= step
+        rows, behind = rows[stay], behind[stay]
+        if not len(rows):
+            return
+        yield rows, rows + step
+
+
+class _Index:
+    """Rows in Gray order under two levels of groups."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.leaves = _Level(words, words)
+        self.tops = _Level(self.leaves.low, self.leaves.high)
+
+    def near(self, queries: np.ndarray, limit: int):
+        """Yield (q, row, distance) of rows within ``limit`` bits of a query."""
+        n, n_leaves, n_tops = len(self.words), len(self.leaves.low), len(self.tops.low)
+        fan = np.arange(_FAN)
+        chunk = max(1, min(256, _TOGETHER // n))
+        for at in range(0, len(queries), chunk):
+            some = np.arange(at, min(len(queries), at + chunk))
+            q, g = np.repeat(some, n_tops), np.tile(np.arange(n_tops), len(some))
+            for level, size in ((self.tops, n_leaves), (self.leaves, n)):
+                keep = level.near(queries[q], g, limit)
+                q, g = q[keep], g[keep]
+                q, g = np.repeat(q, _FAN), (g[:, None] * _FAN + fan).ravel()
+                inside = g < size
+                q, g = q[inside], g[inside]
+            gap = _distance(queries[q], self.words[g])
+            keep = gap <= limit
+            yield q[keep], g[keep], gap[keep]
+
+
+def unlike_pairs(words: np.ndarray, label: np.ndarray, limit: int):
+    """Yield (i, j) of all pairs within ``limit`` bits of unlike label; a label most rows have is not compared with itself."""
+    left = np.arange(len(words))
+    while len(left) > 1:
+        names, counts = np.unique(label[left], return_counts=True)
+        if len(names) == 1:
+            return
+        own = label[left] == names[counts.argmax()]
+        if 4 * counts.max() < len(left):
+            order = left[_gray_order(words[left])]
+            for i, j in near_pairs(words[order], limit):
+                i, j = order[i], order[j]
+                apart = label[i] != label[j]
+                yield i[apart], j[apart]
+            return
+        held, left = left[own], left[~own]
+        held = held[_gray_order(words[held])]
+        for q, row, _ in _Index(words[held]).near(words[left], limit):
+            yield left[q], held[row]
+
+
+def star_links(words: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j), about one a row, in which every row occurs that has another within ``limit`` bits.
+
+    The row next to the majority of all bits is the first pivot; rows within the limit of a pivot are linked to it, or
+    to the row before them in Gray order where that one has the same pivot and is nearer; the first row left in Gray
+    order is the next pivot. A group of near copies has few pivots, so its work is in proportion to its size.
+    """
+    order = _gray_order(words)
+    ordered = words[order]
+    index = _Index(ordered)
+    bits = np.unpackbits(np.ascontiguousarray(ordered, "<u8").view(np.uint8), axis=1, bitorder="little")
+    middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits), bitorder="little").view("<u8")
+    pivot = int(_distance(ordered, middle).argmin())
+    free = np.ones(len(ordered), bool)
+    first, found = 0, []
+    while True:
+        (_, row, gap), = index.near(ordered[pivot][None], limit)
+        other = row != pivot
+        row, gap = row[other], gap[other]
+        free[pivot] = False
+        new = free[row]
+        if new.any():
+            row, gap = row[new], gap[new]
+            before = np.r_[row[0], row[:-1]]
+            nearer = _distance(ordered[row], ordered[before]) < gap
+            nearer[0] = False
+            found.append((row, np.where(nearer, before, pivot)))
+            free[row] = False
+        elif len(row):
+            found.append((np.array([pivot]), row[gap.argmin()][None]))
+        while first < len(free) and not free[first]:
+            first += 1
+        if first == len(free):
+            break
+        pivot = first
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order[np.concatenate([a for a, _ in found])], order[np.concatenate([b for _, b in found])]
+
+
+def _nearest_links(i: np.ndarray, j: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest partner among the pairs (i, j)."""
+    row, other, gap = np.r_[i, j], np.r_[j, i], np.r_[gap, gap]
+    by = np.lexsort((other, gap, row))
+    row, other = row[by], other[by]
+    first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    return row[first], other[first]
+
+
+def _loosely_linked(limit: int):
+    def links(mask, key, node, words):
+        small, large = _by_size(mask, key)
+        found = [(np.zeros(0, np.int64),) * 3]
+        for i, j in small_pairs(*small):
+            gap = _distance(words[i], words[j])
+            near = gap <= limit
+            found.append((i[near], j[near], gap[near]))
+        pairs = [_nearest_links(*map(np.concatenate, zip(*found)))]
+        for s, e in large:
+            i, j = star_links(words[s:e], limit)
+            pairs.append((s + i, s + j))
+        i, j = map(np.concatenate, zip(*pairs))
+        a, b = node[i], node[j]
+        yield _pairs_batch(np.maximum(a, b), np.minimum(a, b))
+
+    return _streamed(links)
+
+
+def loose_links(nodes: DataFrame, masks: list[np.ndarray], limit: int) -> DataFrame:
+    """Links (a, b), repeats included, about one a row of each mask; every node with a candidate occurs in one.
+
+    They need not span a group: what they leave apart, ``open_links`` compares.
+    """
+    keyed = nodes.select("node", "bits").mapInArrow(_keyed(masks), "mask int, key long, node long, bits binary")
+    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
+    return dealt.mapInArrow(_loosely_linked(limit), "a long, b long")
+
+
 def _open(masks: list[np.ndarray], limit: int, least: float):
     """All pairs within ``limit`` of unlike ``label`` that may be similar, each in the first mask it meets in."""
 
     def links(mask, key, node, words, label, size, sign):
-        for s, e in _node_ends(mask, key):
-            if (label[s:e] == label[s]).all():
-                continue
-            order = s + np.lexsort([gray_rank(words[s:e, lane]) for lane in reversed(range(words.shape[1]))])
-            for i, j in near_pairs(words[order], limit):
-                i, j = order[i], order[j]
+        def candidates():
+            small, large = _by_size(mask, key)
+            found = [(np.zeros(0, np.int64),) * 2]
+            for i, j in small_pairs(*small):
                 apart = label[i] != label[j]
                 i, j = i[apart], j[apart]
-                for earlier in masks[: mask[s]]:
-                    new = ((words[i] ^ words[j]) & earlier).any(axis=1)
-                    i, j = i[new], j[new]
-                maybe = may_be_similar(size[i], sign[i], size[j], sign[j], least)
-                if maybe.any():
-                    yield _pairs_batch(node[i[maybe]], node[j[maybe]])
+                near = _distance(words[i], words[j]) <= limit
+                found.append((i[near], j[near]))
+            yield map(np.concatenate, zip(*found))
+            for s, e in large:
+                for i, j in unlike_pairs(words[s:e], label[s:e], limit):
+                    yield s + i, s + j
+
+        for i, j in candidates():
+            maybe = may_be_similar(size[i], sign[i], size[j], sign[j], least)
+            i, j = i[maybe], j[maybe]
+            for n, earlier in enumerate(masks[: mask[i].max(initial=0)]):
+                if not len(i):
+                    break
+                new = (mask[i] <= n) | ((words[i] ^ words[j]) & earlier).any(axis=1)
+                i, j = i[new], j[new]
+            if len(i):
+                yield _pairs_batch(node[i], node[j])
 
     return _streamed(links)
 
@@ -496,15 +665,15 @@ def similar_links(links: DataFrame, grams: DataFrame, similarity: float) -> Data
 def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, lanes: int) -> DataFrame:
     """(node, root) of the components of checked links, without the roots themselves.
 
-    The first pass checks a spanning forest of the candidates of each mask. It joins most of a group with few links,
-    but a link that fails the check may have taken the place of one that holds. The second pass therefore takes
-    every candidate between components of checked links, so that no unchecked link stands for another.
+    The first pass checks about one link a row of each mask, to the nearest candidate or a pivot. It joins most of a
+    group with few links, but a link that fails the check may have taken the place of one that holds. The second pass
+    therefore takes every candidate between components of checked links, so that no unchecked link stands for another.
     """
     masks, limit = similarity_masks(nodes.count(), similarity, lanes), _limit(similarity, lanes)
-    forest = stored(near_links(nodes, masks, limit).distinct(), "links")
-    grams = shingles_of(docs, nodes, forest, words)
-    checked = stored(connected_components(similar_links(forest, grams, similarity)).select("node", "root"), "checked")
-    signed = grams.mapInArrow(_signatures, "node long, size long, sign binary")  # a node without candidates is in no forest
+    loose = stored(loose_links(nodes, masks, limit).distinct(), "links")
+    grams = shingles_of(docs, nodes, loose, words)
+    checked = stored(connected_components(similar_links(loose, grams, similarity)).select("node", "root"), "checked")
+    signed = grams.mapInArrow(_signatures, "node long, size long, sign binary")  # a node without candidates is in no link
     labelled = (
         signed.join(nodes.select("node", "bits"), "node").join(checked, "node", "left")
         .withColumn("label", F.coalesce("root", "node"))

@@ -1,6 +1,8 @@
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -85,3 +87,68 @@ def test_masks_hold_the_recall_for_pairs_of_any_distance(n_nodes):
     met = (differ @ masks.T == 0).any(1) & (differ.sum(1) <= simhash._limit(0.8, lanes))
     assert met.mean() > 0.97
     assert 0.98 <= simhash.chance_met(len(masks), int(masks[0].sum()), 0.8, lanes) < 0.985
+
+
+def _flip(rng, words, most):
+    out = words.copy()
+    for row in out:
+        for bit in rng.choice(256, rng.integers(0, most + 1), replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    return out
+
+
+def _mixture(rng, n_copies, n_others, most):
+    base = rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64)
+    words = np.r_[_flip(rng, np.repeat(base, n_copies, 0), most), rng.integers(0, 1 << 63, (n_others, 4), dtype=np.uint64)]
+    return words[rng.permutation(len(words))]
+
+
+def _near(words, limit):
+    gap = np.bitwise_count(words[:, None] ^ words[None]).sum(-1)
+    return {(i, j) for i, j in zip(*np.nonzero(gap <= limit)) if i != j}
+
+
+@pytest.mark.parametrize("n_copies, n_others, most", [(0, 40, 0), (60, 40, 10), (300, 100, 40), (2, 100, 3)])
+def test_loose_links_are_true_and_reach_every_row_with_a_candidate(n_copies, n_others, most):
+    words, limit = _mixture(np.random.default_rng(n_copies), n_copies, n_others, most), 60
+    near = _near(words, limit)
+    i, j = simhash.star_links(words, limit)
+    assert set(zip(i.tolist(), j.tolist())) <= near
+    assert {*i.tolist(), *j.tolist()} == {i for i, _ in near}
+    assert len(i) <= len(words)
+
+
+@pytest.mark.parametrize("sizes", [[400], [150, 120, 60, 20], [1] * 120, [90, *[1] * 200], [2] * 80])
+def test_unlike_pairs_are_all_pairs_across_labels(sizes):
+    rng = np.random.default_rng(len(sizes))
+    words = _mixture(rng, sum(sizes), 0, 45)
+    label, limit = rng.permutation(np.repeat(np.arange(len(sizes)), sizes)), 60
+    found = [(i, j) for a, b in simhash.unlike_pairs(words, label, limit) for i, j in zip(a.tolist(), b.tolist())]
+    wanted = {(i, j) for i, j in _near(words, limit) if i < j and label[i] != label[j]}
+    assert len(found) == len(wanted) and {(min(p), max(p)) for p in found} == wanted
+
+
+def test_streamed_nodes_do_not_depend_on_batches():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 5, 33, 120, 1, 1, 31, 32, 64, 2, 300, 1]
+    words = np.concatenate([_flip(rng, np.repeat(rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64), n, 0), 30) for n in sizes])
+    key, node, n = np.repeat(np.arange(len(sizes)), sizes), np.arange(sum(sizes)), sum(sizes)
+    columns = [np.zeros(n, np.int32), key, node, pa.array([w.astype(">u8").tobytes() for w in words], pa.binary())]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mask", "key", "node", "bits"])
+    seen = []
+    for width in (n, 1, 7, 100):
+        cut = [whole.slice(at, width) for at in range(0, n, width)]
+        out = [b for b in simhash._loosely_linked(60)(iter(cut))]
+        seen.append(sorted((a, b) for o in out for a, b in zip(o.column(0).to_pylist(), o.column(1).to_pylist())))
+    assert seen[0] and all(s == seen[0] for s in seen)
+    assert all(key[a] == key[b] for a, b in seen[0])
+
+
+def test_a_large_node_takes_time_in_proportion():
+    words = _mixture(np.random.default_rng(8), 20_000, 200, 20)
+    started = time.monotonic()
+    i, _ = simhash.star_links(words, 70)
+    assert 19_999 <= len(i) <= 20_200
+    for _ in simhash.unlike_pairs(words, np.r_[np.zeros(20_150, int), np.arange(1, 51)], 70):
+        pass
+    assert time.monotonic() - started < 20
