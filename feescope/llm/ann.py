@@ -9,6 +9,9 @@ all vectors, and the window is the smallest that finds ``target`` of their neigh
 structure it is therefore wide, and the search honest about it. Only projections and their ranges come
 from a sample; every vector is indexed.
 
+Queries reach a segment of ``SEGMENT`` ranks in blocks of about ``QUERY_BLOCK``, so the rows that meet in
+one group do not grow with the table.
+
 Equal vectors are one entry with their ``k + 1`` smallest vec_ids, the only ones that can be among the
 ``k`` nearest, so a vector that a third of all rows share is one entry, too.
 
@@ -31,6 +34,7 @@ from feescope.llm.common import lookup, running_base, stored, thin
 CURVES = 8
 DIMENSIONS = 6
 SEGMENT = 8192
+QUERY_BLOCK = 4096
 TRIAL_QUERIES = 200
 SAMPLE = 4096
 _BITS = 10
@@ -237,6 +241,13 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, target: float = 0.95,
         .select("curve", F.floor(F.col("rank") / SEGMENT).alias("segment"), "rank", "entry", "least", "vector")
     )
 
+    # A segment that many windows reach meets their queries block by block.
+    blocks = sent.groupBy("curve", "segment").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+    own_block = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")
+    sent = sent.join(blocks, ["curve", "segment"]).withColumn("block", own_block).drop("blocks")
+    reached = blocks.select(*[F.col(c).alias(c) for c in ("curve", "segment")], F.sequence(F.lit(0), F.col("blocks") - 1).alias("each"))
+    held = held.join(reached, ["curve", "segment"]).withColumn("block", F.explode("each")).drop("each")
+
     def look(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(queries):
@@ -254,8 +265,8 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, target: float = 0.95,
         return pd.DataFrame(out, columns=["query", "entries", "least", "scores"])
 
     met = (
-        held.groupBy("curve", "segment")
-        .cogroup(sent.groupBy("curve", "segment"))
+        held.groupBy("curve", "segment", "block")
+        .cogroup(sent.groupBy("curve", "segment", "block"))
         .applyInPandas(look, "query long, entries array<long>, least array<long>, scores array<double>")
     )
 

@@ -68,6 +68,20 @@ def test_recall_on_the_given_table(spark):
     assert hits / total >= 0.9
 
 
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+
+    def found():
+        hits = ann.search(table(spark, rows), every=2, k=5, target=1.0).collect()
+        return sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in hits)
+
+    whole = found()
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(ann, "SEGMENT", 128)
+    assert found() == whole
+
+
 def test_few_and_none(spark):
     assert ann.search(table(spark, [])).count() == 0
     assert ann.search(table(spark, [(0, [1.0, 2.0])])).count() == 0

@@ -53,3 +53,23 @@ def test_overfull_range_is_cut(docs):
     rows = sharding._slim(docs([(i, "same") for i in range(3000)]))
     cuts, totals = sharding.splitters(rows, 16)
     assert max(b for b, _ in totals.values()) <= 3 * sum(b for b, _ in totals.values()) / 16
+
+
+def hot_nulls():
+    """A third of all rows without text, next to texts of about 1,000 bytes."""
+    return [(i, None if i % 2 else "") for i in range(2000)] + [(10_000 + i, f"text {i} " * 110) for i in range(4000)]
+
+
+def test_null_texts_are_cut_by_rows(docs):
+    rows = sharding._slim(docs(hot_nulls()))
+    cuts, totals = sharding.splitters(rows, 64)
+    assert max(n for _, n in totals.values()) <= 3 * 6000 / 64
+    assert max(b for b, _ in totals.values()) <= 3 * sum(b for b, _ in totals.values()) / 64
+
+
+def test_group_over_several_ranges_stays_whole(docs):
+    """Null texts weigh far below 1 % of a shard but fill many ranges."""
+    rows = hot_nulls()
+    found = sharding.shard_by_bytes(docs(rows)).collect()
+    check(rows, found)
+    assert len({r.shard for r in found if r.doc_id < 10_000}) == 1
