@@ -196,14 +196,33 @@ def assert_checks(report: DataFrame) -> list[tuple[str, bool]]:
     return results
 
 
-def content_hash(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """Row count and an order-independent hash of all rows; equal content gives equal rows."""
+def content_hash(df: DataFrame, exclude: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Row count and an order-independent hash of all rows; equal content gives equal rows.
+
+    With ``by`` one row per value of these columns. Both numbers are sums, so those of the parts add up to
+    those of the whole.
+    """
     cols = [n for n in df.columns if n not in set(exclude)]
     # A NULL leaves xxhash64's state unchanged, so its place is hashed as well.
     row = F.xxhash64(*cols, *[c(n).isNull() for n in cols])
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias(
             "content_hash"
         ),
     )
+
+
+def changed_parts(first: DataFrame, second: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Parts in which two results of ``content_hash(..., by=by)`` differ, with the rows of both.
+
+    A part that only one of them has counts as 0 rows in the other; NULL is a part like any other.
+    """
+    side, n, found = c("_second"), c("n_rows"), c("content_hash")
+    both = first.withColumn("_second", F.lit(False)).unionByName(second.withColumn("_second", F.lit(True)))
+    met = both.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(~side, n)), F.lit(0)).alias("n_first"),
+        F.coalesce(F.sum(F.when(side, n)), F.lit(0)).alias("n_second"),
+        (F.min(found) == F.max(found)).alias("_equal"),
+    )
+    return met.filter(~c("_equal") | (c("n_first") != c("n_second"))).drop("_equal")

@@ -142,3 +142,17 @@ def test_content_hash(spark):
     stamped = df.withColumn("t", F.rand())
     assert q.content_hash(stamped, ["t"]).first() == q.content_hash(df).first()
     assert q.content_hash(df.limit(0)).first().n_rows == 0
+
+
+def test_content_hash_by_part_names_what_differs(spark):
+    rows = [("CA", 1), ("CA", 2), ("NY", 3), (None, 4), ("TX", 5)]
+    df = spark.createDataFrame(rows, "state string, n int")
+    other = spark.createDataFrame([("CA", 2), ("CA", 1), ("NY", 7), (None, 4), ("WA", 5)], df.schema)
+    parts, others = (q.content_hash(x, by=["state"]) for x in (df, other))
+    whole = q.content_hash(df).first()
+    assert parts.agg(F.sum("n_rows"), F.sum("content_hash")).first() == tuple(whole)
+    changed = {r.state: (r.n_first, r.n_second) for r in q.changed_parts(parts, others, ["state"]).collect()}
+    assert changed == {"NY": (1, 1), "TX": (1, 0), "WA": (0, 1)}
+    assert q.changed_parts(parts, q.content_hash(df.repartition(4), by=["state"]), ["state"]).isEmpty()
+    lost = q.content_hash(df.filter("n != 4"), by=["state"])
+    assert [tuple(r) for r in q.changed_parts(parts, lost, ["state"]).collect()] == [(None, 1, 0)]
