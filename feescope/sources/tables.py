@@ -243,20 +243,31 @@ def _scanned_roots(df: DataFrame) -> set[str]:
     return roots
 
 
-def cluster_by(df: DataFrame, cols: Sequence[str], n_files: int | None = None) -> DataFrame:
+#: Rows that a task of a range-clustered write takes at most, but for the error of the sampled bounds.
+ROWS_PER_FILE = 1_000_000
+
+
+def cluster_by(
+    df: DataFrame, cols: Sequence[str], n_files: int | None = None, rows_per_file: int = ROWS_PER_FILE
+) -> DataFrame:
     """Range-cluster rows on ``cols`` so that selective filters skip whole files.
 
     A range exchange cannot split rows with equal keys. The number of the
     partition a row comes from is therefore the last range column: copies of one
+    ``n_files`` is the number of files as long as none gets more than ``rows_per_file`` rows; a larger table gets
+    more of them, so that no task grows with it. The rows are counted first. Without it there are as many as the
+    session shuffles to.
+
     key that arrive in many partitions leave in many, and a rerun task numbers
     its rows the same way.
     """
     spread = "_source_partition"
     keys = [*cols, spread]
     tagged = df.withColumn(spread, F.spark_partition_id())
-    ranged = (
-        tagged.repartitionByRange(n_files, *keys) if n_files else tagged.repartitionByRange(*keys)
-    )
+    if n_files:
+        ranged = tagged.repartitionByRange(max(n_files, -(-df.count() // rows_per_file)), *keys)
+    else:
+        ranged = tagged.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(*cols).drop(spread)
 
 

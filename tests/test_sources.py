@@ -282,6 +282,34 @@ def test_cluster_by_narrows_files_and_splits_a_hot_key(spark, tmp_path):
 
 def test_register_gold(spark, gold_rows, geo, tmp_path):
     root = str(tmp_path)
+def test_cluster_by_gives_a_larger_table_more_files(spark):
+    df = spark.range(0, 40_000, 1, 8).select((F.col("id") % 1000).cast("int").alias("k"), "id")
+    clustered = cluster_by(df, ["k"], 2, rows_per_file=4_000)
+    sizes = [r["count"] for r in clustered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 8_000 and sum(sizes) == 40_000
+
+
+def test_raw_text_is_compressed_in_files_of_bounded_rows(spark, raw, tmp_path):
+    df = raw(*[{"Rndrng_NPI": str(i)} for i in range(50)]).coalesce(1)
+    write_json_arrays(df, f"{tmp_path}/arrays", array_rows=20)
+    files = list((tmp_path / "arrays").glob("part-*"))
+    assert len(files) == 3 and all(f.name.endswith(".gz") for f in files)
+    for f in files:
+        assert isinstance(json.loads(gzip.decompress(f.read_bytes())), list)
+    for multi_line in (False, True):
+        back = read_bronze(spark, f"{tmp_path}/arrays", multi_line=multi_line)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("key", ["s01_read_bronze", "s01_read_bronze_lines", "s01_corrupt_count", "s01_read_bronze_csv"])
+def test_round_trips_of_raw_text_write_compressed(spark, tmp_path, monkeypatch, key):
+    monkeypatch.setattr(entry.Tables, "scratch", lambda t: f"{tmp_path}/raw")
+    back = entry.queries()[key](spark, entry.SMOKE_DIR)
+    assert back.count() == (1 if key.endswith("count") else 2493)
+    parts = list((tmp_path / "raw").glob("part-*"))
+    assert parts and all(p.name.endswith(".gz") for p in parts)
+
+
     for name in GOLD_SCHEMAS:
         partitions = ["state_abrvtn"] if "state_abrvtn" in GOLD_SCHEMAS[name].fieldNames() else []
         if name == "gold_hero_geo_arbitrage":
