@@ -38,7 +38,7 @@ from feescope.sources import (  # noqa: E402
     table_path,
     write_table,
 )
-from oracles.fixture import raw_records, write_json_arrays  # noqa: E402
+from oracles.fixture import RAW_FILES, raw_records, write_json_arrays  # noqa: E402
 from oracles.sql import oracle_queries  # noqa: E402
 
 try:  # the training-data operators are optional
@@ -153,7 +153,7 @@ def _read_json_arrays(t: Tables) -> DataFrame:
 
 def _read_json_lines(t: Tables) -> DataFrame:
     path = t.scratch()
-    t.raw.write.json(path)
+    t.raw.write.options(**RAW_FILES).json(path)
     return silvers.trim_to_null(read_bronze(t.spark, path, "json"))
 
 
@@ -162,7 +162,7 @@ def _corrupt_count(t: Tables) -> DataFrame:
     path = t.scratch()
     text = F.to_json(F.struct(*t.raw.columns))
     cut = F.when(F.col("Rndrng_NPI").endswith("7"), F.substring(text, 1, 40)).otherwise(text)
-    t.raw.select(cut.alias("value")).write.text(path)
+    t.raw.select(cut.alias("value")).write.options(**RAW_FILES).text(path)
     back = read_bronze(t.spark, path, "json", keep_corrupt=True)
     return back.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(CORRUPT).isNotNull()).alias("n_corrupt")
@@ -171,7 +171,7 @@ def _corrupt_count(t: Tables) -> DataFrame:
 
 def _read_csv(t: Tables) -> DataFrame:
     path = t.scratch()
-    t.raw.write.option("header", True).option("escape", '"').csv(path)
+    t.raw.write.option("header", True).option("escape", '"').options(**RAW_FILES).csv(path)
     return silvers.trim_to_null(read_bronze(t.spark, path, "csv"))
 
 

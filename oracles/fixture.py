@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RAW_SQL = """
@@ -76,19 +78,28 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_SQL, **tables)
 
 
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """Write one JSON array per partition, the layout of the published raw files."""
+#: Raw text is compressed, since the names of all columns are in every record, and cut into files of so many rows, since
+#: a compressed file is read by one task.
+RAW_FILE_ROWS = 500_000
+RAW_FILES = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": RAW_FILE_ROWS}
 
-    def bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead = "["
+
+def write_json_arrays(df: DataFrame, path: str, array_rows: int = RAW_FILE_ROWS) -> None:
+    """Write one JSON array per file, the layout of the published raw files; a partition has one per ``array_rows`` records."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for batch in batches:
-            if len(batch):
-                lines = batch["value"].copy()
-                lines.iloc[1:] = "," + lines.iloc[1:]
-                lines.iloc[0] = lead + lines.iloc[0]
-                lead = ","
-                yield pd.DataFrame({"value": lines})
-        yield pd.DataFrame({"value": ["[]" if lead == "[" else "]"]})
+            if batch.num_rows:
+                texts = batch.column("value")
+                at = np.arange(n, n + batch.num_rows) % array_rows
+                lead = pa.array(np.where(at == 0, "[", ","), texts.type)
+                trail = pa.array(np.where(at == array_rows - 1, "]", ""), texts.type)
+                n += batch.num_rows
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lead, texts, trail, "")], ["value"])
+        if n % array_rows or not n:
+            yield pa.RecordBatch.from_pydict({"value": ["]" if n else "[]"]})
 
     records = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-    records.mapInPandas(bracketed, "value string").write.text(path)
+    bracket = records.mapInArrow(bracketed, "value string")
+    bracket.write.options(**RAW_FILES | {"maxRecordsPerFile": array_rows}).text(path)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import json
 import os
 from concurrent.futures import ThreadPoolExecutor
@@ -309,6 +310,8 @@ def test_round_trips_of_raw_text_write_compressed(spark, tmp_path, monkeypatch,
     parts = list((tmp_path / "raw").glob("part-*"))
     assert parts and all(p.name.endswith(".gz") for p in parts)
 
+def test_register_gold(spark, gold_rows, geo, tmp_path):
+    root = str(tmp_path)
 
     for name in GOLD_SCHEMAS:
         partitions = ["state_abrvtn"] if "state_abrvtn" in GOLD_SCHEMAS[name].fieldNames() else []
