@@ -19,6 +19,7 @@ from ..functions import (
 )
 from ..functions.codes import credential_words, tier_of_words
 from ..schemas import RAW_COLUMNS, SILVER_CASTS, SILVER_SCHEMA
+from ..session import shared_dir
 
 c = F.col
 
@@ -140,12 +141,26 @@ def build_silver(
     return with_lineage(enriched, source_year, run_ts).select(*SILVER_SCHEMA.fieldNames())
 
 
-def dedup_on_service_key(silver: DataFrame) -> DataFrame:
+def dedup_on_service_key(silver: DataFrame, broadcast_keys: int = 1_000_000) -> DataFrame:
     """Opt-in: one row per surrogate key, the smallest by content.
 
-    Off by default because the published pipeline keeps every row. ``min`` of a
-    struct combines map-side, so a key with many copies stays cheap.
+    Off by default because the published pipeline keeps every row. One job counts rows per hash of the key first, and
+    only rows whose hash is there twice are grouped; all others pass as they are, without a shuffle of whole rows
+    unless there are more than ``broadcast_keys`` repeated hashes. ``min`` of a struct combines map-side, so a key with
+    many copies stays cheap.
     """
     row = F.struct(*[c(n) for n in silver.columns])
     picked = silver.groupBy("service_sk").agg(F.min(row).alias("row"))
     return picked.select("row.*")
+    shared_dir(silver.sparkSession)
+    tag = F.xxhash64("service_sk").alias("_tag")
+    counted = silver.select(tag).groupBy("_tag").agg(F.count(F.lit(1)).alias("n"))
+    twice = counted.filter(c("n") > 1).select("_tag").checkpoint()
+    n_twice = twice.count()
+    if not n_twice:
+        return silver
+    if n_twice <= broadcast_keys:
+        twice = F.broadcast(twice)
+    tagged = silver.select("*", tag)
+    once = tagged.join(twice, "_tag", "left_anti").drop("_tag")
+    again = tagged.join(twice, "_tag", "left_semi")

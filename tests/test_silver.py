@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from feescope.operators import silver as sv
@@ -99,6 +100,35 @@ def test_dedup_is_opt_in(silver_of):
     assert sorted((r.HCPCS_Cd, r.Tot_Benes) for r in kept) == [("99213", 20), ("J1000", 20)]
 
 
+@pytest.mark.parametrize("most", [0, 10])
+def test_dedup_groups_repeated_keys_alone(silver_of, capsys, most):
+    silver = silver_of({}, {"Tot_Benes": "99"}, {"HCPCS_Cd": "J1000"}, {"HCPCS_Cd": "J2000"})
+    kept = sv.dedup_on_service_key(silver, broadcast_keys=most)
+    assert kept.columns == silver.columns
+    assert sorted((r.HCPCS_Cd, r.Tot_Benes) for r in kept.collect()) == [("99213", 20), ("J1000", 20), ("J2000", 20)]
+    unique = sv.dedup_on_service_key(silver.filter("Tot_Benes = 20"))
+    unique.explain()
+    assert "Aggregate" not in capsys.readouterr().out and unique.count() == 3
+
+
+def test_derived_columns_stay_out_of_the_shuffle(raw):
+    bronze, when = raw({}, {"HCPCS_Cd": "99214", "Avg_Mdcr_Stdzd_Amt": " "}), datetime(2024, 1, 2)
+    wide, narrow = sv.build_silver(bronze, 2022, when), sv.build_silver(bronze, 2022, when, together=["Rndrng_Prvdr_State_Abrvtn"])
+    assert content_hash(wide).collect() == content_hash(narrow).collect()
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RebalancePartitions") :]
+    assert "service_sk" not in below and "sha2" not in below and "Geo_Premium" not in below
+
+
+def test_fact_is_the_same_with_its_derived_columns_left_out_and_added_again(fact_of):
+    from feescope.operators.fact import DERIVED, with_derived
+
+    fact = fact_of({}, {"Avg_Mdcr_Stdzd_Amt": "0", "HCPCS_Cd": ""}, {"Tot_Srvcs": "N/A"}, {"Tot_Benes": ""})
+    assert len(DERIVED) == 10
+    back = with_derived(fact.drop(*DERIVED))
+    assert back.schema == fact.schema and sorted(map(str, back.collect())) == sorted(map(str, fact.collect()))
+
+
 def test_generated_method_is_small_enough_for_the_jit(raw, capsys):
     """HotSpot interprets methods above 8000 bytes of bytecode."""
     import re
