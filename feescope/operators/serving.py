@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import clean_identifier, guarded_ratio, to_money, to_ratio
 from ..functions.numeric import sum_money
 from ..schemas import KNOWN_TIERS
+from ..session import shared_dir
 
 c = F.col
 
@@ -125,8 +126,11 @@ def markup_long(mart: DataFrame, fallback_codes: int = 6) -> DataFrame:
     """Mart 4 as one row per (code, tier) for the shared E&M codes.
 
     Without any such code, the first codes in order stand in. NULL markups are
-    dropped and NULL services read as 0.
+    dropped and NULL services read as 0. The mart, a row per code, is looked at three times, and so is
+    built once and kept in the checkpoint folder.
     """
+    shared_dir(mart.sparkSession)
+    mart = mart.checkpoint()
     shared = mart.filter("is_shared_e_and_m")
     n_shared = shared.select(F.count(F.lit(1))).scalar()
     first_codes = mart.orderBy("hcpcs_cd").limit(fallback_codes).filter(n_shared == 0)

@@ -141,6 +141,19 @@ def test_markup_long_without_shared_codes_shows_the_first_codes(gold_rows):
     assert sorted(r.hcpcs_cd for r in sv.markup_long(mart).collect()) == [f"J{i}" for i in range(6)]
 
 
+def test_markup_long_builds_the_mart_once(spark, gold_rows):
+    mart = gold_rows("gold_hero_credentials_markup", {"hcpcs_cd": "J1", "is_shared_e_and_m": False, "Specialist_markup": D(9)})
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    assert sv.markup_long(mart.mapInArrow(counted, mart.schema)).count() == 1
+    assert seen.value == 1
+
+
 def test_site_headline_and_scatter(gold_rows):
     mart = gold_rows(
         "gold_hero_site_neutral",
