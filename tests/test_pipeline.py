@@ -166,3 +166,22 @@ def test_unpivot_returns_what_was_pivoted(spark):
     source = tiers.select("hcpcs_cd", "provider_tier", "wavg_markup_ratio", "total_services")
     rows = sorted(map(tuple, long.collect()))
     assert rows and rows == sorted(map(tuple, source.collect()))
+
+
+def test_rerun_reads_the_written_dimension(spark, monkeypatch):
+    """The dimension is built once a build, not once more inside the mart."""
+    built = []
+    whole = entry.marts.site_neutral
+    monkeypatch.setattr(entry.marts, "site_neutral", lambda fact, codes: built.append(codes) or whole(fact, codes))
+    rows = entry.queries()["d15_idempotent_rerun"](spark, entry.SMOKE_DIR).collect()
+    assert sorted((r.table_name, r.identical) for r in rows) == [("dim_hcpcs", True), ("gold_hero_site_neutral", True)]
+    assert len(built) == 2 and all("Aggregate" not in codes._jdf.queryExecution().analyzed().toString() for codes in built)
+
+
+def test_fact_is_written_as_silver_has_it(spark, records, tmp_path):
+    from feescope.operators.fact import build_fact
+
+    job = Pipeline(spark, str(tmp_path), SETTINGS)
+    job.build_silver(records)
+    job.build_fact()
+    assert quality.content_hash(job.table("fact_provider_service")).collect() == quality.content_hash(build_fact(job.table(SILVER))).collect()
