@@ -23,7 +23,7 @@ from feescope.operators import (  # noqa: E402
     silver as silvers,
 )
 from feescope.plans.pipeline import Pipeline, Settings  # noqa: E402
-from feescope.schemas import ALL_TIERS, GOLD_SCHEMAS, KNOWN_TIERS, SILVER  # noqa: E402
+from feescope.schemas import ALL_TIERS, GOLD_SCHEMAS, KNOWN_TIERS, PARTITIONS, SILVER  # noqa: E402
 from feescope.session import shared_dir  # noqa: E402
 from feescope.sources import (  # noqa: E402
     CORRUPT,
@@ -79,6 +79,12 @@ class Tables:
     def silver(self) -> DataFrame:
         return silvers.build_silver(self.raw, run_ts=F.lit("2024-01-01 00:00:00"))
 
+    @cached_property
+    def silver_by_state(self) -> DataFrame:
+        """Silver as the job writes it: rows of a state together."""
+        run_ts = F.lit("2024-01-01 00:00:00")
+        return silvers.build_silver(self.raw, run_ts=run_ts, together=PARTITIONS[SILVER])
+
     @cached_property
     def silver_data(self) -> DataFrame:
         """Silver without its load time."""
@@ -263,7 +269,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "s01_corrupt_count": _corrupt_count,
     "s02_sample": lambda t: sample(t.raw).agg(F.count(F.lit(1)).alias("n_rows")),
     "s03_read_table": lambda t: _stored(
-        t, "silver", SILVER, t.silver, partition_by=["Rndrng_Prvdr_State_Abrvtn"]
+        t, "silver", SILVER, t.silver_by_state, partition_by=["Rndrng_Prvdr_State_Abrvtn"], rebalance=False
     ).drop("Ingested_At"),
     "s05_load_gold": _loaded_gold,
     "s06_gold_status": lambda t: gold_status(t.spark, t.pipeline().root),

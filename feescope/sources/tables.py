@@ -194,6 +194,7 @@ def write_table(
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
     rebalance: bool = True,
+    compression: str = "zstd",
 ) -> None:
     """Replace the table at ``path``, data and schema.
 
@@ -201,7 +202,8 @@ def write_table(
     together, so that a task does not open a file for every value. It is
     adaptive: small values share a task and a value with a large part of all
     rows is split into tasks of the advisory size. Turn it off for rows that come
-    straight from a table with the same partitions: they are together already.
+    straight from a table with the same partitions, or that ``build_silver`` brought
+    together: they are together already.
     ``sort_by`` orders rows inside each file, which gives Parquet row groups
     narrow min/max ranges.
 
@@ -213,7 +215,7 @@ def write_table(
     laid_out = df.hint("rebalance", *partition_by) if partition_by and rebalance else df
     if partition_by or sort_by:
         laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by)
-    writer = laid_out.write.mode("overwrite")
+    writer = laid_out.write.mode("overwrite").option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -252,12 +254,12 @@ def cluster_by(
 ) -> DataFrame:
     """Range-cluster rows on ``cols`` so that selective filters skip whole files.
 
-    A range exchange cannot split rows with equal keys. The number of the
-    partition a row comes from is therefore the last range column: copies of one
     ``n_files`` is the number of files as long as none gets more than ``rows_per_file`` rows; a larger table gets
     more of them, so that no task grows with it. The rows are counted first. Without it there are as many as the
     session shuffles to.
 
+    A range exchange cannot split rows with equal keys. The number of the
+    partition a row comes from is therefore the last range column: copies of one
     key that arrive in many partitions leave in many, and a rerun task numbers
     its rows the same way.
     """
