@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import service_key
 from ..schemas import GOLD_SCHEMAS
+from .silver import with_ratios, with_totals
 
 # Fact name for each renamed silver column; all others keep theirs.
 FACT_NAMES = {
@@ -24,6 +26,17 @@ FACT_NAMES = {
 }
 
 
+_NAMES = GOLD_SCHEMAS["fact_provider_service"].fieldNames()
+# Columns that follow from others of the same row.
+DERIVED = ["service_sk", *[n for n in _NAMES if n.endswith(("_Ratio", "_Rate", "_Factor", "_Premium", "_Exposure"))],
+           *[n for n in _NAMES if n.startswith("Tot_") and n.endswith(("_Chrg", "_Amt"))]]
+
+
+def with_derived(narrow: DataFrame) -> DataFrame:
+    """A fact whose ``DERIVED`` columns were left out of a shuffle, with them again, by silver's own expressions."""
+    key = service_key(F.col("npi"), F.col("hcpcs_cd"), F.col("place_of_srvc"))
+    return with_ratios(with_totals(narrow.withColumns({"service_sk": key}))).select(*_NAMES)
+
+
 def build_fact(silver: DataFrame) -> DataFrame:
-    names = GOLD_SCHEMAS["fact_provider_service"].fieldNames()
-    return silver.select(*[F.col(FACT_NAMES.get(n, n)).alias(n) for n in names])
+    return silver.select(*[F.col(FACT_NAMES.get(n, n)).alias(n) for n in _NAMES])

@@ -75,7 +75,12 @@ class Pipeline:
         layer = "silver" if name == SILVER else "gold"
         if name in RANGE_CLUSTERED:
             # A range exchange on (partition value, key): large values are split by the key itself.
+            # What hardly compresses and follows from other columns stays out of it.
+            if name == FACT:
+                df = df.drop(*facts.DERIVED)
             df = cluster_by(df, [*PARTITIONS.get(name, ()), *CLUSTERING[name]])
+            if name == FACT:
+                df = facts.with_derived(df)
             rebalance = False
         write_table(
             df,
@@ -97,8 +102,11 @@ class Pipeline:
             F.count_if(corrupt).alias("n_corrupt"),
             F.count_if(~corrupt & F.coalesce(F.trim(country) != silvers.COUNTRY, F.lit(True))).alias("n_abroad"),
         ).drop(CORRUPT)
-        typed = silvers.build_silver(raw, s.source_year, s.run_ts)
-        self._save(silvers.dedup_on_service_key(typed) if s.dedup else typed, SILVER)
+        if s.dedup:
+            self._save(silvers.dedup_on_service_key(silvers.build_silver(raw, s.source_year, s.run_ts)), SILVER)
+        else:
+            typed = silvers.build_silver(raw, s.source_year, s.run_ts, together=PARTITIONS[SILVER])
+            self._save(typed, SILVER, rebalance=False)
         self._raw = seen.get
 
     def build_dims(self) -> None:
