@@ -8,8 +8,9 @@ Encoding goes through the different words of some texts and a bounded cache of w
 a character and the single white space after it, and between a letter or digit and punctuation other
 than an apostrophe, so the ids of a text are the ids of such pieces in turn. What the cache lacks is
 encoded by the library, many words at a time; texts with runs of white space, or with the string of a special
-token (which the library gives that token's id), go to it whole. The cache has two halves: words met again move to the
-new one, and the old one goes when the new one is full.
+token (which the library gives that token's id), go to it whole. The cache is an Arrow array of words beside arrays of
+their ids: Arrow looks all words of a batch up at once, and no word is a Python object once it is known. When it is full,
+the half used least goes.
 
 Defined results: null text counts as empty and has the end id only; null doc_ids come first; rows
 equal in doc_id are ordered by a hash of their text; an empty table gives an empty file set.
@@ -32,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feescope.llm.common import running_base, scratch
 
 END_ID = 0
-_CACHE_WORDS = 800_000
+_CACHE_WORDS = 400_000
+#: Bytes of text that are encoded together: the more, the fewer different words each time.
+_TOGETHER = 4 << 20
 _SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 #: Row groups and pages small enough to read single documents; the writer adds page indexes by itself.
 LAYOUT = {
@@ -45,9 +48,36 @@ LAYOUT = {
 #: Two white-space characters in a row: such texts go to the library as they are.
 _RUN = re.compile(r"\s\s")
 _BLANK = re.compile(r"\s")
-#: Characters that never join the letter or digit before them.
+#: Characters that never join the letter or digit before them, and those letters and digits.
 _TAILS = ".,;:!?#$%&*|)"
-_ENDS = frozenset(_TAILS)
+_LETTERS = pa.array([chr(c) for c in range(0x250) if chr(c).isalnum()])
+
+
+def _ranges(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``flat[begin : begin + size]`` of every range in turn."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Ids:
+    """Ids of many pieces, one piece after another."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes = flat, sizes
+        self.begins = np.cumsum(sizes) - sizes
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def take(self, at: np.ndarray) -> _Ids:
+        return _Ids(_ranges(self.flat, self.begins[at], self.sizes[at]), self.sizes[at])
+
+    def plus(self, other: _Ids) -> _Ids:
+        return _Ids(np.concatenate([self.flat, other.flat]), np.concatenate([self.sizes, other.sizes]))
+
+
+def _no_ids() -> _Ids:
+    return _Ids(np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
 class Encoder:
@@ -64,60 +94,49 @@ class Encoder:
         for token, i in vocabulary.items():
             self._space[i] = token.startswith("Ġ")
             self._line[i] = token.startswith("Ċ")
-        self._cache: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
         self._cache_words = cache_words
-        self._tails: dict[str, bytes] = {}
+        self._cache, self._ids, self._uses = pa.array([], pa.string()), _no_ids(), np.zeros(0, np.int64)
+
+    def _library(self, texts: list[str]) -> _Ids:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = array.array("i")
+        for ids in found:
+            flat.extend(ids)
+        return _Ids(np.frombuffer(flat, np.int32), np.fromiter(map(len, found), np.int64, len(found)))
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array.array("i", e.ids).tobytes() for e in found]
+    def _each(self, words: list[str]) -> _Ids:
+        return self._library([w if w[:1] == "\n" else " " + w for w in words])
 
-    def _learn_all(self, words: list[str], together: str, opens: np.ndarray) -> None:
-        """Encode ``words`` as one text; each starts at an id that ``opens``."""
-        ids = np.frombuffer(self._library([together])[0], np.int32)
+    def _together(self, words: list[str], text: str, opens: np.ndarray) -> _Ids:
+        """Ids of ``words`` by one ``text`` of all of them; each starts at an id that ``opens``."""
+        ids = self._library([text]).flat
         starts = np.flatnonzero(opens[ids])
-        if len(starts) == len(words):
-            raw, cuts = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-            self._cache.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        else:
-            self._learn_each(words)
-
-    def _learn_each(self, words: list[str]) -> None:
-        self._cache.update(zip(words, self._library([w if w[:1] == "\n" else " " + w for w in words])))
-
-    def _learn(self, words: set[str]) -> None:
-        """Cache the ids of each word with its space, or with the line break it begins with."""
-        cache = self._cache
-        ended = [(w, w.rstrip(_TAILS)) for w in words if w[-1:] in _ENDS]
-        parts = [(w, s, w[len(s) :]) for w, s in ended if s and s[-1] < "\u0250" and s[-1].isalnum()]
-        wanted = words.difference([w for w, _, _ in parts]) if parts else words
-        wanted.update([s for _, s, _ in parts if s not in cache])
-        spaced = [w for w in wanted if w and w[0] != "\n"]
-        lines = [w for w in wanted if len(w) > 1 and w[0] == "\n"]
-        other = [w for w in wanted if len(w) < 2 and w in ("", "\n")]
-        if len(" ".join(spaced).split()) != len(spaced):
-            other += [w for w in spaced if _BLANK.search(w)]
-            spaced = [w for w in spaced if not _BLANK.search(w)]
-        if len("".join(lines).split()) != len(lines):
-            other += [w for w in lines if _BLANK.search(w, 1)]
-            lines = [w for w in lines if not _BLANK.search(w, 1)]
+        return _Ids(ids, np.diff(starts, append=len(ids))) if len(starts) == len(words) else self._each(words)
+
+    def _learned(self, words: list[str]) -> _Ids:
+        """Ids of each word with its space, or with the line break it begins with."""
+        spaced = [i for i, w in enumerate(words) if w and w[0] != "\n"]
+        lines = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == "\n"]
+        other = [i for i, w in enumerate(words) if w in ("", "\n")]
+        if len(" ".join([words[i] for i in spaced]).split()) != len(spaced):
+            other += [i for i in spaced if _BLANK.search(words[i])]
+            spaced = [i for i in spaced if not _BLANK.search(words[i])]
+        if len("".join([words[i] for i in lines]).split()) != len(lines):
+            other += [i for i in lines if _BLANK.search(words[i], 1)]
+            lines = [i for i in lines if not _BLANK.search(words[i], 1)]
+        found = _no_ids()
         if spaced:
-            self._learn_all(spaced, " " + " ".join(spaced), self._space)
+            own = [words[i] for i in spaced]
+            found = found.plus(self._together(own, " " + " ".join(own), self._space))
         if lines:
-            self._learn_all(lines, "".join(lines), self._line)
+            own = [words[i] for i in lines]
+            found = found.plus(self._together(own, "".join(own), self._line))
         if other:
-            self._learn_each(other)
-        tails = list({tail for _, _, tail in parts}.difference(self._tails))
-        if len(self._tails) > 50_000:
-            self._tails.clear()
-            tails = list({tail for _, _, tail in parts})
-        if tails:
-            self._tails.update(zip(tails, self._library(tails)))
-        cache.update([(word, cache[stem] + self._tails[tail]) for word, stem, tail in parts])
+            found = found.plus(self._each([words[i] for i in other]))
+        return found.take(np.argsort(np.array([*spaced, *lines, *other], np.int64)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # The collector would walk the cache again and again, and nothing made here is cyclic.
+        # The collector would walk all these lists again and again, and nothing made here is cyclic.
         collects = gc.isenabled()
         gc.disable()
         try:
@@ -129,23 +148,45 @@ class Encoder:
     def _whole(self, text: str) -> bool:
         return _RUN.search(text) is not None or any([s in text for s in self._special])
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of different words, each with its space or line break."""
-        if len(self._cache) > self._cache_words // 2:
-            self._older, self._cache = self._cache, {}
-        cache = self._cache
-        found = list(map(cache.get, words))
-        missing = [w for w, x in zip(words, found) if x is None]
-        if missing:
-            known = list(map(self._older.get, missing))
-            cache.update([(w, x) for w, x in zip(missing, known) if x is not None])
-            unknown = {w for w, x in zip(missing, known) if x is None}
-            if unknown:
-                self._learn(unknown)
-            found = list(map(cache.__getitem__, words))
+    def _known(self, words: pa.Array) -> _Ids:
+        """Ids of words, each with its space or line break, by the cache."""
+        both = pa.chunked_array([self._cache, words]).dictionary_encode()
+        coded = both.chunk(both.num_chunks - 1)  # the cache's words are the first of the dictionary
+        at = np.asarray(coded.indices).astype(np.int64)
+        n = len(self._cache)
+        if len(coded.dictionary) > n:
+            self._ids = self._ids.plus(self._learned(coded.dictionary.slice(n).to_pylist()))
+            self._uses = np.r_[self._uses, np.zeros(len(coded.dictionary) - n, np.int64)]
+            self._cache = coded.dictionary
+        self._uses += np.bincount(at, minlength=len(self._uses))
+        found = self._ids.take(at)
+        if len(self._cache) > self._cache_words:
+            stay = np.sort(np.argsort(-self._uses, kind="stable")[: self._cache_words // 2])
+            self._cache, self._ids, self._uses = self._cache.take(pa.array(stay)), self._ids.take(stay), self._uses[stay] // 2
         return found
 
+    def _words(self, words: pa.Array) -> _Ids:
+        """Ids of different words: those of the word without its tail, then those of the tail."""
+        stems = pc.utf8_rtrim(words, characters=_TAILS)
+        cut = pc.and_(
+            pc.less(pc.binary_length(stems), pc.binary_length(words)),
+            pc.is_in(pc.utf8_slice_codeunits(stems, -1), value_set=_LETTERS),
+        )
+        stem_ids = self._known(pc.if_else(cut, stems, words))
+        at = np.flatnonzero(np.asarray(cut))
+        if not len(at):
+            return stem_ids
+        tails = pa.array([w[len(s) :] for w, s in zip(words.filter(cut).to_pylist(), stems.filter(cut).to_pylist())], pa.string())
+        coded = tails.dictionary_encode()
+        pieces = stem_ids.plus(self._library(coded.dictionary.to_pylist()))
+        order = np.insert(np.arange(len(words)), at + 1, len(words) + np.asarray(coded.indices))
+        sizes = stem_ids.sizes.copy()
+        sizes[at] += pieces.sizes[len(words) :][np.asarray(coded.indices)]
+        return _Ids(pieces.take(order).flat, sizes)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         whole = [self._whole(t) for t in texts]
         # Without runs of white space, a break before every space and line feed is one of the pre-tokeniser's.
         parts = pc.split_pattern(pa.array(["" if w else t.replace("\n", " \n") for t, w in zip(texts, whole)], pa.string()), " ")
@@ -156,14 +197,9 @@ class Encoder:
         firsts = parts.values.take(parts.offsets[:-1]).to_pylist()
         firsts = self._library([t if w else f for t, w, f in zip(texts, whole, firsts)])
         at[offsets[:-1]] = len(coded.dictionary) + np.arange(len(texts))
-        pieces = self._words(coded.dictionary.to_pylist()) + firsts
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        flat, begins = np.frombuffer(b"".join(pieces), np.int32), np.cumsum(sizes) - sizes
-        counts = sizes[at]
-        ends = np.r_[0, np.cumsum(counts)]
-        ids = flat[np.repeat(begins[at] - ends[:-1], counts) + np.arange(ends[-1])]
-        cuts = ends[offsets].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        ids = self._words(coded.dictionary).plus(firsts).take(at)
+        cuts = np.r_[0, np.cumsum(ids.sizes)][offsets].tolist()
+        return [ids.flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one per Python worker, kept between tasks
@@ -176,31 +212,44 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _gathered(batches):
+    """Columns doc_id and text of some rows of a partition, of ``_TOGETHER`` bytes or one batch of 1000 rows more."""
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            piece = batch.slice(at, 1000)
+            held.append(piece)
+            size += piece.column(1).nbytes
+            if size >= _TOGETHER:
+                yield pa.Table.from_batches(held).columns
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).columns
+
+
 def _encoded(path: str, end_id: int):
     end = array.array("i", [end_id]).tobytes()
 
     def run(batches):
         encoder, part, start = _encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                ids = [x + end for x in encoder.encode([t or "" for t in piece.column(1).to_pylist()])]
-                counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-                ends = np.cumsum(counts)
-                tokens = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32))
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(0),
-                        pa.array(np.full(len(ids), part, np.int32)),
-                        pa.array(start + ends - counts),
-                        pa.array(counts),
-                        tokens,
-                    ],
-                    ["doc_id", "part", "local_start", "n_tokens", "tokens"],
-                )
-                start += int(ends[-1]) if len(ends) else 0
+        for doc_ids, texts in _gathered(batches):
+            ids = [x + end for x in encoder.encode([t or "" for t in texts.to_pylist()])]
+            counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            ends = np.cumsum(counts)
+            tokens = pa.ListArray.from_arrays(
+                pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    doc_ids.combine_chunks(),
+                    pa.array(np.full(len(ids), part, np.int32)),
+                    pa.array(start + ends - counts),
+                    pa.array(counts),
+                    tokens,
+                ],
+                ["doc_id", "part", "local_start", "n_tokens", "tokens"],
+            )
+            start += int(ends[-1])
 
     return run
 

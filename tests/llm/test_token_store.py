@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -34,6 +35,37 @@ def test_small_cache_is_refilled(library):
     assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library("a b c d e f g"), library("b z y x")]
 
 
+def test_words_are_encoded_once_and_stay_without_objects(library):
+    """Before, a cached word was a Python string, a bytes object and an entry of a dictionary, looked up one by one."""
+    encoder, asked = token_store.Encoder(PATH), []
+    real = encoder._library
+    encoder._library = lambda texts: asked.extend(texts) or real(texts)
+    text = "one two, three. one\ntwo three four.. two"
+    for _ in range(2):
+        asked.clear()
+        assert np.frombuffer(encoder.encode([text])[0], np.int32).tolist() == library(text)
+    assert sorted(asked) == [",", ".", "..", "one"]  # tails and the first word; all others are known
+    assert sorted(encoder._cache.to_pylist()) == ["\ntwo", "four", "one", "three", "two"]
+    assert encoder._ids.flat.nbytes + encoder._cache.nbytes < 200
+
+
+def test_the_words_used_most_stay_in_a_full_cache(library):
+    encoder = token_store.Encoder(PATH, cache_words=4)
+    for text in ("a often often", "b often rare", "c often one two"):
+        assert np.frombuffer(encoder.encode([text])[0], np.int32).tolist() == library(text)
+    encoder.encode(["d three four five"])
+    assert encoder.encode([]) == []
+    assert "often" in encoder._cache.to_pylist() and len(encoder._cache) <= 4
+
+
+def test_rows_are_encoded_together_whatever_their_batches(monkeypatch):
+    rows = pa.record_batch([pa.array(range(2500)), pa.array(["ab cd"] * 2499 + [None])], ["doc_id", "text"])
+    sizes = lambda: [len(ids) for ids, _ in token_store._gathered([rows.slice(0, 1200), rows.slice(1200), rows.slice(0, 0)])]
+    assert sizes() == [2500]
+    monkeypatch.setattr(token_store, "_TOGETHER", 1)
+    assert sizes() == [1000, 200, 1000, 300]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(" \n\t ab.,$'s1é中​́"), max_size=40))
 def test_any_text(text):
