@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from feescope.llm.common import attach_totals, stored
+from feescope.llm.common import attach_totals, few_files, stored
 
 
 def _contract(batches):
@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        stars = stored(small, "edges")
+        stars = stored(few_files(small, seen[0]), "edges")
         before, seen = seen, _print(stars)
         if seen == before:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -18,6 +18,8 @@ fingerprint; the component of rows without any doc_id is null; an empty table gi
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from feescope.llm.common import attach_totals, bloom_field, field_bits, fresh, in_field, lookup, stored, strings
+from feescope.llm.common import attach_totals, bloom_field, few_files, field_bits, fresh, in_field, lookup, stored, strings
 from feescope.llm.components import connected_components
 
 _SEED = 42
@@ -128,7 +130,9 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1).astype(np.uint64)
 
 
-def _keyed(masks: list[np.ndarray]):
+def _keyed(masks: list[np.ndarray], first: int = 0):
+    """A row of every mask; the masks are numbered from ``first``."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -139,7 +143,7 @@ def _keyed(masks: list[np.ndarray]):
                 for lane in range(words.shape[1]):
                     key = _mixed(key, 1) ^ (words[:, lane] & mask[lane])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(words), i, np.int32)), pa.array(key.view(np.int64)), *batch.columns],
+                    [pa.array(np.full(len(words), first + i, np.int32)), pa.array(key.view(np.int64)), *batch.columns],
                     ["mask", "key", *batch.schema.names],
                 )
 
@@ -612,10 +616,13 @@ def _open(masks: list[np.ndarray], limit: int, least: float):
     return _streamed(links)
 
 
-def open_links(nodes: DataFrame, masks: list[np.ndarray], limit: int, least: float) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, bits, label, size, sign) that no known link joins, see ``_open``."""
+def open_links(nodes: DataFrame, masks: list[np.ndarray], limit: int, least: float, first: int = 0, last: int | None = None) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, bits, label, size, sign) that no known link joins, see ``_open``.
+
+    Those whose first mask is one of ``masks[first:last]``.
+    """
     given = nodes.select("node", "bits", "label", "size", "sign")
-    keyed = given.mapInArrow(_keyed(masks), "mask int, key long, node long, bits binary, label long, size long, sign binary")
+    keyed = given.mapInArrow(_keyed(masks[first:last], first), "mask int, key long, node long, bits binary, label long, size long, sign binary")
     dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInArrow(_open(masks, limit, least), "a long, b long")
 
@@ -637,8 +644,9 @@ def shingles_of(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int)
     """(node, grams): the set of shingles of every node in ``links`` (a, b)."""
     met = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stored(nodes.join(met, "node").select("node", F.col("first.key").alias("key")), "met")
+    n_met = wanted.count()
     shared = docs.sparkSession.sparkContext.broadcast(
-        bloom_field(wanted.select("key").mapInArrow(_key_hashes, "h long"), field_bits(wanted.count(), 1 << 30))
+        bloom_field(wanted.select("key").mapInArrow(_key_hashes, "h long"), field_bits(n_met, 1 << 30))
     )
 
     def probe(batches):
@@ -650,9 +658,8 @@ def shingles_of(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int)
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = given.mapInArrow(probe, "key binary, text string").dropDuplicates(["key"])
-    return stored(
-        wanted.join(texts, "key").select("node", "text").mapInArrow(_shingle_sets(words), "node long, grams array<long>"), "grams"
-    )
+    met_texts = few_files(wanted.join(texts, "key").select("node", "text"), n_met, 2000)
+    return stored(met_texts.mapInArrow(_shingle_sets(words), "node long, grams array<long>"), "grams")
 
 
 def similar_links(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -662,6 +669,16 @@ def similar_links(links: DataFrame, grams: DataFrame, similarity: float) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
 
 
+#: Masks whose rows are shuffled at a time: what lies on disk at once does not grow with the number of masks.
+_MASKS = 32
+
+
+def _by_masks(n_masks: int, name: str, found: Callable[[int, int], DataFrame]) -> DataFrame:
+    """Rows of ``found(first, last)`` over ranges of masks of like length, each stored before the next is begun."""
+    cuts = np.linspace(0, n_masks, math.ceil(n_masks / _MASKS) + 1).astype(int).tolist()
+    return reduce(DataFrame.unionByName, [stored(found(a, b), name) for a, b in zip(cuts, cuts[1:])])
+
+
 def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, lanes: int) -> DataFrame:
     """(node, root) of the components of checked links, without the roots themselves.
 
@@ -669,16 +686,19 @@ def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity
     group with few links, but a link that fails the check may have taken the place of one that holds. The second pass
     therefore takes every candidate between components of checked links, so that no unchecked link stands for another.
     """
-    masks, limit = similarity_masks(nodes.count(), similarity, lanes), _limit(similarity, lanes)
-    loose = stored(loose_links(nodes, masks, limit).distinct(), "links")
+    n_nodes, limit = nodes.count(), _limit(similarity, lanes)
+    masks = similarity_masks(n_nodes, similarity, lanes)
+    some = _by_masks(len(masks), "links", lambda a, b: few_files(loose_links(nodes, masks[a:b], limit).distinct(), n_nodes))
+    loose = stored(few_files(some.distinct(), n_nodes), "links")
     grams = shingles_of(docs, nodes, loose, words)
-    checked = stored(connected_components(similar_links(loose, grams, similarity)).select("node", "root"), "checked")
+    checked = connected_components(similar_links(loose, grams, similarity))
     signed = grams.mapInArrow(_signatures, "node long, size long, sign binary")  # a node without candidates is in no link
     labelled = (
         signed.join(nodes.select("node", "bits"), "node").join(checked, "node", "left")
         .withColumn("label", F.coalesce("root", "node"))
     )
-    rest = stored(open_links(labelled, masks, limit, similarity), "open")
+    labelled = stored(labelled.select("node", "bits", "label", "size", "sign"), "labelled")
+    rest = _by_masks(len(masks), "open", lambda a, b: open_links(labelled, masks, limit, similarity, a, b))
     more = stored(similar_links(rest, grams, similarity), "more")
     if more.isEmpty():
         return checked
